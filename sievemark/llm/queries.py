@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.functions.cells import cell_values
+from sievemark.llm.leakage import find_leaks
 from sievemark.llm.lookalike import canonical_texts, same_look_pairs
+from sievemark.llm.mixture import mix, mixture_report
 from sievemark.llm.similar_sets import set_members, similar_links, similar_pairs
 from sievemark.llm.topn import group_thresholds, top_n
 from sievemark.operators.packed import record_cells
@@ -107,3 +109,26 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @REG.add("p3_top10", f"WITH {_SQL_TOP} SELECT question_id, rnk, video_id, score FROM ranked WHERE rnk <= 10")
 def p3_top10(spark: SparkSession, d: str) -> DataFrame:
     return top_n(table(spark, d, "match_audit"), "question_id", "video_id", "score", 10)
+
+
+@REG.add("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+@REG.add("p6_coverage")
+def p6_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold half of an item or more, in passages of 16 characters and up, in any order."""
+    leaks = find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), min_run=16)
+    return leaks.where(F.col("coverage") >= 0.5).select("doc_id", "item_id", "n_tiles", "n_covered", F.round("coverage", 6).alias("coverage"))
+
+
+@REG.add("p7_mixture")
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "source_targets"))
+
+
+@REG.add("p7_shares")
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "source_targets")
+    return mixture_report(mix(table(spark, d, "documents"), targets), targets)
