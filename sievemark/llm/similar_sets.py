@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievemark.session import durable
+
 #: Bits of the sketch; two 64-bit words.
 SKETCH_BITS = 128
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -155,26 +157,27 @@ def similar_classes(members: DataFrame, threshold: Fraction = Fraction(3, 5), re
     floor for pairs exactly at the threshold; no candidate is dropped. Verification is exact.
     """
     plan = Plan.of(threshold, recall)
-    classes = members.groupBy("grp", "tags").agg(F.first("cid").alias("cid"))
     hashed = F.transform("tags", lambda v: F.xxhash64(v))
-    sk = _sketch_udf(plan)(hashed)
-    index = classes.select(F.xxhash64("grp").alias("gh"), "cid", F.size("tags").alias("n"), sk.alias("s")).select(
-        "gh", "cid", "n", F.col("s.w0").alias("w0"), F.col("s.w1").alias("w1"), F.explode("s.keys").alias("k")
-    )
-    index = index.select((F.col("k").bitwiseXOR(F.col("gh"))).alias("k"), "cid", "n", "w0", "w1")
-    a = index.select("k", *[F.col(c).alias(c + "_a") for c in ("cid", "n", "w0", "w1")])
-    b = index.select("k", *[F.col(c).alias(c + "_b") for c in ("cid", "n", "w0", "w1")])
+    classes = members.groupBy("grp", "tags").agg(F.first("cid").alias("cid")).withColumn("s", _sketch_udf(plan)(hashed))
+    classes = durable(classes.select("grp", "cid", "tags", F.col("s.w0").alias("w0"), F.col("s.w1").alias("w1"), "s.keys"), "sketches")
+    index = classes.select("cid", F.size("tags").cast("short").alias("n"), F.xxhash64("grp").alias("g"), F.explode("keys").alias("k"))
+    index = index.select(F.col("k").bitwiseXOR(F.col("g")).alias("k"), "cid", "n")
+    a = index.select("k", F.col("cid").alias("cid_a"), F.col("n").alias("n_a")).hint("merge")
+    b = index.select("k", F.col("cid").alias("cid_b"), F.col("n").alias("n_b"))
     num, den = threshold.numerator, threshold.denominator
     sizes = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
+    met = a.join(b, "k").where((F.col("cid_a") < F.col("cid_b")) & sizes).select("cid_a", "cid_b").distinct()
+
+    def side(x: str) -> DataFrame:
+        return classes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("grp", "cid", "tags", "w0", "w1")])
+
     near = F.bit_count(F.col("w0_a").bitwiseXOR(F.col("w0_b"))) + F.bit_count(F.col("w1_a").bitwiseXOR(F.col("w1_b"))) <= plan.radius
-    met = a.join(b, "k").where((F.col("cid_a") < F.col("cid_b")) & sizes & near).select("cid_a", "cid_b").distinct()
-    sets = classes.select("grp", "cid", "tags")
-    left = sets.select("grp", F.col("cid").alias("cid_a"), F.col("tags").alias("tags_a"))
-    right = sets.select(F.col("grp").alias("grp_b"), F.col("cid").alias("cid_b"), F.col("tags").alias("tags_b"))
-    both = met.join(left, "cid_a").join(right, "cid_b").where(F.col("grp").eqNullSafe(F.col("grp_b")) & (F.col("tags_a") != F.col("tags_b")))
+    same = F.col("grp_a").eqNullSafe(F.col("grp_b")) & (F.col("tags_a") != F.col("tags_b"))
+    both = met.join(side("a"), "cid_a").join(side("b"), "cid_b").where(same & near)
     shared: Column = F.size(F.array_intersect("tags_a", "tags_b"))
     counted = both.withColumn("n_shared", shared).withColumn("n_union", F.size("tags_a") + F.size("tags_b") - F.col("n_shared"))
-    return counted.where(F.col("n_shared") * den >= F.col("n_union") * num).select("grp", "cid_a", "tags_a", "cid_b", "tags_b", "n_shared", "n_union")
+    hit = counted.where(F.col("n_shared") * den >= F.col("n_union") * num)
+    return hit.select(F.col("grp_a").alias("grp"), "cid_a", "tags_a", "cid_b", "tags_b", "n_shared", "n_union")
 
 
 def similar_pairs(members: DataFrame, threshold: Fraction = Fraction(3, 5), recall: float = 0.999) -> DataFrame:
@@ -183,8 +186,8 @@ def similar_pairs(members: DataFrame, threshold: Fraction = Fraction(3, 5), reca
     The pairs of classes are expanded to their records, and records with equal sets are paired. If one set
     had a third of all records that would be most of all pairs; where copies abound, use ``similar_links``.
     """
-    pairs = similar_classes(members, threshold, recall)
-    m = members.select("grp", "cid", "tags", "record")
+    m = durable(members.select("grp", "cid", "tags", "record"), "members")
+    pairs = similar_classes(m, threshold, recall)
     left = m.select("grp", F.col("tags").alias("tags_a"), F.col("cid").alias("cid_a"), F.col("record").alias("r1"))
     right = m.select("grp", F.col("tags").alias("tags_b"), F.col("cid").alias("cid_b"), F.col("record").alias("r2"))
     across = pairs.join(left, ["grp", "cid_a", "tags_a"]).join(right, ["grp", "cid_b", "tags_b"]).select("grp", "r1", "r2")
@@ -197,6 +200,7 @@ def similar_links(members: DataFrame, threshold: Fraction = Fraction(3, 5), reca
     """``(grp, record, class_id, n_copies, n_links)``: one row per record and set, with its class of equal sets, the
     number of other records in the class, and of records in other classes that are similar. Copies are never expanded.
     """
+    members = durable(members, "members")
     sizes = members.groupBy("grp", "cid", "tags").agg(F.count(F.lit(1)).alias("size"), F.min("record").alias("class_id"))
     pairs = similar_classes(members, threshold, recall)
     ways = pairs.select("grp", F.col("cid_a").alias("cid"), F.col("tags_a").alias("tags"), F.col("cid_b").alias("other"), F.col("tags_b").alias("other_tags")).unionByName(
