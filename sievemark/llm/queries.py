@@ -10,7 +10,8 @@ from sievemark.llm.leakage import find_leaks
 from sievemark.llm.lookalike import canonical_texts, same_look_pairs
 from sievemark.llm.mixture import mix, mixture_report
 from sievemark.llm.similar_sets import set_members, similar_links, similar_pairs
-from sievemark.llm.topn import group_thresholds, top_n
+from sievemark.llm.subjects import subject_shares, subjects_of
+from sievemark.llm.topn import top_n
 from sievemark.operators.packed import record_cells
 from sievemark.operators.records import first_delivery
 from sievemark.queries import Registry
@@ -132,3 +133,17 @@ def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "source_targets")
     return mixture_report(mix(table(spark, d, "documents"), targets), targets)
+
+
+@REG.add("p8_found")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects_of(subject_shares(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "subjects")))
+
+
+@REG.add("p8_composition")
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """The make-up of the corpus: per subject the documents that deal with it and its sentences in all documents."""
+    shares = subject_shares(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "subjects"))
+    return shares.groupBy("subject_code").agg(
+        F.count_if(F.col("share") >= 0.25).alias("n_documents"), F.sum(F.round(F.col("share") * F.col("n_sentences")).cast("bigint")).alias("n_sentences")
+    )
