@@ -15,6 +15,11 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, name: st
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
+def numbered(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """All rows, numbered from 1 within their group in ``order`` (which should be total)."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+
+
 def accept(df: DataFrame, group: list[str], order: list[Column], passes: Column, quota: Column) -> DataFrame:
     """Adds ``accepted``: true for rows that pass while fewer than ``quota`` before them in the group passed."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

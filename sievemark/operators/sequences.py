@@ -36,16 +36,15 @@ def following(df: DataFrame, group: list[str], order: list[Column], columns: lis
 def in_ranges(df: DataFrame, point: str, ranges: DataFrame, low: str, high: str, keys: list[str], order: list[str], width: int) -> DataFrame:
     """``df`` with the first range (by ``order``) of its ``keys`` that holds ``point`` (both ends count); null without one.
 
-    Ranges are cut to bins of ``width`` and joined on key and bin, so that no pair of a row and a range that
-    is far from it is ever formed. Rows of ``df`` are told apart by a row id, so equal rows all stay.
+    The distinct points of ``df`` and the ranges, cut to bins of ``width``, are joined on key and bin, so that
+    no pair of a point and a range far from it is ever formed. Columns of ``ranges`` must not be in ``df``.
     """
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
     bins = ranges.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    near = rows.where(F.col(point).isNotNull()).withColumn("_bin", F.floor(F.col(point) / width)).join(bins, [*keys, "_bin"])
-    hit = near.where(F.col(point).between(F.col(low), F.col(high)))
+    points = df.where(F.col(point).isNotNull()).select(*keys, point).distinct().withColumn("_bin", F.floor(F.col(point) / width))
     extra = [c for c in ranges.columns if c not in keys]
-    first = hit.groupBy("_row").agg(F.min(F.struct(*order, *[c for c in extra if c not in order])).alias("_r"))
-    return rows.join(first, "_row", "left").select(*df.columns, *[F.col("_r")[c].alias(c) for c in extra])
+    hit = points.join(bins, [*keys, "_bin"]).where(F.col(point).between(F.col(low), F.col(high)))
+    first = hit.groupBy(*keys, point).agg(F.min(F.struct(*order, *[c for c in extra if c not in order])).alias("_r"))
+    return df.join(first, [*keys, point], "left").select(*df.columns, *[F.col("_r")[c].alias(c) for c in extra])
 
 
 def dense_rows(df: DataFrame, group: str, number: str, low: int = 1) -> DataFrame:

@@ -218,3 +218,4 @@ ROUTES = {
         ("基本实验题", "科学探究题"), ("选择题图像题", "计算题"),
     ],
 }
+ROUTES["v4"] = ROUTES["v5"]
