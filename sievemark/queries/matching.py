@@ -318,3 +318,15 @@ def ordered_adjustments(spark: SparkSession, d: str) -> DataFrame:
     papers = m.select("paper").where(F.col("paper").isNotNull()).distinct()
     per = papers.join(F.broadcast(rows), F.expr("contains(paper, paper_like)")).groupBy("paper", "qnum").agg(F.collect_list(F.struct("ord", "op", "value")).alias("todo"))
     return m.join(per, ["paper", "qnum"], "left").select("match_id", fold_adjustments(F.floor("score"), F.col("todo")).cast("int").alias("score"))
+
+
+@REG.add("transcript_two_stage")
+def transcript_two_stage(spark: SparkSession, d: str) -> DataFrame:
+    """The transcript that fits each video best, by file name and, where that does not decide, by its text."""
+    from sievemark.operators.fuzzy import match_names
+
+    v = B.videos(spark, d, "video_name", "hierarchy", "content_summary", "signatures")
+    context = F.concat_ws(" ", *[X.text(F.col(c)) for c in ("video_name", "hierarchy", "content_summary", "signatures")])
+    left = v.select(F.col("video_id").alias("left_id"), F.col("video_name").alias("name"), context.alias("context"))
+    t = B.transcripts(spark, d, "file_name", "text").select(F.col("transcript_id").alias("right_id"), F.col("file_name").alias("file"), F.col("text").alias("body"))
+    return match_names(left, t).select(F.col("left_id").alias("video_id"), F.col("right_id").alias("transcript_id"), "name_score", "body_score", "status")

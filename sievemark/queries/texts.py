@@ -301,3 +301,22 @@ def merged_stem_split(spark: SparkSession, d: str) -> DataFrame:
     f = q.join(there, ["paper", "qnum"], "left").withColumn("cut", (F.col("at") > 1) & F.col("next").isNull())
     parts = F.when(F.col("cut"), F.array(F.trim(F.expr("substring(st, 1, at - 1)")), F.trim(F.expr("substring(st, at)")))).otherwise(F.array("st"))
     return f.select("question_id", F.posexplode(parts).alias("p", "stem")).select("question_id", (F.col("p") + 1).alias("part"), "stem")
+
+
+@REG.add(
+    "intake_tags",
+    f"""WITH {B.Q}, {_SQL_STEM} SELECT question_id, ty AS question_type, CASE WHEN hard THEN 4 WHEN ty IN ('科学探究题', '工艺流程题', '推断题', '计算题', '综合应用题') THEN 3 ELSE 1 END AS difficulty
+    FROM (SELECT question_id, {_sql_type()} AS ty, ({_SQL_HARD} OR length(r) > 700) AS hard FROM c)""",
+)
+def intake_tags(spark: SparkSession, d: str) -> DataFrame:
+    """The same labels as a stream: the table is read as arriving files, tagged and written, and the result read back."""
+    import uuid
+
+    from sievemark.session import shared_dir
+    from sievemark.streaming import intake
+
+    base = f"{shared_dir(spark)}/intake-{uuid.uuid4().hex}"
+    q = B.questions(spark, d, "paper", "stem", "has_visual").select("question_id", "paper", "stem", "has_visual", F.col("imported_at").cast("timestamp").alias("imported_at"))
+    q.write.parquet(f"{base}/in")
+    intake.start(intake.tagged(intake.read_stream(spark, f"{base}/in")), f"{base}/out", f"{base}/log").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("question_id", "question_type", "difficulty")
