@@ -180,7 +180,9 @@ def leaks_of(ids: list, texts: list[str], items: Items) -> Iterator[tuple]:
             continue
         doc = np.searchsorted(start, hit, "right") - 1
         hit, doc = hit[hit + w <= start[doc + 1]], doc[hit + w <= start[doc + 1]]
-        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else []
+        if not len(doc):
+            continue
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
         for a, b in zip(first, [*first[1:], len(doc)], strict=True):
             k = int(doc[a])
             at, own = hit[a:b] - start[k], hashes[hit[a:b]]
@@ -220,6 +222,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_t
             lookup = Items(*shared.value, min_run)
             for b in batches:
                 found = list(leaks_of(b[doc_key].tolist(), b[doc_text].tolist(), lookup))
+                if not found:
+                    continue
                 yield pd.DataFrame({doc_key: [x[0] for x in found], item_key: [x[1] for x in found], "n_tiles": [x[2] for x in found], "n_covered": [x[3] for x in found], "longest": [x[4] for x in found], "coverage": [x[3] / x[5] for x in found]})
 
         part = source.mapInPandas(search, schema)
