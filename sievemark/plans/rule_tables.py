@@ -203,6 +203,34 @@ SIGNATURE_TAGS = [
     ("科普阅读", ["化学与生活"], ["信息提取"], "科普阅读信息提取"),
 ]
 
+#: Visual anchors of the third generation.
+ANCHORS = [
+    *Rule.of(
+        [
+            ("U型管", ["U型管", "U 形管", "红墨水", "压强", "液面"]),
+            ("注射器", ["注射器", "推注", "活塞"]),
+            ("集气瓶/锥形瓶", ["集气瓶", "锥形瓶", "烧瓶", "广口瓶"]),
+        ]
+    ),
+    Rule("CO2-NaOH反应证明", (), (_CO2, _NAOH)),
+    *Rule.of(
+        [
+            ("加酸产生气泡", ["稀盐酸", "盐酸", "气泡", "碳酸钠", "碳酸盐"]),
+            ("流程图", ["流程图", "工艺流程", "滤液", "滤渣", "废液", "废渣", "制备", "回收", "提纯"]),
+            ("实验装置图", ["装置", "实验", "仪器", "导管", "试管", "烧杯", "水槽"]),
+            ("表格数据", ["表格", "数据", "记录", "实验次数", "质量/g", "加入"]),
+            ("坐标曲线", ["坐标", "曲线", "图像", "pH", "溶解度曲线", "折线"]),
+            ("溶解度曲线", ["溶解度曲线", "溶解度", "饱和溶液", "结晶"]),
+            ("pH曲线", ["pH", "中和反应", "滴加", "酸碱"]),
+            ("金属酸图像", ["金属", "盐酸", "稀硫酸", "氢气", "活动性"]),
+            ("推断框图", ["推断", "框图", "转化关系", "A、B", "A～"]),
+            ("科普阅读材料", ["科普阅读", "阅读理解", "资料", "短文"]),
+            ("制气装置", ["制取氧气", "制取二氧化碳", "发生装置", "收集装置"]),
+            ("控制变量对照", ["控制变量", "对照实验", "影响因素", "变量"]),
+        ]
+    ),
+]
+
 PROCESS_CONTEXT = [
     "工艺流程", "流程图", "滤液", "滤渣", "废液", "废渣", "酸浸", "碱浸", "焙烧", "灼烧", "制备", "提纯", "吸收塔", "合成塔", "反应塔",
     "气化炉", "变换炉", "设备1", "设备2", "反应器", "母液", "产物", "副产物", "返回", "循环使用的物质", "循环利用的物质",
