@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievemark.functions.cells import cell_values
 from sievemark.llm.leakage import find_leaks
-from sievemark.llm.lookalike import canonical_texts, same_look_pairs
+from sievemark.llm.lookalike import canonical_texts, plain, same_look_pairs
 from sievemark.llm.mixture import mix, mixture_report
 from sievemark.llm.similar_sets import set_members, similar_links, similar_pairs
 from sievemark.llm.subjects import subject_shares, subjects_of
@@ -82,12 +82,31 @@ def _looks(spark: SparkSession, d: str) -> DataFrame:
     return canonical_texts(q, ["record_id"], ["stem"]).unionByName(canonical_texts(v, ["record_id"], ["video_name", "content_summary"]))
 
 
-@REG.add("p2_found")
+def _sql_canonical(x: str) -> str:
+    """The table of look-alikes as SQL, for the blocks of characters that the data draw on; the trie has no part in it."""
+    blocks = [range(0xA0, 0xB8), range(0x391, 0x3F3), range(0x400, 0x530), range(0x2000, 0x2070), range(0x2F00, 0x2FD6), range(0x3000, 0x3001), range(0xF900, 0xFAFF), range(0xFF01, 0xFFE7)]
+    pairs = [(chr(c), plain(chr(c))) for b in blocks for c in b if len(plain(chr(c))) == 1 and plain(chr(c)) != chr(c)]
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    seen = rf"regexp_replace(replace({x}, '℃', '°C'), '[\x{{ad}}\x{{200b}}-\x{{200f}}\x{{2060}}-\x{{2064}}\x{{fe00}}-\x{{fe0f}}\x{{feff}}]', '', 'g')"
+    return f"nfc_normalize(translate({seen}, {quote(''.join(a for a, _ in pairs))}, {quote(''.join(b for _, b in pairs))}))"
+
+
+_SQL_LOOKS = f"""
+texts AS (
+  SELECT 'stem' AS field_name, question_id AS id, arg_min(stem, imported_at) AS raw FROM exam_record GROUP BY question_id
+  UNION ALL SELECT 'video_name', video_id, arg_min(video_name, imported_at) FROM video_record GROUP BY video_id
+  UNION ALL SELECT 'content_summary', video_id, arg_min(content_summary, imported_at) FROM video_record GROUP BY video_id
+),
+looks AS (SELECT field_name, id, raw, {_sql_canonical('raw')} AS canonical FROM texts WHERE raw IS NOT NULL)
+"""
+
+
+@REG.add("p2_found", f"WITH {_SQL_LOOKS} SELECT a.field_name, a.id AS id_a, b.id AS id_b FROM looks a JOIN looks b ON a.field_name = b.field_name AND a.canonical = b.canonical AND a.raw <> b.raw AND a.id < b.id")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return same_look_pairs(_looks(spark, d), "record_id")
 
 
-@REG.add("p2_canonical")
+@REG.add("p2_canonical", f"WITH {_SQL_LOOKS} SELECT field_name, id AS record_id, canonical, raw <> canonical AS changed FROM looks")
 def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Every text of the three fields in its canonical form."""
     return _looks(spark, d).select("field_name", "record_id", "canonical", (F.col("raw") != F.col("canonical")).alias("changed"))
@@ -112,7 +131,15 @@ def p3_top10(spark: SparkSession, d: str) -> DataFrame:
     return top_n(table(spark, d, "match_audit"), "question_id", "video_id", "score", 10)
 
 
-@REG.add("p6_found")
+_WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+
+
+def _sql_windows(name: str, table_name: str, key: str, text: str) -> str:
+    folded = rf"regexp_replace(lower(translate({text}, '{_WIDE}', '{_NARROW.replace(chr(39), chr(39) * 2)}')), '[^\p{{L}}\p{{Nd}}]', '', 'g')"
+    return f"{name}_t AS (SELECT {key}, {folded} AS t FROM {table_name} WHERE {text} IS NOT NULL), {name} AS (SELECT DISTINCT {key}, t[i:i + 29] AS w FROM (SELECT {key}, t, unnest(range(1, length(t) - 28)) AS i FROM {name}_t))"
+
+
+@REG.add("p6_found", f"WITH {_sql_windows('dw', 'documents', 'doc_id', 'text')}, {_sql_windows('iw', 'eval_items', 'item_id', 'item_text')} SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (w)")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
