@@ -21,18 +21,35 @@ REG = Registry()
 # --- topics and keywords (first generation) -------------------------------------------------------
 
 
-def _topic_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """``(question_id, video_id, score, reason_type, verdict)``; scores are tenths, so that they are whole numbers."""
+def _topic_pairs(spark: SparkSession, d: str, k: int = 3) -> DataFrame:
+    """Candidates ``(question_id, video_id, score, reason_type)``: the ``k`` best of each question are among them.
+
+    Scores are tenths, so that they are whole numbers. A topic is shared by most pairs, so pairs are not formed
+    by topic: videos with the same set of topics are one class, a question scores classes, and of each class
+    the ``k`` least ids stand for the rest (who score the same or, with a shared keyword, are found by that).
+    """
     q = B.questions(spark, d, "stem").withColumns({"topic": tags(R.TOPICS, F.col("stem")), "keyword": X.keywords(F.col("stem"))})
+    q = q.withColumn("wanted", F.array_compact(F.array(*[F.when(F.col("stem").rlike(f"(?i){p}"), F.lit(t)) for p, t in R.SIGNALS]))).drop("stem")
     v = B.videos(spark, d, "video_name").withColumns({"topic": tags(R.TOPICS, F.col("video_name")), "keyword": X.keywords(F.col("video_name"))})
-    sets = {"topic": F.col("topic"), "keyword": F.col("keyword")}
-    met = P.shared_counts(P.tag_rows(q, "question_id", sets), P.tag_rows(v, "video_id", sets), "question_id", "video_id", ["topic", "keyword"])
-    signals = q.select("question_id", F.array_compact(F.array(*[F.when(F.col("stem").rlike(f"(?i){p}"), F.lit(t)) for p, t in R.SIGNALS])).alias("wanted"))
-    near = met.where((F.col("n_topic") > 0) | (F.col("n_keyword") >= 3)).join(signals, "question_id").join(v.select("video_id", "topic"), "video_id")
-    had = F.size(F.filter("wanted", lambda t: F.array_contains("topic", t)))
-    score = 100 * F.col("n_topic") + 12 * F.col("n_keyword") + 80 * had - 40 * (F.size("wanted") - had)
-    reason = F.when(F.col("n_topic") > 0, "核心知识点相同").otherwise("题型方法/素材相似")
-    return near.select("question_id", "video_id", score.cast("int").alias("score"), reason.alias("reason_type")).where(F.col("score") >= 100)
+    v = v.withColumn("kind", F.array_join("topic", "|")).drop("video_name")
+
+    def scored(df: DataFrame) -> DataFrame:
+        n, had = F.size(F.array_intersect("topic", "topics_v")), F.size(F.array_intersect("wanted", "topics_v"))
+        points = 100 * n + 12 * F.col("n_keyword") + 80 * had - 40 * (F.size("wanted") - had)
+        both = df.withColumns({"n_topic": n, "score": points.cast("int")})
+        return both.where(((F.col("n_topic") > 0) | (F.col("n_keyword") >= 3)) & (F.col("score") >= 100))
+
+    kinds = v.select("kind", F.col("topic").alias("topics_v")).distinct()
+    met = P.tag_rows(q, "question_id", {"topic": F.col("topic")}).join(P.tag_rows(kinds, "kind", {"topic": F.col("topics_v")}), ["family", "tag"]).select("question_id", "kind").distinct()
+    by_kind = scored(met.join(q, "question_id").join(kinds, "kind").withColumn("n_keyword", F.lit(0))).select("question_id", "kind", "score", "n_topic")
+    stand_ins = K.top_k(v.select("kind", "video_id"), ["kind"], [F.asc("video_id")], k, "n").select("kind", "video_id")
+    words = {"keyword": F.col("keyword")}
+    shared = P.shared_counts(P.tag_rows(q, "question_id", words), P.tag_rows(v, "video_id", words), "question_id", "video_id", ["keyword"])
+    by_word = scored(shared.join(q, "question_id").join(v.select("video_id", F.col("topic").alias("topics_v")), "video_id"))
+    columns = ("question_id", "video_id", "score", "n_topic")
+    every = by_kind.join(stand_ins, "kind").select(*columns).unionByName(by_word.select(*columns))
+    best = every.groupBy("question_id", "video_id").agg(F.max("score").alias("score"), F.max("n_topic").alias("n_topic"))
+    return best.select("question_id", "video_id", "score", F.when(F.col("n_topic") > 0, "核心知识点相同").otherwise("题型方法/素材相似").alias("reason_type"))
 
 
 _SQL_SIGNALS = "[" + ", ".join(f"CASE WHEN regexp_matches(stem, '(?i){p}') THEN '{t}' END" for p, t in R.SIGNALS) + "]"
