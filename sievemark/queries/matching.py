@@ -15,6 +15,7 @@ from sievemark.plans import rule_tables as R
 from sievemark.queries import Registry
 from sievemark.queries import base as B
 from sievemark.queries.texts import sql_families
+from sievemark.session import durable
 
 REG = Registry()
 
@@ -32,6 +33,7 @@ def _topic_pairs(spark: SparkSession, d: str, k: int = 3) -> DataFrame:
     q = q.withColumn("wanted", F.array_compact(F.array(*[F.when(F.col("stem").rlike(f"(?i){p}"), F.lit(t)) for p, t in R.SIGNALS]))).drop("stem")
     v = B.videos(spark, d, "video_name").withColumns({"topic": tags(R.TOPICS, F.col("video_name")), "keyword": X.keywords(F.col("video_name"))})
     v = v.withColumn("kind", F.array_join("topic", "|")).drop("video_name")
+    q, v = durable(q, "topics"), durable(v, "topics")
 
     def scored(df: DataFrame) -> DataFrame:
         n, had = F.size(F.array_intersect("topic", "topics_v")), F.size(F.array_intersect("wanted", "topics_v"))
@@ -200,18 +202,28 @@ def routed_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _routes(spark, "v5").join(q, "type_q").join(v, "type_v").select("type_q", "type_v", (F.col("nq") * F.col("nv")).alias("n_pairs"))
 
 
-def _family_pairs(spark: SparkSession, d: str, generation: str) -> DataFrame:
-    """Pairs that share a tag of any family and lie on a route (or share a task model, from v5), with their counts and score."""
+def _family_kinds(spark: SparkSession, d: str, generation: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions and videos with their ``kind`` (labels and type), and the pairs of kinds that share a tag of any family and
+    lie on a route (or share a task model, from v5), with counts and score. Labels say all there is to a pair, so
+    pairs are scored by kind and never formed one by one."""
     names = [b.family for b in P.SCORES[generation]]
-    q = L.with_families(B.questions(spark, d, "stem", "question_type"), "stem")
-    v = L.with_families(B.videos(spark, d, "content_summary", "question_type"), "content_summary")
+
+    def labelled(df: DataFrame, stem: str, key: str) -> DataFrame:
+        rows = L.with_families(df, stem).select(key, "question_type", *names)
+        return durable(rows.withColumn("kind", F.to_json(F.struct("question_type", *names))), "labels")
+
+    q = labelled(B.questions(spark, d, "stem", "question_type"), "stem", "question_id")
+    v = labelled(B.videos(spark, d, "content_summary", "question_type"), "content_summary", "video_id")
+    qk = q.select(F.col("kind").alias("kind_q"), F.col("question_type").alias("type_q"), *names).distinct()
+    vk = v.select(F.col("kind").alias("kind_v"), F.col("question_type").alias("type_v"), *names).distinct()
     sets = {n: F.col(n) for n in names}
-    met = P.shared_counts(P.tag_rows(q, "question_id", sets), P.tag_rows(v, "video_id", sets), "question_id", "video_id", names)
-    typed = met.join(q.select("question_id", F.col("question_type").alias("type_q")), "question_id").join(v.select("video_id", F.col("question_type").alias("type_v")), "video_id")
+    met = P.shared_counts(P.tag_rows(qk, "kind_q", sets), P.tag_rows(vk, "kind_v", sets), "kind_q", "kind_v", names)
+    typed = met.join(qk.select("kind_q", "type_q"), "kind_q").join(vk.select("kind_v", "type_v"), "kind_v")
     open_ = typed.join(F.broadcast(_routes(spark, generation).withColumn("routed", F.lit(True))), ["type_q", "type_v"], "left")
     allowed = F.coalesce("routed", F.lit(False)) | ((F.col("n_task_model") > 0) if generation == "v5" else F.lit(False))
     same = F.coalesce(F.col("type_q") == F.col("type_v"), F.lit(False))
-    return open_.where(allowed).withColumn("same_type", same).withColumn("score", P.family_score(generation, F.col("same_type")))
+    scored = open_.where(allowed).withColumn("same_type", same).withColumn("score", P.family_score(generation, F.col("same_type")))
+    return q.select("question_id", F.col("kind").alias("kind_q")), v.select("video_id", F.col("kind").alias("kind_v")), scored
 
 
 def _sql_family(generation: str) -> str:
@@ -228,14 +240,19 @@ def _sql_family(generation: str) -> str:
 
 @REG.add("family_score_v4", f"WITH {_sql_family('v4')} SELECT question_id, video_id, score FROM scored WHERE score >= 105")
 def family_score_v4(spark: SparkSession, d: str) -> DataFrame:
-    return _family_pairs(spark, d, "v4").where(F.col("score") >= P.LEAST["v4"]).select("question_id", "video_id", "score")
+    q, v, kinds = _family_kinds(spark, d, "v4")
+    return kinds.where(F.col("score") >= P.LEAST["v4"]).join(q, "kind_q").join(v, "kind_v").select("question_id", "video_id", "score")
 
 
 _TOP12 = "top12 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, video_id) AS rnk FROM scored WHERE score > 0 QUALIFY rnk <= 12)"
 
 
 def _top12(spark: SparkSession, d: str) -> DataFrame:
-    return K.top_k(_family_pairs(spark, d, "v5").where(F.col("score") > 0), ["question_id"], [F.desc("score"), F.asc("video_id")], 12)
+    """The twelve best videos of each question: found per kind of question, among the twelve least ids of each kind of video."""
+    q, v, kinds = _family_kinds(spark, d, "v5")
+    stand_ins = K.top_k(v, ["kind_v"], [F.asc("video_id")], 12, "n").drop("n")
+    best = K.top_k(kinds.where(F.col("score") > 0).join(stand_ins, "kind_v"), ["kind_q"], [F.desc("score"), F.asc("video_id")], 12)
+    return best.join(q, "kind_q")
 
 
 @REG.add("family_score_v5", f"WITH {_sql_family('v5')}, {_TOP12} SELECT question_id, CAST(rnk AS INT) AS rnk, video_id, score FROM top12")
