@@ -91,9 +91,25 @@ class Items:
         self.bitmap = np.zeros(1 << _BITS, dtype=bool)
         self.bitmap[(self.hash >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
+        self._windows: dict[int, np.ndarray] = {}
+
     def item(self, k: int) -> np.ndarray:
         return self.chars[self.start[k] : self.start[k + 1]]
 
+    def windows(self, k: int) -> np.ndarray:
+        """The hashes of all windows of an item."""
+        if k not in self._windows:
+            self._windows[k] = window_hashes(self.item(k), self.width)
+        return self._windows[k]
+
+    def may_cover(self, k: int, seeds: np.ndarray, least: float) -> bool:
+        """Whether windows with these (sorted, distinct) hashes touch a part ``least`` of the item. Tiles can't cover more."""
+        own = self.windows(k)
+        at = np.minimum(np.searchsorted(seeds, own), len(seeds) - 1)
+        places = np.flatnonzero(seeds[at] == own)
+        touched = np.minimum(np.diff(places), self.width).sum() + self.width if len(places) else 0
+        return touched >= least * len(self.item(k))
+
     def seeds(self, hashes: np.ndarray) -> np.ndarray:
         """Which of the hashes are windows of an item."""
         hit = np.nonzero(self.bitmap[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)])[0]
@@ -169,8 +185,9 @@ def _chunks(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
         yield ids[start:], texts[start:]
 
 
-def leaks_of(ids: list, texts: list[str], items: Items) -> Iterator[tuple]:
-    """``(doc id, item id, tiles, covered, longest, item length)`` for each document and item with a common run."""
+def leaks_of(ids: list, texts: list[str], items: Items, least: float = 0.0) -> Iterator[tuple]:
+    """``(doc id, item id, tiles, covered, longest, item length)`` for each document and item with a common run, and with
+    tiles that cover a part ``least`` of the item or more."""
     w = items.width
     for part_ids, part in _chunks(ids, texts):
         chars, start = fold(part)
@@ -188,19 +205,23 @@ def leaks_of(ids: list, texts: list[str], items: Items) -> Iterator[tuple]:
             at, own = hit[a:b] - start[k], hashes[hit[a:b]]
             lo, hi = np.searchsorted(items.hash, own, "left"), np.searchsorted(items.hash, own, "right")
             found = np.unique(np.concatenate([items.owner[x:y] for x, y in set(zip(lo.tolist(), hi.tolist(), strict=True))]))
-            text = chars[start[k] : start[k + 1]]
+            text, distinct = chars[start[k] : start[k + 1]], np.unique(own)
             for f in found.tolist():
+                if least and not items.may_cover(f, distinct, least):
+                    continue
                 item = items.item(f)
-                tiles = tile(runs_of_seeds(at, own, window_hashes(item, w)), text, item, w)
-                if tiles:
-                    yield part_ids[k], items.ids[f], len(tiles), sum(t[2] for t in tiles), max(t[2] for t in tiles), len(item)
+                tiles = tile(runs_of_seeds(at, own, items.windows(f)), text, item, w)
+                covered = sum(t[2] for t in tiles)
+                if tiles and covered >= least * len(item):
+                    yield part_ids[k], items.ids[f], len(tiles), covered, max(t[2] for t in tiles), len(item)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "item_text", min_run: int = 30, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "item_text", min_run: int = 30, least_coverage: float = 0.0, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Every document that shares a run of ``min_run`` letters and digits with an item, with the item:
     ``(doc_key, item_key, n_tiles, n_covered, longest, coverage)``, a row per document and item.
 
-    ``coverage`` is the part of the item's letters and digits that tiles cover. Case and width don't
+    ``coverage`` is the part of the item's letters and digits that tiles cover; pairs with less than
+    ``least_coverage`` are left out (most of them before they are tiled, by what seeds touch at most). Case and width don't
     count, and nothing but letters and decimal digits does. Null texts share nothing; rows with null keys
     are left out; repeated rows of an item or document count once. The items are taken in blocks of about
     ``block_chars`` characters, a pass over the documents each, so what is broadcast has a bound whatever the
@@ -221,7 +242,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_t
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
             lookup = Items(*shared.value, min_run)
             for b in batches:
-                found = list(leaks_of(b[doc_key].tolist(), b[doc_text].tolist(), lookup))
+                found = list(leaks_of(b[doc_key].tolist(), b[doc_text].tolist(), lookup, least_coverage))
                 if not found:
                     continue
                 yield pd.DataFrame({doc_key: [x[0] for x in found], item_key: [x[1] for x in found], "n_tiles": [x[2] for x in found], "n_covered": [x[3] for x in found], "longest": [x[4] for x in found], "coverage": [x[3] / x[5] for x in found]})

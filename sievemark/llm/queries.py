@@ -147,8 +147,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 @REG.add("p6_coverage")
 def p6_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold half of an item or more, in passages of 16 characters and up, in any order."""
-    leaks = find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), min_run=16)
-    return leaks.where(F.col("coverage") >= 0.5).select("doc_id", "item_id", "n_tiles", "n_covered", F.round("coverage", 6).alias("coverage"))
+    leaks = find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), min_run=16, least_coverage=0.5)
+    return leaks.select("doc_id", "item_id", "n_tiles", "n_covered", F.round("coverage", 6).alias("coverage"))
 
 
 @REG.add("p7_mixture")

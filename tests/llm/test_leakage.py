@@ -51,3 +51,12 @@ def test_frame(spark):
         got = {(r.doc_id, r.item_id, r.longest) for r in find_leaks(d, i, block_chars=block).collect()}
         assert got == {(1, "9", len(item)), (5, "9", 33), (6, "9", len(item))}
     assert find_leaks(d.limit(0), i).count() == 0 and find_leaks(d, i.limit(0)).count() == 0
+
+
+def test_least_coverage_prunes_exactly():
+    rng = random.Random(9)
+    for _ in range(200):
+        texts = ["".join(rng.choice("abc") for _ in range(rng.randint(5, 80))) for _ in range(3)]
+        items = Items([1, 2], ["".join(rng.choice("abc") for _ in range(rng.randint(4, 30))) for _ in range(2)], 4)
+        every = list(leaks_of([1, 2, 3], texts, items))
+        assert list(leaks_of([1, 2, 3], texts, items, 0.6)) == [x for x in every if x[3] >= 0.6 * x[5]]
