@@ -124,3 +124,40 @@ def test_fuzzy_against_all_pairs(spark):
         best = max(_plain_score(n, f) for f in files)
         if best >= 0.58:
             assert abs(got[f"v{i}"].name_score - best) < 0.0015 and got[f"v{i}"].status == "by name"
+
+
+def test_fuzzy_reranks_the_best_by_name_of_all(spark):
+    """More than 8 rivals by shared pairs of characters, pairs of names that share none, and names that decide nothing."""
+    rng = random.Random(5)
+    pick = lambda lo, hi: "".join(rng.choice("碳酸钠钙氧化铜铁反应流程上下") for _ in range(rng.randint(lo, hi)))
+    names = [pick(4, 12) for _ in range(60)] + ["甲乙丙丁戊己", "碳", "上碳酸钠", "", "ab碳酸钙cd"]
+    files = [pick(2, 14) for _ in range(120)] + ["甲x丙y戊z", "甲一乙二丙三丁四戊五己六", "下碳酸钠", "Ab碳酸钙", "碳碳碳碳碳碳碳碳"]
+    bodies = [" ".join(rng.sample(names[:60], 3)) if rng.random() < 0.5 else "正文" for _ in files]
+    left = spark.createDataFrame([(i, n, n + " " + pick(3, 5)) for i, n in enumerate(names)], "left_id int, name string, context string")
+    right = spark.createDataFrame([(i, f, b) for i, (f, b) in enumerate(zip(files, bodies, strict=True))], "right_id int, file string, body string")
+    got = {r.left_id: r for r in fuzzy.match_names(left, right).collect()}
+    key = lambda df, c: {r[0]: r[1] for r in df.select(df.columns[0], X.name_key(F.col(c))).collect()}
+    ka, kb = key(left, "name"), key(right, "file")
+    both = left.crossJoin(right).select("left_id", "right_id", fuzzy.body_score(X.tokens(F.col("context")), X.tokens(F.col("name")), X.compact(F.col("body"))).alias("s"))
+    body = {(r.left_id, r.right_id): r.s for r in both.collect()}
+    decided = 0
+    for i in ka:
+        score = lambda j: _plain_score(ka[i], kb[j]) if ka[i] and kb[j] else 0.0  # noqa: B023, E731
+        best = sorted(kb, key=lambda j: (-score(j), j))[:8]
+        if score(best[0]) < 0.58:
+            best = sorted(best, key=lambda j: (-round(score(j) * 0.7 + body[i, j] * 0.3, 6), j))  # noqa: B023
+            decided += 1
+        want = (best[0], score(best[0]), body[i, best[0]])
+        assert (got[i].right_id, got[i].name_score, got[i].body_score) == (want if any(want[1:]) else (None, 0.0, 0.0)), (names[i], want)
+    assert decided > 15
+    assert got[60].name_score > 0.3
+
+
+def test_name_index_in_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    names = ["".join(rng.choice("碳酸钠钙氧化") for _ in range(rng.randint(2, 7))) for _ in range(50)]
+    left = spark.createDataFrame([(i, n, n) for i, n in enumerate(names[:15])], "left_id int, name string, context string")
+    right = spark.createDataFrame([(i, n, "正文") for i, n in enumerate(names[15:] * 2)], "right_id int, file string, body string")
+    whole = {tuple(r) for r in fuzzy.match_names(left, right).collect()}
+    monkeypatch.setattr(fuzzy, "BLOCK", 10)
+    assert {tuple(r) for r in fuzzy.match_names(left, right).collect()} == whole
