@@ -7,11 +7,20 @@ pairs share a tag is given by the data; ``need`` says which counts a pair must h
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievemark.session import durable
+
+#: Names that are broadcast at once, and the characters of a name by which it is looked up.
+BLOCK, HEAD = 100_000, 4
+
 
 def tag_rows(df: DataFrame, key: str, sets: dict[str, Column]) -> DataFrame:
     """``(key, family, tag)``: one row per distinct tag of each family (arrays of strings) of each row."""
@@ -31,6 +40,41 @@ def shared_counts(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     return met.groupBy(left_key, right_key).agg(*counts)
 
 
+def _lookup(names: list[str]) -> dict[str, list[tuple[int, set[str]]]]:
+    """The names by their first characters (at most ``HEAD``) and length."""
+    out: dict[str, dict[int, set[str]]] = defaultdict(lambda: defaultdict(set))
+    for n in names:
+        out[n[:HEAD]][len(n)].add(n)
+    return {head: sorted(by.items()) for head, by in out.items()}
+
+
+def contained(texts: DataFrame, names: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    """``(key, name)``: every name that occurs in a text, whole texts and all names. Blank names occur in none.
+
+    Distinct names are broadcast in blocks; each place of a text is looked up by the beginnings of names.
+    """
+    spark = texts.sparkSession
+    names = durable(names.select(name).where(F.col(name) != "").distinct(), "names")
+    blocks = max(1, -(-names.count() // BLOCK))
+
+    def of_block(k: int) -> DataFrame:
+        rows = names.where(F.pmod(F.xxhash64(name), F.lit(blocks)) == k).toPandas()
+        heads = spark.sparkContext.broadcast(_lookup(rows[name].tolist()))
+
+        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = heads.value
+            for b in batches:
+                got = []
+                for i, t in zip(b[key], b[text], strict=True):
+                    hits = {t[at : at + n] for at in range(len(t)) for h in range(1, HEAD + 1) for n, some in known.get(t[at : at + h], ()) if (n == h or h == HEAD) and t[at : at + n] in some}
+                    got += [(i, x) for x in hits]
+                yield pd.DataFrame(got, columns=[key, name])
+
+        return texts.where(F.col(text) != "").select(key, text).mapInPandas(find, f"`{key}` {dict(texts.dtypes)[key]}, `{name}` string")
+
+    return reduce(DataFrame.unionByName, map(of_block, range(blocks)))
+
+
 @dataclass(frozen=True)
 class Bonus:
     """``base`` + ``step`` x min(n, ``most``) if the pair shares ``family`` at all."""

@@ -22,22 +22,25 @@ REG = Registry()
 # --- topics and keywords (first generation) -------------------------------------------------------
 
 
-def _topic_pairs(spark: SparkSession, d: str, k: int = 3) -> DataFrame:
+def _topic_pairs(spark: SparkSession, d: str, k: int = 3, named: bool = False) -> DataFrame:
     """Candidates ``(question_id, video_id, score, reason_type)``: the ``k`` best of each question are among them.
 
     Scores are tenths, so that they are whole numbers. A topic is shared by most pairs, so pairs are not formed
     by topic: videos with the same set of topics are one class, a question scores classes, and of each class
     the ``k`` least ids stand for the rest (who score the same or, with a shared keyword, are found by that).
+    ``named`` adds 10 points if the video's name occurs in the question; these pairs are found one by one.
     """
     q = B.questions(spark, d, "stem").withColumns({"topic": tags(R.TOPICS, F.col("stem")), "keyword": X.keywords(F.col("stem"))})
-    q = q.withColumn("wanted", F.array_compact(F.array(*[F.when(F.col("stem").rlike(f"(?i){p}"), F.lit(t)) for p, t in R.SIGNALS]))).drop("stem")
+    q = q.withColumn("wanted", F.array_compact(F.array(*[F.when(F.col("stem").rlike(f"(?i){p}"), F.lit(t)) for p, t in R.SIGNALS]))).withColumn("stem", X.normalize(F.col("stem")))
     v = B.videos(spark, d, "video_name").withColumns({"topic": tags(R.TOPICS, F.col("video_name")), "keyword": X.keywords(F.col("video_name"))})
-    v = v.withColumn("kind", F.array_join("topic", "|")).drop("video_name")
+    v = v.withColumn("kind", F.array_join("topic", "|")).withColumn("video_name", X.normalize(F.col("video_name")))
+    if not named:
+        q, v = q.drop("stem"), v.drop("video_name")
     q, v = durable(q, "topics"), durable(v, "topics")
 
-    def scored(df: DataFrame) -> DataFrame:
+    def scored(df: DataFrame, more: int = 0) -> DataFrame:
         n, had = F.size(F.array_intersect("topic", "topics_v")), F.size(F.array_intersect("wanted", "topics_v"))
-        points = 100 * n + 12 * F.col("n_keyword") + 80 * had - 40 * (F.size("wanted") - had)
+        points = 100 * n + 12 * F.col("n_keyword") + 80 * had - 40 * (F.size("wanted") - had) + more
         both = df.withColumns({"n_topic": n, "score": points.cast("int")})
         return both.where(((F.col("n_topic") > 0) | (F.col("n_keyword") >= 3)) & (F.col("score") >= 100))
 
@@ -50,6 +53,10 @@ def _topic_pairs(spark: SparkSession, d: str, k: int = 3) -> DataFrame:
     by_word = scored(shared.join(q, "question_id").join(v.select("video_id", F.col("topic").alias("topics_v")), "video_id"))
     columns = ("question_id", "video_id", "score", "n_topic")
     every = by_kind.join(stand_ins, "kind").select(*columns).unionByName(by_word.select(*columns))
+    if named:
+        found = P.contained(q.select("question_id", "stem"), v.select("video_name"), "question_id", "stem", "video_name")
+        by_name = found.join(v.select("video_id", "video_name", F.col("topic").alias("topics_v"), F.col("keyword").alias("keyword_v")), "video_name").join(q.drop("stem"), "question_id")
+        every = every.unionByName(scored(by_name.withColumn("n_keyword", F.size(F.array_intersect("keyword", "keyword_v"))), 100).select(*columns))
     best = every.groupBy("question_id", "video_id").agg(F.max("score").alias("score"), F.max("n_topic").alias("n_topic"))
     return best.select("question_id", "video_id", "score", F.when(F.col("n_topic") > 0, "核心知识点相同").otherwise("题型方法/素材相似").alias("reason_type"))
 
@@ -62,17 +69,24 @@ def _sql_words(x: str) -> str:
     return f"list_filter(list_distinct(regexp_extract_all(coalesce({x}, ''), '{X.WORD}')), lambda z: NOT list_contains({stop}, z))"
 
 
-_SQL_TOPICS = f"""{B.Q}, {B.V},
-qt AS (SELECT question_id, {B.sql_tags(R.TOPICS, 'stem', 'stem')} AS topic, {_sql_words('stem')} AS kw, list_filter({_SQL_SIGNALS}, lambda z: z IS NOT NULL) AS wanted FROM q),
-vt AS (SELECT video_id, {B.sql_tags(R.TOPICS, 'video_name', 'video_name')} AS topic, {_sql_words('video_name')} AS kw FROM v),
-x AS (SELECT question_id, video_id, len(list_intersect(qt.topic, vt.topic)) AS nt, len(list_intersect(qt.kw, vt.kw)) AS nk, wanted, len(list_filter(wanted, lambda z: list_contains(vt.topic, z))) AS had FROM qt CROSS JOIN vt),
-scored AS (SELECT question_id, video_id, CAST(100 * nt + 12 * nk + 80 * had - 40 * (len(wanted) - had) AS INT) AS score, CASE WHEN nt > 0 THEN '核心知识点相同' ELSE '题型方法/素材相似' END AS reason_type FROM x WHERE nt > 0 OR nk >= 3),
+def _sql_topics(named: bool = False) -> str:
+    bonus = " + CASE WHEN inside THEN 100 ELSE 0 END" if named else ""
+    inside = ", txt_v <> '' AND contains(txt_q, txt_v) AS inside" if named else ""
+    txt = lambda x, c: f", {B.sql_normalize(c)} AS txt_{x}" if named else ""
+    return f"""{B.Q}, {B.V},
+qt AS (SELECT question_id, {B.sql_tags(R.TOPICS, 'stem', 'stem')} AS topic, {_sql_words('stem')} AS kw, list_filter({_SQL_SIGNALS}, lambda z: z IS NOT NULL) AS wanted{txt('q', 'stem')} FROM q),
+vt AS (SELECT video_id, {B.sql_tags(R.TOPICS, 'video_name', 'video_name')} AS topic, {_sql_words('video_name')} AS kw{txt('v', 'video_name')} FROM v),
+x AS (SELECT question_id, video_id, len(list_intersect(qt.topic, vt.topic)) AS nt, len(list_intersect(qt.kw, vt.kw)) AS nk, wanted, len(list_filter(wanted, lambda z: list_contains(vt.topic, z))) AS had{inside} FROM qt CROSS JOIN vt),
+scored AS (SELECT question_id, video_id, CAST(100 * nt + 12 * nk + 80 * had - 40 * (len(wanted) - had){bonus} AS INT) AS score, CASE WHEN nt > 0 THEN '核心知识点相同' ELSE '题型方法/素材相似' END AS reason_type FROM x WHERE nt > 0 OR nk >= 3),
 kept AS (SELECT * FROM scored WHERE score >= 100),
 top3 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, video_id) AS rnk FROM kept QUALIFY rnk <= 3)"""
 
 
-def _top3(spark: SparkSession, d: str) -> DataFrame:
-    return K.top_k(_topic_pairs(spark, d), ["question_id"], [F.desc("score"), F.asc("video_id")], 3)
+_SQL_TOPICS, _SQL_NAMED = _sql_topics(), _sql_topics(named=True)
+
+
+def _top3(spark: SparkSession, d: str, named: bool = False) -> DataFrame:
+    return K.top_k(_topic_pairs(spark, d, named=named), ["question_id"], [F.desc("score"), F.asc("video_id")], 3)
 
 
 @REG.add("topk_match", f"WITH {_SQL_TOPICS} SELECT question_id, CAST(rnk AS INT) AS rnk, video_id, score, reason_type FROM top3")
@@ -80,23 +94,37 @@ def topk_match(spark: SparkSession, d: str) -> DataFrame:
     return _top3(spark, d).select("question_id", "rnk", "video_id", "score", "reason_type")
 
 
-@REG.add(
-    "match_verdict",
-    f"WITH {_SQL_TOPICS} SELECT question_id, CASE WHEN best IS NULL THEN '❌' WHEN best >= 180 THEN '✅' ELSE '✅?' END AS verdict FROM q LEFT JOIN (SELECT question_id, score AS best FROM top3 WHERE rnk = 1) USING (question_id)",
-)
-def match_verdict(spark: SparkSession, d: str) -> DataFrame:
-    best = _topic_pairs(spark, d).groupBy("question_id").agg(F.max("score").alias("score"))
+@REG.add("topk_match_named", f"WITH {_SQL_NAMED} SELECT question_id, CAST(rnk AS INT) AS rnk, video_id, score, reason_type FROM top3")
+def topk_match_named(spark: SparkSession, d: str) -> DataFrame:
+    """``topk_match`` with all of the score: 10 points more for a video whose name occurs in the question."""
+    return _top3(spark, d, named=True).select("question_id", "rnk", "video_id", "score", "reason_type")
+
+
+_SQL_VERDICT = "SELECT question_id, CASE WHEN best IS NULL THEN '❌' WHEN best >= 180 THEN '✅' ELSE '✅?' END AS verdict FROM q LEFT JOIN (SELECT question_id, score AS best FROM top3 WHERE rnk = 1) USING (question_id)"
+
+
+def _verdict(spark: SparkSession, d: str, named: bool = False) -> DataFrame:
+    best = _topic_pairs(spark, d, named=named).groupBy("question_id").agg(F.max("score").alias("score"))
     verdict = F.when(F.col("score").isNull(), "❌").when(F.col("score") >= 180, "✅").otherwise("✅?")
     return B.questions(spark, d).select("question_id").join(best, "question_id", "left").select("question_id", verdict.alias("verdict"))
 
 
-@REG.add(
-    "coverage_by_paper",
-    f"""WITH {_SQL_TOPICS}, b AS (SELECT q.paper, q.score AS points, t.score FROM q LEFT JOIN (SELECT question_id, max(score) AS score FROM kept GROUP BY 1) t USING (question_id))
-    SELECT paper, count(*) AS n_questions, count(score) AS n_hits, count(*) FILTER (score >= 180) AS n_strong, CAST(sum(points) AS BIGINT) AS points, CAST(coalesce(sum(points) FILTER (score IS NOT NULL), 0) AS BIGINT) AS points_hit FROM b GROUP BY paper""",
-)
-def coverage_by_paper(spark: SparkSession, d: str) -> DataFrame:
-    best = _topic_pairs(spark, d).groupBy("question_id").agg(F.max("score").alias("best"))
+@REG.add("match_verdict", f"WITH {_SQL_TOPICS} {_SQL_VERDICT}")
+def match_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return _verdict(spark, d)
+
+
+@REG.add("match_verdict_named", f"WITH {_SQL_NAMED} {_SQL_VERDICT}")
+def match_verdict_named(spark: SparkSession, d: str) -> DataFrame:
+    return _verdict(spark, d, named=True)
+
+
+_SQL_COVERAGE = """, b AS (SELECT q.paper, q.score AS points, t.score FROM q LEFT JOIN (SELECT question_id, max(score) AS score FROM kept GROUP BY 1) t USING (question_id))
+    SELECT paper, count(*) AS n_questions, count(score) AS n_hits, count(*) FILTER (score >= 180) AS n_strong, CAST(sum(points) AS BIGINT) AS points, CAST(coalesce(sum(points) FILTER (score IS NOT NULL), 0) AS BIGINT) AS points_hit FROM b GROUP BY paper"""
+
+
+def _coverage(spark: SparkSession, d: str, named: bool = False) -> DataFrame:
+    best = _topic_pairs(spark, d, named=named).groupBy("question_id").agg(F.max("score").alias("best"))
     q = B.questions(spark, d, "paper", "score").join(best, "question_id", "left")
     hit = F.col("best").isNotNull()
     return q.groupBy("paper").agg(
@@ -105,6 +133,16 @@ def coverage_by_paper(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@REG.add("coverage_by_paper", f"WITH {_SQL_TOPICS}{_SQL_COVERAGE}")
+def coverage_by_paper(spark: SparkSession, d: str) -> DataFrame:
+    return _coverage(spark, d)
+
+
+@REG.add("coverage_by_paper_named", f"WITH {_SQL_NAMED}{_SQL_COVERAGE}")
+def coverage_by_paper_named(spark: SparkSession, d: str) -> DataFrame:
+    return _coverage(spark, d, named=True)
+
+
 # --- graded audit (signatures, or type with knowledge and problem tags) -----------------------------
 
 _AUDIT_SETS = {"signature": "signatures", "knowledge": "knowledge_tags", "problem": "problem_tags", "method": "method_skeleton"}

@@ -65,6 +65,45 @@ def test_pairs_and_scores(spark):
     assert none == 0
 
 
+def test_contained_names(spark, monkeypatch):
+    rng = random.Random(3)
+    names = ["".join(rng.choice("碳酸钠钙") for _ in range(rng.randint(1, 7))) for _ in range(60)] + ["", None, "钠", "无"]
+    texts = ["".join(rng.choice("碳酸钠钙。") for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["", None, "碳"]
+    q = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    v = spark.createDataFrame([(n,) for n in names], "n string")
+    want = {(i, n) for i, t in enumerate(texts) for n in names if t and n and n in t}
+    for block in (100, 9):
+        monkeypatch.setattr(pairs, "BLOCK", block)
+        got = [tuple(r) for r in pairs.contained(q, v, "id", "t", "n").collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_name_in_question_counts(spark, tmp_path):
+    """A video whose name the question has comes first, before the stand-ins of its class of topics, and below 10 points too."""
+    import datetime
+
+    import duckdb
+    from tools.oracle import norm
+
+    import __spark_entry__ as entry
+
+    at = datetime.datetime(2026, 1, 1)
+    q = [("q1", "p", 3, "用CO2 灭火：看  甲（一）讲", at), ("q2", "p", 2, "溶解度与甲乙", at), ("q3", "p", 2, "", at)]
+    v = [(f"v{i}", n, at) for i, n in enumerate(["CO2 与燃烧", "CO2 与灭火", "CO2 的制取", "CO2 的检验", "灭火", "CO2 灭火：看 甲(一)讲", "溶解度", "甲乙", "", None])]
+    spark.createDataFrame(q, "question_id string, paper string, score int, stem string, imported_at timestamp_ntz").write.parquet(f"{tmp_path}/exam_record.parquet")
+    spark.createDataFrame(v, "video_id string, video_name string, imported_at timestamp_ntz").write.parquet(f"{tmp_path}/video_record.parquet")
+    con = duckdb.connect()
+    for t in ("exam_record", "video_record"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("topk_match_named", "match_verdict_named", "coverage_by_paper_named"):
+        df = entry.queries()[name](spark, str(tmp_path))
+        rel = con.execute(entry.oracle_sql()[name])
+        assert norm([tuple(r) for r in df.collect()], df.columns) == norm(rel.fetchall(), [c[0] for c in rel.description]), name
+    got = {(r.question_id, r.rnk): (r.video_id, r.score) for r in entry.queries()["topk_match_named"](spark, str(tmp_path)).collect()}
+    plain = {(r.question_id, r.rnk): (r.video_id, r.score) for r in entry.queries()["topk_match"](spark, str(tmp_path)).collect()}
+    assert got["q1", 1][0] == "v5" and got["q1", 1] not in plain.values() and got["q2", 1][1] == plain["q2", 1][1] + 100
+
+
 def test_ranking(spark):
     df = spark.createDataFrame([("a", 5, True), ("a", 4, False), ("a", 3, True), ("a", 2, True), ("b", 1, None)], "g string, s int, ok boolean")
     got = ranking.accept(df, ["g"], [F.desc("s")], F.col("ok"), F.lit(2)).orderBy("g", F.desc("s")).collect()
