@@ -98,6 +98,11 @@ SCORES["v5"] = [*SCORES["v4"], Bonus("task_model", 70, 8, 2)]
 #: Points for equal types, and the least score, by generation.
 SAME_TYPE = {"v3": 24, "v4": 30, "v5": 30}
 LEAST = {"v3": 76, "v4": 105, "v5": 105}
+#: Points of a part of the evidence for each tag it shares with the question, and the most the best part adds.
+EVIDENCE = {"v4": {"visual": 10, "task": 6, "method": 6}, "v5": {"visual": 10, "task": 6, "task_model": 14, "method": 6}}
+MOST = {"v3": 28, "v4": 25, "v5": 25}
+#: The type of which two add 30 points (with evidence, from v4).
+PROJECT = "项目式探究题"
 
 
 def family_score(generation: str, same_type: Column) -> Column:

@@ -13,7 +13,7 @@ from sievemark.operators import ranking as K
 from sievemark.plans import rule_tables as R
 from sievemark.queries import Registry
 from sievemark.queries import base as B
-from sievemark.queries.matching import _TOP12, _sql_family, _top12
+from sievemark.queries.matching import _TOP12, _family_kinds, _sql_family, _top12, evidence_parts
 from sievemark.queries.texts import sql_families
 
 REG = Registry()
@@ -91,6 +91,11 @@ def label_edits(spark: SparkSession, d: str) -> DataFrame:
     WHERE (same OR (a, b) IN (('科学探究题', '基本实验题'), ('基础题', '综合应用题'))) AND score >= 76""",
 )
 def family_score_v3(spark: SparkSession, d: str) -> DataFrame:
+    return _scored_v3(spark, d).where(F.col("score") >= P.LEAST["v3"])
+
+
+def _scored_v3(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs on a route that share a signature or anchor."""
     sets = {"signature": X.split_tags(F.col("signatures")), "visual": F.col("anchors"), "knowledge": X.split_tags(F.col("knowledge_tags"))}
     columns = ("question_type", "signatures", "knowledge_tags")
     q, v = _anchored(B.questions(spark, d, "stem", *columns), "stem"), _anchored(B.videos(spark, d, "content_summary", *columns), "content_summary")
@@ -100,7 +105,7 @@ def family_score_v3(spark: SparkSession, d: str) -> DataFrame:
     both = met.join(q.select("question_id", F.col("question_type").alias("a"), sets["knowledge"].alias("kq")), "question_id").join(v.select("video_id", F.col("question_type").alias("b"), sets["knowledge"].alias("kv")), "video_id")
     both = both.withColumn("n_knowledge", F.size(F.array_intersect("kq", "kv"))).withColumn("same", F.coalesce(F.col("a") == F.col("b"), F.lit(False)))
     routed = F.col("same") | ((F.col("a") == "科学探究题") & (F.col("b") == "基本实验题")) | ((F.col("a") == "基础题") & (F.col("b") == "综合应用题"))
-    return both.where(routed).withColumn("score", P.family_score("v3", F.col("same"))).where(F.col("score") >= P.LEAST["v3"]).select("question_id", "video_id", "score")
+    return both.where(routed).withColumn("score", P.family_score("v3", F.col("same"))).select("question_id", "video_id", "score")
 
 
 _EV_POINTS = {"visual": 10, "task": 6, "task_model": 14, "method": 6}
@@ -116,8 +121,7 @@ _SQL_EV = f"""e AS (SELECT video_id || '#' || i AS eid, video_id, i, part FROM (
 )
 def pair_evidence(spark: SparkSession, d: str) -> DataFrame:
     """For each of a question's twelve best videos the part of its summary that shares most with the question."""
-    parts = F.filter(F.split(X.text(F.col("content_summary")), "[；;。，, \n]+"), lambda x: x != "")
-    e = B.videos(spark, d, "content_summary").select("video_id", F.posexplode(parts).alias("p", "part"))
+    e = evidence_parts(B.videos(spark, d, "content_summary").select("video_id", "content_summary"))
     e = L.with_families(e, "part").select("video_id", (F.col("p") + 1).alias("i"), *[F.col(n).alias(f"{n}_e") for n in _EV_POINTS])
     q = L.with_families(B.questions(spark, d, "stem"), "stem").select("question_id", *[F.col(n).alias(f"{n}_q") for n in _EV_POINTS])
     points = F.lit(0)
@@ -128,6 +132,59 @@ def pair_evidence(spark: SparkSession, d: str) -> DataFrame:
     return best.select("question_id", "video_id", (-F.col("b.neg")).cast("int").alias("best_part"), F.col("b.points").cast("int").alias("points"), F.least("b.points", F.lit(25)).cast("int").alias("bonus"))
 
 
+def _sql_whole(generation: str) -> str:
+    points = " + ".join(f"CASE WHEN n_{b.family} > 0 THEN {b.base} + {b.step} * least(n_{b.family}, {b.most}) ELSE 0 END" for b in P.SCORES[generation])
+    anything = " OR ".join(f"n_{b.family} > 0" for b in P.SCORES[generation])
+    gate = "r.type_q IS NOT NULL" + (" OR n_task_model > 0" if generation == "v5" else "")
+    best = " + ".join(f"{p} * len(list_intersect(qf.{n}, ef.{n}))" for n, p in P.EVIDENCE[generation].items())
+    return f"""{_sql_family(generation)}, {_SQL_EV}, pts AS (SELECT qf.question_id, e.video_id, max({best}) AS points FROM q_f qf CROSS JOIN e JOIN e_f ef USING (eid) GROUP BY 1, 2),
+    wide AS (SELECT cnt.*, coalesce(points, 0) AS points, q.question_type AS type_q, v.question_type AS type_v FROM cnt JOIN q USING (question_id) JOIN v USING (video_id) LEFT JOIN pts USING (question_id, video_id)),
+    whole AS (SELECT question_id, video_id, CAST(CASE WHEN w.type_q = w.type_v THEN {P.SAME_TYPE[generation]} ELSE 0 END + CASE WHEN w.type_q = '{P.PROJECT}' AND w.type_v = '{P.PROJECT}' THEN 30 ELSE 0 END + {points} + least(points, {P.MOST[generation]}) AS INT) AS score
+      FROM wide w LEFT JOIN routes r ON r.type_q = w.type_q AND r.type_v = w.type_v WHERE ({anything} OR points > 0) AND ({gate}))"""
+
+
+@REG.add("family_score_v4_evidence", f"WITH {_sql_whole('v4')} SELECT question_id, video_id, score FROM whole WHERE score >= 105")
+def family_score_v4_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """``family_score_v4`` with the points for the best part of the evidence, and for two projects, before the threshold."""
+    q, v, kinds = _family_kinds(spark, d, "v4", evidence=True)
+    return kinds.where(F.col("score") >= P.LEAST["v4"]).join(q, "kind_q").join(v, "kind_v").select("question_id", "video_id", "score")
+
+
+@REG.add(
+    "family_score_v5_evidence",
+    f"WITH {_sql_whole('v5')} SELECT question_id, CAST(rnk AS INT) AS rnk, video_id, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, video_id) AS rnk FROM whole WHERE score > 0) WHERE rnk <= 12",
+)
+def family_score_v5_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """``family_score_v5`` with the points for the best part of the evidence, and for two projects, before the twelve best."""
+    return _top12(spark, d, evidence=True).select("question_id", "rnk", "video_id", "score")
+
+
+@REG.add(
+    "family_score_v3_evidence",
+    f"""WITH {B.Q}, {B.V}, {_sql_anchors('q', 'question_id', 'stem', ', question_type, signatures, knowledge_tags')}, {_sql_anchors('v', 'video_id', 'content_summary', ', question_type, signatures, knowledge_tags')}, {_SQL_EV},
+    en AS (SELECT e.*, v.video_name FROM e JOIN v USING (video_id)), {_sql_anchors('en', 'video_id', 'part', ", concat(part, coalesce(video_name, '')) AS said")},
+    pts AS (SELECT question_id, video_id, max(12 * len(list_intersect(q_a.anchors, en_a.anchors)) + 3 * len(list_filter(q_a.anchors, lambda z: contains({B.sql_compact('said')}, {B.sql_compact('z')})))) AS points FROM q_a CROSS JOIN en_a GROUP BY 1, 2),
+    qs AS (SELECT question_id, question_type, anchors, {B.sql_split('signatures')} AS s, {B.sql_split('knowledge_tags')} AS k FROM q_a), vs AS (SELECT video_id, question_type, anchors, {B.sql_split('signatures')} AS s, {B.sql_split('knowledge_tags')} AS k FROM v_a),
+    c AS (SELECT question_id, video_id, coalesce(qs.question_type = vs.question_type, false) AS same, qs.question_type AS a, vs.question_type AS b, len(list_intersect(qs.s, vs.s)) AS ns, len(list_intersect(qs.anchors, vs.anchors)) AS na, len(list_intersect(qs.k, vs.k)) AS nk FROM qs CROSS JOIN vs),
+    w AS (SELECT question_id, video_id, CAST(CASE WHEN same THEN 24 ELSE 0 END + CASE WHEN ns > 0 THEN 36 + 6 * least(ns, 2) ELSE 0 END + CASE WHEN na > 0 THEN 22 + 4 * least(na, 4) ELSE 0 END + CASE WHEN nk > 0 THEN 4 * least(nk, 3) ELSE 0 END + least(coalesce(points, 0), 28) AS INT) AS score FROM c LEFT JOIN pts USING (question_id, video_id)
+      WHERE same OR (a, b) IN (('科学探究题', '基本实验题'), ('基础题', '综合应用题')))
+    SELECT question_id, video_id, score FROM w WHERE score >= 76""",
+)
+def family_score_v3_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """``family_score_v3`` with the points for the best part of the evidence before the threshold: 12 for each anchor it
+    shares with the question, 3 for each that it or the video's name says."""
+    # evidence adds 28 at most, so a score of 76 still takes a shared signature or anchor, and 48 points without it
+    both = _scored_v3(spark, d).where(F.col("score") >= P.LEAST["v3"] - P.MOST["v3"])
+    part = _anchored(evidence_parts(B.videos(spark, d, "video_name", "content_summary")), "part")
+    said = X.compact(F.concat("part", X.text(F.col("video_name"))))
+    parts = part.groupBy("video_id").agg(F.collect_set(F.struct("anchors", said.alias("said"))).alias("parts"))
+    q = _anchored(B.questions(spark, d, "stem"), "stem").select("question_id", "anchors")
+    points = lambda e: 12 * F.size(F.array_intersect("anchors", e["anchors"])) + 3 * F.size(F.filter("anchors", lambda k: e["said"].contains(X.compact(k))))
+    best = F.coalesce(F.array_max(F.transform("parts", points)), F.lit(0))
+    whole = both.join(q, "question_id").join(parts, "video_id", "left").withColumn("score", F.col("score") + F.least(best, F.lit(P.MOST["v3"])))
+    return whole.where(F.col("score") >= P.LEAST["v3"]).select("question_id", "video_id", "score")
+
+
 @REG.add(
     "reading_rank",
     f"""WITH {_sql_family('v5')} SELECT s.question_id, s.video_id, CASE WHEN theme AND graph THEN 3 WHEN theme OR graph THEN 2 ELSE 0 END AS isomorph_rank FROM

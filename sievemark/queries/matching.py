@@ -240,27 +240,48 @@ def routed_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _routes(spark, "v5").join(q, "type_q").join(v, "type_v").select("type_q", "type_v", (F.col("nq") * F.col("nv")).alias("n_pairs"))
 
 
-def _family_kinds(spark: SparkSession, d: str, generation: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def evidence_parts(videos: DataFrame) -> DataFrame:
+    """The parts of the videos' summaries, which stand for their evidence: ``(video_id, p, part)`` and other columns."""
+    parts = F.filter(F.split(X.text(F.col("content_summary")), "[；;。，, \n]+"), lambda x: x != "")
+    return videos.select(*[c for c in videos.columns if c != "content_summary"], F.posexplode(parts).alias("p", "part"))
+
+
+def _family_kinds(spark: SparkSession, d: str, generation: str, evidence: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Questions and videos with their ``kind`` (labels and type), and the pairs of kinds that share a tag of any family and
     lie on a route (or share a task model, from v5), with counts and score. Labels say all there is to a pair, so
-    pairs are scored by kind and never formed one by one."""
+    pairs are scored by kind and never formed one by one. With ``evidence`` the labels of a video's parts belong to its
+    kind, and the score has the points for the best part and for two projects."""
     names = [b.family for b in P.SCORES[generation]]
 
+    by_part = P.EVIDENCE[generation] if evidence else {}
+
     def labelled(df: DataFrame, stem: str, key: str) -> DataFrame:
         rows = L.with_families(df, stem).select(key, "question_type", *names)
-        return durable(rows.withColumn("kind", F.to_json(F.struct("question_type", *names))), "labels")
+        own = ["question_type", *names]
+        if by_part and key == "video_id":
+            part = L.with_families(evidence_parts(df.select("video_id", "content_summary")), "part").where(F.greatest(*[F.size(n) for n in by_part]) > 0)
+            rows = rows.join(part.groupBy("video_id").agg(F.array_sort(F.collect_set(F.struct(*by_part))).alias("parts")), "video_id", "left")
+            own.append("parts")
+        return durable(rows.withColumn("kind", F.to_json(F.struct(*own))), "labels")
 
     q = labelled(B.questions(spark, d, "stem", "question_type"), "stem", "question_id")
     v = labelled(B.videos(spark, d, "content_summary", "question_type"), "content_summary", "video_id")
     qk = q.select(F.col("kind").alias("kind_q"), F.col("question_type").alias("type_q"), *names).distinct()
-    vk = v.select(F.col("kind").alias("kind_v"), F.col("question_type").alias("type_v"), *names).distinct()
+    vk = v.select(F.col("kind").alias("kind_v"), F.col("question_type").alias("type_v"), *names, *(["parts"] if by_part else [])).distinct()
     sets = {n: F.col(n) for n in names}
-    met = P.shared_counts(P.tag_rows(qk, "kind_q", sets), P.tag_rows(vk, "kind_v", sets), "kind_q", "kind_v", names)
+    # a pair may share tags with a part only, as a whole text can rule out what its part says
+    q_sets, v_sets = ({**sets, **{f"part_{n}": c(n) for n in by_part}} for c in (F.col, lambda n: F.flatten(f"parts.{n}")))
+    met = P.shared_counts(P.tag_rows(qk, "kind_q", q_sets), P.tag_rows(vk, "kind_v", v_sets), "kind_q", "kind_v", names)
     typed = met.join(qk.select("kind_q", "type_q"), "kind_q").join(vk.select("kind_v", "type_v"), "kind_v")
     open_ = typed.join(F.broadcast(_routes(spark, generation).withColumn("routed", F.lit(True))), ["type_q", "type_v"], "left")
     allowed = F.coalesce("routed", F.lit(False)) | ((F.col("n_task_model") > 0) if generation == "v5" else F.lit(False))
     same = F.coalesce(F.col("type_q") == F.col("type_v"), F.lit(False))
     scored = open_.where(allowed).withColumn("same_type", same).withColumn("score", P.family_score(generation, F.col("same_type")))
+    if by_part:
+        both = scored.join(qk.select("kind_q", *[F.col(n).alias(f"{n}_q") for n in by_part]), "kind_q").join(vk.select("kind_v", "parts"), "kind_v")
+        best = F.array_max(F.transform("parts", lambda e: sum((p * F.size(F.array_intersect(f"{n}_q", e[n])) for n, p in by_part.items()), F.lit(0))))
+        projects = F.coalesce((F.col("type_q") == P.PROJECT) & (F.col("type_v") == P.PROJECT), F.lit(False))
+        scored = both.withColumn("score", F.col("score") + F.least(F.coalesce(best, F.lit(0)), F.lit(P.MOST[generation])) + F.when(projects, 30).otherwise(0)).select(*scored.columns)
     return q.select("question_id", F.col("kind").alias("kind_q")), v.select("video_id", F.col("kind").alias("kind_v")), scored
 
 
@@ -285,9 +306,9 @@ def family_score_v4(spark: SparkSession, d: str) -> DataFrame:
 _TOP12 = "top12 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, video_id) AS rnk FROM scored WHERE score > 0 QUALIFY rnk <= 12)"
 
 
-def _top12(spark: SparkSession, d: str) -> DataFrame:
+def _top12(spark: SparkSession, d: str, evidence: bool = False) -> DataFrame:
     """The twelve best videos of each question: found per kind of question, among the twelve least ids of each kind of video."""
-    q, v, kinds = _family_kinds(spark, d, "v5")
+    q, v, kinds = _family_kinds(spark, d, "v5", evidence)
     stand_ins = K.top_k(v, ["kind_v"], [F.asc("video_id")], 12, "n").drop("n")
     best = K.top_k(kinds.where(F.col("score") > 0).join(stand_ins, "kind_v"), ["kind_q"], [F.desc("score"), F.asc("video_id")], 12)
     return best.join(q, "kind_q")
