@@ -104,8 +104,9 @@ def sketches(values: list[np.ndarray], plan: Plan) -> tuple[list[np.ndarray], np
     start = np.concatenate([[0], np.cumsum(size)[:-1]])
     owner = np.repeat(np.arange(len(values)), size)
     words = np.zeros((len(values), 2), dtype=np.uint64)
-    wanted = [orders_of_size(int(s), plan.threshold, plan.order) for s in range(int(size.max()) + 1)]
-    uses = np.array([[r in w for r in range(plan.order + 1)] for w in wanted])[size]
+    sizes, which = np.unique(size, return_inverse=True)
+    wanted = [orders_of_size(int(s), plan.threshold, plan.order) for s in sizes]
+    uses = np.array([[r in w for r in range(plan.order + 1)] for w in wanted])[which]
     keys = np.zeros((len(values), plan.segments, plan.order + 1), dtype=np.uint64)
     for p in range(max(SKETCH_BITS, plan.segments)):
         h = _mix(flat, p)
@@ -160,7 +161,7 @@ def similar_classes(members: DataFrame, threshold: Fraction = Fraction(3, 5), re
     hashed = F.transform("tags", lambda v: F.xxhash64(v))
     classes = members.groupBy("grp", "tags").agg(F.first("cid").alias("cid")).withColumn("s", _sketch_udf(plan)(hashed))
     classes = durable(classes.select("grp", "cid", "tags", F.col("s.w0").alias("w0"), F.col("s.w1").alias("w1"), "s.keys"), "sketches")
-    index = classes.select("cid", F.size("tags").cast("short").alias("n"), F.xxhash64("grp").alias("g"), F.explode("keys").alias("k"))
+    index = classes.select("cid", F.size("tags").alias("n"), F.xxhash64("grp").alias("g"), F.explode("keys").alias("k"))
     index = index.select(F.col("k").bitwiseXOR(F.col("g")).alias("k"), "cid", "n")
     a = index.select("k", F.col("cid").alias("cid_a"), F.col("n").alias("n_a")).hint("merge")
     b = index.select("k", F.col("cid").alias("cid_b"), F.col("n").alias("n_b"))

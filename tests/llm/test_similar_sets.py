@@ -75,3 +75,13 @@ def test_calibration():
         met += bool(set(ka.tolist()) & set(kb.tolist()))
         far += sum(bin(int(p) & (2**64 - 1)).count("1") for p in (w[0] ^ w[1])) > plan.radius
     assert met >= 297 and far <= 3 and SKETCH_BITS == 128
+
+
+def test_sets_beyond_a_short(spark):
+    from pyspark.sql import functions as F
+
+    from sievemark.llm.similar_sets import similar_classes
+
+    tags = F.transform(F.sequence(F.col("id") + 1, F.col("id") + 33_000), lambda x: x.cast("string"))
+    members = spark.range(2).select(F.lit("g").alias("grp"), F.array_sort(tags).alias("tags"), F.col("id").alias("cid"))
+    assert [(r.n_shared, r.n_union) for r in similar_classes(members).select("n_shared", "n_union").collect()] == [(32_999, 33_001)]
