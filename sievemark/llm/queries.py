@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.functions.cells import cell_values
 from sievemark.llm.leakage import find_leaks
-from sievemark.llm.lookalike import canonical_texts, plain, same_look_pairs
+from sievemark.llm.lookalike import canonical_texts, look_classes, same_look_pairs
 from sievemark.llm.mixture import mix, mixture_report
 from sievemark.llm.similar_sets import set_members, similar_links, similar_pairs
 from sievemark.llm.subjects import subject_shares, subjects_of
@@ -82,10 +84,22 @@ def _looks(spark: SparkSession, d: str) -> DataFrame:
     return canonical_texts(q, ["record_id"], ["stem"]).unionByName(canonical_texts(v, ["record_id"], ["video_name", "content_summary"]))
 
 
+#: Look-alike letters and marks for the SQL, written down apart from those of the operator.
+_SQL_LETTERS = [
+    ("АВЕЅІЈКМНОРСТУХ", "ABESIJKMHOPCTYX"), ("асеһіјорѕху", "acehijopsxy"), ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"), ("αορν", "aopv"),
+    ("‐‑−∶∼〜•・‧", "---:~~···"),
+]
+
+
 def _sql_canonical(x: str) -> str:
-    """The table of look-alikes as SQL, for the blocks of characters that the data draw on; the trie has no part in it."""
-    blocks = [range(0xA0, 0xB8), range(0x391, 0x3F3), range(0x400, 0x530), range(0x2000, 0x2070), range(0x2F00, 0x2FD6), range(0x3000, 0x3001), range(0xF900, 0xFAFF), range(0xFF01, 0xFFE7)]
-    pairs = [(chr(c), plain(chr(c))) for b in blocks for c in b if len(plain(chr(c))) == 1 and plain(chr(c)) != chr(c)]
+    """The canonical form as SQL: compatibility composition of single characters that look the same, and a list of letters.
+
+    It has no part in the trie; it is right for texts in which no word has another spelling than the table's.
+    """
+    blocks = [range(0xA0, 0xB8), range(0x2000, 0x2070), range(0x2F00, 0x2FD6), range(0x3000, 0x3001), range(0xF900, 0xFB00), range(0xFF01, 0xFFE7)]
+    raised = {c for b in blocks for c in b if unicodedata.decomposition(chr(c)).startswith(("<super>", "<sub>", "<circle>", "<fraction>"))}
+    forms = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for b in blocks for c in b if c not in raised]
+    pairs = [(a, b) for a, b in forms if a != b and len(b) == 1] + [(a, b) for x in _SQL_LETTERS for a, b in zip(*x, strict=True)]
     quote = lambda t: "'" + t.replace("'", "''") + "'"
     seen = rf"regexp_replace(replace({x}, '℃', '°C'), '[\x{{ad}}\x{{200b}}-\x{{200f}}\x{{2060}}-\x{{2064}}\x{{fe00}}-\x{{fe0f}}\x{{feff}}]', '', 'g')"
     return f"nfc_normalize(translate({seen}, {quote(''.join(a for a, _ in pairs))}, {quote(''.join(b for _, b in pairs))}))"
@@ -112,6 +126,17 @@ def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     return _looks(spark, d).select("field_name", "record_id", "canonical", (F.col("raw") != F.col("canonical")).alias("changed"))
 
 
+@REG.add(
+    "p2_looks",
+    f"""WITH {_SQL_LOOKS}, c AS (SELECT field_name, canonical, min(id) AS class_id, count(*) AS n_records, count(DISTINCT raw) AS n_spellings FROM looks GROUP BY 1, 2)
+    SELECT l.field_name, l.id AS record_id, class_id, n_records, n_spellings FROM looks l JOIN c ON c.field_name = l.field_name AND c.canonical = l.canonical""",
+)
+def p2_looks(spark: SparkSession, d: str) -> DataFrame:
+    """Every text of the three fields with its class of texts that look the same: representative and membership, no pairs."""
+    c = look_classes(_looks(spark, d), "record_id")
+    return c.select("field_name", F.col("id").alias("record_id"), "class_id", "n_records", "n_spellings")
+
+
 _SQL_TOP = """
 best AS (
   SELECT question_id, video_id, max(score) AS score FROM match_audit
