@@ -1,16 +1,20 @@
 """Evaluation texts leaking into training text, by greedy string tiling.
 
-Texts are reduced to letters and digits, without case and width. Every window of ``min_run`` characters of
-a document is hashed by a Karp-Rabin hash and looked up among the windows of the evaluation items; windows
-both share are seeds. The seeds of a document and an item join to maximal common runs, and these are
-marked as tiles, the longest first, none overlapping another in either text. So passages are found in
-whatever order they come, and the tiles give the part of the item that leaked.
+Texts are reduced to letters and digits, without case and width.
+
+1. *Seeds*: the hash of every short window is taken, and of each stretch of windows as long as the least run only the least
+   hash is a seed. A run that two texts share has such a stretch in both, and so a seed that both have.
+   The seeds of documents and items are joined; a bitmap of the items' seeds, of fixed size, keeps most of the
+   others out of the shuffle. Documents are read once, and only those with a seed in the bitmap are kept.
+2. *Tiles*: for each document and item that met, the windows of ``min_run`` characters both share are found by a
+   Karp-Rabin hash and joined to maximal common runs. These are marked as tiles, the longest first, none
+   overlapping another in either text. So passages are found in whatever order they come.
+3. *Threshold*: the tiles give the part of the item that leaked; what covers too little is left out.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,12 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of items in one block. The windows of a block are broadcast; more items take more passes.
-BLOCK_CHARS = 2_000_000
-#: Characters of documents handled at a time.
+from sievemark.session import durable
+
+#: Characters of texts handled at a time.
 CHUNK_CHARS = 1_000_000
+#: The bitmap of the items' seeds has two to this many bits, whatever the number of items. With more seeds than bits it keeps
+#: less out of the shuffle, and nothing that belongs in it.
+BITMAP_BITS = 24
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BITS = 22
 
 
 @lru_cache(maxsize=1)
@@ -76,46 +82,39 @@ def window_hashes(chars: np.ndarray, width: int) -> np.ndarray:
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
-class Items:
-    """The windows of a block of evaluation items, for look-up."""
-
-    def __init__(self, ids: list, texts: list[str], width: int) -> None:
-        self.ids, self.width = ids, width
-        self.chars, self.start = fold(texts)
-        hashes = window_hashes(self.chars, width)
-        owner = np.repeat(np.arange(len(ids)), np.diff(self.start))[: len(hashes)]
-        pos = np.arange(len(hashes))
-        inside = pos + width <= self.start[owner + 1] if len(hashes) else np.zeros(0, dtype=bool)
-        order = np.argsort(hashes[inside], kind="stable")
-        self.hash, self.owner, self.pos = hashes[inside][order], owner[inside][order], (pos - self.start[owner])[inside][order]
-        self.bitmap = np.zeros(1 << _BITS, dtype=bool)
-        self.bitmap[(self.hash >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-
-        self._windows: dict[int, np.ndarray] = {}
-
-    def item(self, k: int) -> np.ndarray:
-        return self.chars[self.start[k] : self.start[k + 1]]
-
-    def windows(self, k: int) -> np.ndarray:
-        """The hashes of all windows of an item."""
-        if k not in self._windows:
-            self._windows[k] = window_hashes(self.item(k), self.width)
-        return self._windows[k]
-
-    def may_cover(self, k: int, seeds: np.ndarray, least: float) -> bool:
-        """Whether windows with these (sorted, distinct) hashes touch a part ``least`` of the item. Tiles can't cover more."""
-        own = self.windows(k)
-        at = np.minimum(np.searchsorted(seeds, own), len(seeds) - 1)
-        places = np.flatnonzero(seeds[at] == own)
-        touched = np.minimum(np.diff(places), self.width).sum() + self.width if len(places) else 0
-        return touched >= least * len(self.item(k))
-
-    def seeds(self, hashes: np.ndarray) -> np.ndarray:
-        """Which of the hashes are windows of an item."""
-        hit = np.nonzero(self.bitmap[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)])[0]
-        at = np.searchsorted(self.hash, hashes[hit])
-        at[at == len(self.hash)] = 0
-        return hit[self.hash[at] == hashes[hit]] if len(self.hash) else hit[:0]
+def seeds_of(texts: list[str], min_run: int) -> tuple[np.ndarray, np.ndarray]:
+    """The seeds of texts: (text, hash). Texts that share a run of ``min_run`` characters share a seed."""
+    width = (min_run + 1) // 2
+    chars, start = fold(texts)
+    least = window_hashes(chars, width).view(np.uint64)
+    done, wanted = 1, min_run - width + 1
+    while done < wanted:  # least of each stretch of ``wanted`` windows, by doubling
+        step = min(done, wanted - done)
+        least = np.minimum(least[:-step], least[step:]) if len(least) > step else least[:0]
+        done += step
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]])) if len(least) else np.zeros(0, dtype=np.int64)
+    # a seed may stay the same over the end of a text: every text's own stretches start anew
+    begins = start[:-1][np.diff(start) >= min_run]
+    at = np.union1d(first, begins[begins < len(least)])
+    owner = np.searchsorted(start, at, "right") - 1
+    inside = at + min_run <= start[owner + 1]
+    return owner[inside], least[at[inside]].view(np.int64)
+
+
+def bitmap_of(seeds: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
+    """The bitmap of the hashes in ``seeds.seed``, put together on the executors: 64-bit words, of which at most all come to the driver."""
+    word, bit = F.shiftrightunsigned("seed", 70 - bits), F.expr("shiftleft(1L, cast(shiftrightunsigned(seed, 20) & 63 as int))")
+    rows = seeds.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("b")).toPandas()
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
+    out[rows["word"].to_numpy(dtype=np.int64)] = rows["b"].to_numpy(dtype=np.int64)
+    return out.view(np.uint64)
+
+
+def in_bitmap(seeds: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the bitmap."""
+    h = seeds.view(np.uint64)
+    shift = np.uint64(64 - (len(bitmap).bit_length() - 1))
+    return (bitmap[(h >> shift).astype(np.int64)] >> (h >> np.uint64(20) & np.uint64(63)) & np.uint64(1)) > 0
 
 
 def runs_of_seeds(doc_at: np.ndarray, doc_hash: np.ndarray, item_hash: np.ndarray) -> list[tuple[int, int, int]]:
@@ -153,19 +152,15 @@ def tile(runs: list[tuple[int, int, int]], doc: np.ndarray, item: np.ndarray, wi
         if np.array_equal(doc[i : i + size], item[j : j + size]):  # else the hashes agree by chance
             heap.append((-size, i, j))
     heapq.heapify(heap)
-    in_doc: dict[int, bool] = {}
-    taken_item = np.zeros(len(item), dtype=bool)
+    taken_doc, taken_item = np.zeros(len(doc), dtype=bool), np.zeros(len(item), dtype=bool)
     out = []
     while heap:
         neg, i, j = heapq.heappop(heap)
         size = -neg
-        free = ~taken_item[j : j + size]
-        if in_doc:
-            free &= np.fromiter((i + k not in in_doc for k in range(size)), dtype=bool, count=size)
+        free = ~(taken_item[j : j + size] | taken_doc[i : i + size])
         if free.all():
             out.append((i, j, size))
-            taken_item[j : j + size] = True
-            in_doc.update((i + k, True) for k in range(size))
+            taken_item[j : j + size] = taken_doc[i : i + size] = True
             continue
         edge = np.flatnonzero(np.diff(np.concatenate([[0], free.view(np.int8), [0]])))
         for a, b in zip(edge[::2], edge[1::2], strict=True):
@@ -185,69 +180,91 @@ def _chunks(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
         yield ids[start:], texts[start:]
 
 
-def leaks_of(ids: list, texts: list[str], items: Items, least: float = 0.0) -> Iterator[tuple]:
-    """``(doc id, item id, tiles, covered, longest, item length)`` for each document and item with a common run, and with
-    tiles that cover a part ``least`` of the item or more."""
-    w = items.width
-    for part_ids, part in _chunks(ids, texts):
-        chars, start = fold(part)
-        hashes = window_hashes(chars, w)
-        hit = items.seeds(hashes)
-        if not len(hit):
-            continue
-        doc = np.searchsorted(start, hit, "right") - 1
-        hit, doc = hit[hit + w <= start[doc + 1]], doc[hit + w <= start[doc + 1]]
-        if not len(doc):
-            continue
-        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        for a, b in zip(first, [*first[1:], len(doc)], strict=True):
-            k = int(doc[a])
-            at, own = hit[a:b] - start[k], hashes[hit[a:b]]
-            lo, hi = np.searchsorted(items.hash, own, "left"), np.searchsorted(items.hash, own, "right")
-            found = np.unique(np.concatenate([items.owner[x:y] for x, y in set(zip(lo.tolist(), hi.tolist(), strict=True))]))
-            text, distinct = chars[start[k] : start[k + 1]], np.unique(own)
-            for f in found.tolist():
-                if least and not items.may_cover(f, distinct, least):
-                    continue
-                item = items.item(f)
-                tiles = tile(runs_of_seeds(at, own, items.windows(f)), text, item, w)
-                covered = sum(t[2] for t in tiles)
-                if tiles and covered >= least * len(item):
-                    yield part_ids[k], items.ids[f], len(tiles), covered, max(t[2] for t in tiles), len(item)
-
-
-def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "item_text", min_run: int = 30, least_coverage: float = 0.0, block_chars: int = BLOCK_CHARS) -> DataFrame:
+class Windows:
+    """A folded text with the hashes of its windows of ``width`` characters."""
+
+    def __init__(self, text: str, width: int) -> None:
+        self.chars, self.width = fold([text])[0], width
+        self.hashes = window_hashes(self.chars, width)
+        self.known = np.unique(self.hashes)
+
+    def places(self, other: Windows) -> np.ndarray:
+        """The places of the windows that ``other`` has too."""
+        if not len(other.known):
+            return np.zeros(0, dtype=np.int64)
+        at = np.minimum(np.searchsorted(other.known, self.hashes), len(other.known) - 1)
+        return np.flatnonzero(other.known[at] == self.hashes)
+
+
+def leak(doc: Windows, item: Windows, least: float = 0.0) -> tuple[int, int, int, int] | None:
+    """``(tiles, covered, longest, item length)`` of a document and an item, or None without a common run, or if tiles cover
+    less than a part ``least`` of the item."""
+    width, size = item.width, len(item.chars)
+    touched = item.places(doc)
+    if not len(touched) or np.minimum(np.diff(touched), width).sum() + width < least * size:  # tiles can't cover more than the windows touch
+        return None
+    at = doc.places(item)
+    tiles = tile(runs_of_seeds(at, doc.hashes[at], item.hashes), doc.chars, item.chars, width)
+    covered = sum(t[2] for t in tiles)
+    return (len(tiles), covered, max(t[2] for t in tiles), size) if tiles and covered >= least * size else None
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "item_text", min_run: int = 30, least_coverage: float = 0.0, bits: int = BITMAP_BITS) -> DataFrame:
     """Every document that shares a run of ``min_run`` letters and digits with an item, with the item:
     ``(doc_key, item_key, n_tiles, n_covered, longest, coverage)``, a row per document and item.
 
     ``coverage`` is the part of the item's letters and digits that tiles cover; pairs with less than
-    ``least_coverage`` are left out (most of them before they are tiled, by what seeds touch at most). Case and width don't
-    count, and nothing but letters and decimal digits does. Null texts share nothing; rows with null keys
-    are left out; repeated rows of an item or document count once. The items are taken in blocks of about
-    ``block_chars`` characters, a pass over the documents each, so what is broadcast has a bound whatever the
-    number of items. Documents are never shuffled.
+    ``least_coverage`` are left out. Case and width don't count, and nothing but letters and decimal digits does.
+    Null texts share nothing; rows with null keys are left out; of a key with several texts the one counts that is
+    covered most. What is broadcast is a bitmap of 2**``bits`` bits whatever the number of items; documents and
+    items meet by a join on their seeds, and documents without a seed of an item are not kept or shuffled.
     """
-    have = items.where(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).select(item_key, item_text).distinct()
-    total = have.agg(F.sum(F.length(item_text))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_chars))
+    doc = docs.where(F.col(doc_text).isNotNull() & F.col(doc_key).isNotNull()).select(F.col(doc_key).alias("d"), F.col(doc_text).alias("dt"))
+    item = items.where(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).select(F.col(item_key).alias("i"), F.col(item_text).alias("it")).distinct()
+    item = item.withColumn("iv", F.xxhash64("i", "it"))
+
+    def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for ids, part in _chunks(b["iv"].tolist(), b["it"].tolist()):
+                owner, hashes = seeds_of(part, min_run)
+                yield pd.DataFrame({"iv": np.array(ids, dtype=np.int64)[owner], "seed": hashes})
+
+    of_items = durable(item.select("iv", "it").mapInPandas(seeds, "iv bigint, seed bigint").distinct(), "seeds")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(of_items, bits))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bitmap = shared.value
+        for b in batches:
+            for at, part in _chunks(list(range(len(b))), b["dt"].tolist()):
+                owner, hashes = seeds_of(part, min_run)
+                hit = in_bitmap(hashes, bitmap)
+                if hit.any():
+                    rows = pd.DataFrame({"row": np.array(at)[owner[hit]], "seed": hashes[hit]}).drop_duplicates().groupby("row")["seed"].agg(list)
+                    yield b.iloc[rows.index].assign(seeds=rows.to_numpy())
+
     kinds = dict(docs.dtypes)[doc_key], dict(items.dtypes)[item_key]
-    schema = f"`{doc_key}` {kinds[0]}, `{item_key}` {kinds[1]}, n_tiles int, n_covered int, longest int, coverage double"
-    source = docs.where(F.col(doc_text).isNotNull() & F.col(doc_key).isNotNull()).select(doc_key, doc_text)
-    context = docs.sparkSession.sparkContext
-    out = None
-    for block in range(blocks):
-        rows = have.where(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == block).collect() if total else []
-        shared = context.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            lookup = Items(*shared.value, min_run)
-            for b in batches:
-                found = list(leaks_of(b[doc_key].tolist(), b[doc_text].tolist(), lookup, least_coverage))
-                if not found:
-                    continue
-                yield pd.DataFrame({doc_key: [x[0] for x in found], item_key: [x[1] for x in found], "n_tiles": [x[2] for x in found], "n_covered": [x[3] for x in found], "longest": [x[4] for x in found], "coverage": [x[3] / x[5] for x in found]})
-
-        part = source.mapInPandas(search, schema)
-        out = part if out is None else out.unionByName(part)
-    best = F.max(F.struct("n_covered", "n_tiles", "longest", "coverage"))  # repeated rows of a document, and texts that differ
-    return out.groupBy(doc_key, item_key).agg(best.alias("b")).select(doc_key, item_key, "b.n_tiles", "b.n_covered", "b.longest", "b.coverage")
+    found = durable(doc.mapInPandas(search, f"d {kinds[0]}, dt string, seeds array<bigint>").withColumn("dv", F.xxhash64("d", "dt")), "found")
+    met = found.select("dv", F.explode("seeds").alias("seed")).join(of_items, "seed").select("dv", "iv").distinct()
+    pairs = found.select("dv", "d", "dt").distinct().join(met.join(item, "iv").select("dv", "i", "it"), "dv")
+
+    def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: tuple[str, Windows] | None = None
+        known: dict[str, Windows] = {}
+        for b in batches:
+            got = []
+            for d, i, dt, it in zip(b["d"], b["i"], b["dt"], b["it"], strict=True):
+                if last is None or last[0] != dt:  # the items of a document come one after the other
+                    last = dt, Windows(dt, min_run)
+                if it not in known:
+                    if len(known) > 1_000:
+                        known.clear()
+                    known[it] = Windows(it, min_run)
+                result = leak(last[1], known[it], least_coverage)
+                if result:
+                    got.append((d, i, *result[:3], result[1] / result[3]))
+            if got:
+                yield pd.DataFrame(got, columns=["d", "i", "n_tiles", "n_covered", "longest", "coverage"])
+
+    out = pairs.select("d", "i", "dt", "it").mapInPandas(tiles, f"d {kinds[0]}, i {kinds[1]}, n_tiles int, n_covered int, longest int, coverage double")
+    best = F.max(F.struct("n_covered", "n_tiles", "longest", "coverage"))
+    return out.groupBy(F.col("d").alias(doc_key), F.col("i").alias(item_key)).agg(best.alias("b")).select(doc_key, item_key, "b.n_tiles", "b.n_covered", "b.longest", "b.coverage")
