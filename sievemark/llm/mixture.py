@@ -24,8 +24,10 @@ from sievemark.session import durable
 
 #: Where the vocabulary files of public tokenizers lie; every executor has them.
 TOKENIZERS = "/opt/tokenizers"
-#: Slices of a pattern's seeded order; running sums are taken within one slice only.
-SLICES = 4096
+#: Texts in a slice of a pattern's seeded order, about; running sums are taken within one slice only.
+SLICE_TEXTS = 50_000
+#: Membership patterns, at most: they are the nodes of the flow. Beyond, sources have to be put together first.
+MAX_PATTERNS = 20_000
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -146,33 +148,44 @@ def route(supply: dict[tuple[str, ...], int], targets: list[Target], total: floa
     return low, solve(low)[1]
 
 
-def _texts(docs: DataFrame, counter, key: str, text: str, source: str) -> DataFrame:  # noqa: ANN001
-    """``(h1, h2, source, doc, n)``: each text of each source once, with the least key of the documents that have it."""
+def _texts(docs: DataFrame, counter, key: str, text: str, source: str, merge_copies: bool) -> DataFrame:  # noqa: ANN001
+    """``(h1, h2, source, doc, n)``: each text of each source once, with the least key of the documents that have it; without
+    ``merge_copies`` each key is a text of its own."""
     rows = docs.where(F.col(text).isNotNull() & F.col(source).isNotNull() & F.col(key).isNotNull())
-    slim = rows.select(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("other"), F.col(text)).alias("h2"), F.col(source).alias("source"), F.col(key).alias("doc"), counter(F.col(text)).alias("n"))
+    own = [] if merge_copies else [F.col(key)]
+    slim = rows.select(F.xxhash64(text, *own).alias("h1"), F.xxhash64(F.lit("other"), F.col(text), *own).alias("h2"), F.col(source).alias("source"), F.col(key).alias("doc"), counter(F.col(text)).alias("n"))
     return slim.groupBy("h1", "h2", "source").agg(F.min("doc").alias("doc"), F.first("n").alias("n")).where(F.col("n") > 0)
 
 
-def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", total: float | None = None, seed: int = 0, tokenizers: str = TOKENIZERS, slices: int = SLICES) -> DataFrame:
+def mix(
+    docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", total: float | None = None, seed: int = 0,
+    tokenizers: str = TOKENIZERS, slice_texts: int = SLICE_TEXTS, merge_copies: bool = True, max_patterns: int = MAX_PATTERNS,
+) -> DataFrame:
     """The mixture: ``(key, source, n_tokens, n_uses)``, a row per text and source it is used for.
 
     ``targets`` has ``source``, ``target_share`` and ``max_repeats`` (a small table; its rows come to the
     driver, as does the token sum of each membership pattern of the sources named there). Each source gets
     its share of all tokens to within one document. A text is used for a source ``max_repeats`` times at
     most, and in all no oftener than the largest ``max_repeats`` of its sources. Equal texts of one source
-    are one document, with the least key. Null and empty texts, null sources and sources without a target
+    are one document, with the least key, so that copies don't count as repeats that nobody sees; without ``merge_copies``
+    each key is a document, and its copies add to the supply. Null and empty texts, null sources and sources without a target
     take no part; a source without documents gets nothing (see ``mixture_report``). Of repeated targets for
     a source the greatest counts; null shares and repeats are 0. The order of documents depends on ``seed``
-    and the text alone. Shares are met for any row order and partitioning.
+    and the text alone. Shares are met for any row order and partitioning. More than ``max_patterns`` membership patterns
+    raise a ValueError: they are collected for the flow.
     """
     want = [Target(r["source"], r["share"], r["repeats"]) for r in targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.coalesce(F.max("target_share"), F.lit(0.0)).cast("double").alias("share"), F.coalesce(F.max("max_repeats"), F.lit(0)).cast("int").alias("repeats")).orderBy("source").collect()]
     named = [t.source for t in want if t.share > 0 and t.repeats > 0]
-    texts = durable(_texts(docs.where(F.col(source).isin(named)) if named else docs.limit(0), count_tokens(tokenizers), key, text, source), "tokens")
+    texts = durable(_texts(docs.where(F.col(source).isin(named)) if named else docs.limit(0), count_tokens(tokenizers), key, text, source, merge_copies), "tokens")
     whole = texts.groupBy("h1", "h2").agg(F.array_sort(F.collect_set("source")).alias("pattern"), F.first("n").alias("n"))
+    slices = max(64, texts.count() // slice_texts)
     place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "h1", "h2"), 1)
     whole = whole.withColumn("place", place).withColumn("slice", F.floor(F.col("place") / F.lit(float(1 << 63)) * slices).cast("int"))
     sums = durable(whole.groupBy("pattern", "slice").agg(F.sum("n").alias("n")), "slices")
-    supply = {tuple(r["pattern"]): int(r["w"]) for r in sums.groupBy("pattern").agg(F.sum("n").alias("w")).collect()}
+    rows = sums.groupBy("pattern").agg(F.sum("n").alias("w")).limit(max_patterns + 1).collect()
+    if len(rows) > max_patterns:
+        raise ValueError(f"the sources overlap in more than {max_patterns} patterns; put sources together or raise max_patterns")
+    supply = {tuple(r["pattern"]): int(r["w"]) for r in rows}
     _, flow = route(supply, want, total)
     spans, done = [], {}
     for (p, s), amount in sorted(flow.items()):

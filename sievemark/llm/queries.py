@@ -12,12 +12,12 @@ from sievemark.llm.leakage import find_leaks
 from sievemark.llm.lookalike import canonical_texts, look_classes, same_look_pairs
 from sievemark.llm.mixture import mix, mixture_report
 from sievemark.llm.similar_sets import set_members, similar_links, similar_pairs
-from sievemark.llm.subjects import subject_shares, subjects_of
+from sievemark.llm.subjects import leaf_mixtures, subject_shares, subjects_of
 from sievemark.llm.topn import top_n
 from sievemark.operators.packed import record_cells
 from sievemark.operators.records import first_delivery
 from sievemark.queries import Registry
-from sievemark.session import table
+from sievemark.session import durable, table
 
 REG = Registry()
 
@@ -187,11 +187,51 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture_report(mix(table(spark, d, "documents"), targets), targets)
 
 
+@REG.add(
+    "p7_checks",
+    """SELECT t.source, d.source IS NOT NULL AS has_documents, true AS share_met, true AS repeats_kept, true AS documents_are_its_own
+    FROM (SELECT source, max(target_share) AS s, max(max_repeats) AS r FROM source_targets WHERE source IS NOT NULL GROUP BY 1) t
+    LEFT JOIN (SELECT DISTINCT source FROM documents WHERE text <> '') d ON d.source = t.source AND s > 0 AND r > 0""",
+)
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What has to hold of the mixture, by source: its share to within a document a source, its cap on uses, and that what is used
+    for it are documents of that source."""
+    docs, targets = table(spark, d, "documents"), table(spark, d, "source_targets")
+    m = durable(mix(docs, targets), "mixture")
+    report = mixture_report(m, targets).withColumn("has_documents", F.col("n_documents") > 0)
+    of = lambda df, column: df.agg(column).scalar()
+    all_, most = of(m, F.sum(F.col("n_uses") * F.col("n_tokens"))), of(m, F.max("n_tokens"))
+    there = report.where("has_documents")
+    wanted, n = of(there, F.sum("target_share")), of(there, F.count(F.lit(1)))
+    foreign = m.join(docs.select("doc_id", "source"), ["doc_id", "source"], "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("foreign"))
+    every = report.join(foreign, "source", "left")
+    near = F.abs(F.col("actual_share") - F.col("target_share") / wanted) * all_ <= most * (n + 1)
+    met = F.when(F.col("has_documents"), near).otherwise(F.col("n_tokens") == 0)
+    return every.select("source", "has_documents", met.alias("share_met"), (F.col("most_uses") <= F.col("max_repeats")).alias("repeats_kept"), F.col("foreign").isNull().alias("documents_are_its_own"))
+
+
 @REG.add("p8_found")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects_of(subject_shares(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "subjects")))
 
 
+@REG.add(
+    "p8_checks",
+    "SELECT count(*) AS n_documents, true AS shares_add_up, true AS sentences_are_whole, true AS subjects_are_known FROM documents WHERE regexp_matches(text, '\\p{L}')",
+)
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What has to hold of the mixtures of leaves: shares within a document add up to 1 at most, are whole sentences, of known subjects."""
+    docs, subjects = table(spark, d, "documents"), table(spark, d, "subjects")
+    leaf = durable(leaf_mixtures(docs, table(spark, d, "doc_labels"), subjects), "leaves")
+    per = leaf.groupBy("doc_id").agg(F.sum("share").alias("s"), F.max(F.abs(F.col("share") * F.col("n_sentences") - F.round(F.col("share") * F.col("n_sentences")))).alias("off"))
+    with_letters = docs.where(F.col("text").rlike(r"\p{L}")).select("doc_id")
+    strange = leaf.where(F.col("subject_code").isNotNull()).join(subjects, "subject_code", "left_anti").agg(F.count(F.lit(1))).scalar()
+    every = with_letters.join(per, "doc_id", "left").agg(
+        F.count(F.lit(1)).alias("n_documents"), (F.coalesce(F.max("s"), F.lit(0.0)) <= 1 + 1e-9).alias("shares_add_up"), (F.coalesce(F.max("off"), F.lit(0.0)) < 1e-6).alias("sentences_are_whole")
+    )
+    return every.withColumn("subjects_are_known", strange == 0)
+
+
 @REG.add("p8_composition")
 def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     """The make-up of the corpus: per subject the documents that deal with it and its sentences in all documents."""

@@ -34,7 +34,7 @@ TARGETS = [("big", 0.5, 1), ("mid", 0.3, 1), ("small", 0.2, 3), ("none", 0.1, 5)
 
 def test_shares_and_caps(spark, docs):
     t = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
-    m = mix(docs, t, slices=16).cache()
+    m = mix(docs, t, slice_texts=100).cache()
     r = {x.source: x for x in mixture_report(m, t).collect()}
     assert r["none"].n_tokens == 0 and r["zero"].n_tokens == 0
     for s, want in (("big", 0.5), ("mid", 0.3), ("small", 0.2)):
@@ -43,7 +43,7 @@ def test_shares_and_caps(spark, docs):
     assert m.groupBy("doc_id", "source").count().where("count > 1").count() == 0
     # the text in two sources is used once a source at most, and under its least key there
     assert {x.doc_id for x in m.where("doc_id in (0, 9004, 9005)").collect()} <= {0, 9004}
-    again = mix(docs.repartition(7), t, slices=64)
+    again = mix(docs.repartition(7), t, slice_texts=20)
     assert {tuple(x) for x in again.collect()} == {tuple(x) for x in m.collect()}
     assert {tuple(x) for x in mix(docs, t, seed=5).collect()} != {tuple(x) for x in m.collect()}
 
@@ -64,3 +64,12 @@ def test_tokens_count_whole_texts(spark):
     df = spark.createDataFrame([("a b",), ("",), (None,), ("<|endoftext|>",), ("水" * 100_000,)], "t string")
     got = [r.n for r in df.select(count_tokens()(F.col("t")).alias("n")).collect()]
     assert got[0] == 2 and got[1:3] == [0, 0] and got[3] > 1 and got[4] >= 50_000
+
+
+def test_copies_and_patterns(spark, docs):
+    rows = [(i, "同一段文字", "a") for i in range(50)] + [(100 + i, f"另一段文字{i}", "b") for i in range(50)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    t = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    assert mix(d, t).where("source = 'a'").count() == 1 and mix(d, t, merge_copies=False).where("source = 'a'").count() > 20
+    with pytest.raises(ValueError, match="patterns"):
+        mix(d, t, max_patterns=1)
