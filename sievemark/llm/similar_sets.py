@@ -7,8 +7,10 @@ radius with a calibrated recall follows from the binomial distribution.
 The index over the sketches is made of segments. A segment packs the bits of the ``order`` least hash
 values of one permutation (its bottom values), so it agrees as a whole if these values do. By the
 pigeonhole principle sets within the threshold share at least ``o`` values, and bottom values that all lie
-among the shared ones agree; the number of segments is calibrated to the target recall for the least
-favourable sizes. Pairs that meet in a segment and lie within the radius are verified with the sets.
+among the shared ones agree. How many segments a set has is calibrated to the target recall for the least favourable
+partner of its size. Sets of ``EXACT_SIZE`` values and fewer have so few choices of ``order`` values that all
+of them are segments: pairs of such sets always meet. Pairs that meet in a segment and lie within the radius are
+verified with the sets.
 
 Packing segments of *independent* one-bit minhashes instead would need some 900 segments of 22 bits at a
 threshold of 0.6 (each bit agrees with probability 0.8 only); see the README for figures.
@@ -16,73 +18,65 @@ threshold of 0.6 (each bit agrees with probability 0.8 only); see the README for
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievemark.operators.joins import salted_join
 from sievemark.session import durable
 
-#: Bits of the sketch; two 64-bit words.
-SKETCH_BITS = 128
+#: Bits of the sketch, a 64-bit word.
+SKETCH_BITS = 64
+#: Sets of so many values and fewer have a segment for every choice of their values.
+EXACT_SIZE = 5
 _GOLDEN = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
 @dataclass(frozen=True)
 class Plan:
-    """What follows from a threshold and a target recall: ``order`` bottom values a segment, ``segments``, ``radius``."""
+    """What follows from a threshold and a target recall: ``order`` bottom values a segment, and the ``radius``."""
 
     threshold: Fraction
+    recall: float
     order: int
-    segments: int
     radius: int
 
     @staticmethod
     def of(threshold: Fraction, recall: float = 0.999, order: int = 3) -> Plan:
-        """Calibrated for the least favourable pair: sets that share just ``order`` values, or any larger number.
-
-        ``recall`` is a floor for pairs right at the threshold; the radius misses a tenth of what the segments may miss.
-        """
-        worst = min(_agree(a, b, threshold, order) for a in range(1, 200) for b in range(a, int(a / threshold) + 1))
-        segments = math.ceil(math.log(1 - recall) / math.log(1 - worst)) if worst < 1 else 1
+        """``recall`` is a floor for pairs right at the threshold; the radius misses a tenth of what the segments may miss."""
         differ = (1 - float(threshold)) / 2
         miss, radius, term = 1.0, -1, (1 - differ) ** SKETCH_BITS
         while miss > (1 - recall) / 10:
             radius += 1
             miss -= term
             term *= (SKETCH_BITS - radius) / (radius + 1) * differ / (1 - differ)
-        return Plan(threshold, order, segments, radius)
-
-
-def _shared(a: int, b: int, threshold: Fraction) -> int:
-    """The least number of values that sets of ``a`` and ``b`` values share if their similarity reaches the threshold."""
-    return math.ceil(threshold * (a + b) / (1 + threshold))
-
-
-def _agree(a: int, b: int, threshold: Fraction, order: int) -> float:
-    o = _shared(a, b, threshold)
-    if o > min(a, b) or (a == b == o):
-        return 1.0
-    u, p = a + b - o, 1.0
-    for i in range(min(order, o)):
-        p *= (o - i) / (u - i)
-    return p
-
-
-def orders_of_size(size: int, threshold: Fraction, order: int) -> list[int]:
-    """How many bottom values the segments of a set of ``size`` pack: ``order``, or fewer to meet smaller sets."""
-    out = set()
-    for other in range(math.ceil(size * threshold), int(size / threshold) + 1):
-        o = _shared(*sorted((size, other)), threshold)
-        if 0 < o <= min(size, other):
-            out.add(min(order, o))
-    return sorted(out)
+        return Plan(threshold, recall, order, radius)
+
+    def segments(self, size: int) -> tuple[dict[int, int], list[int]]:
+        """For a set of ``size`` values: how many segments of how many bottom values it has, and of how many values it packs
+        every choice. Fewer than ``order`` values are packed to meet sets with which it shares no more."""
+        num, den = self.threshold.numerator, self.threshold.denominator
+        other = np.arange(-(-size * num // den), size * den // num + 1)
+        shared = -(-num * (size + other) // (num + den))
+        other, shared = other[shared <= np.minimum(size, other)], shared[shared <= np.minimum(size, other)]
+        union = size + other - shared
+        order = np.minimum(shared, self.order)
+        both_small = np.maximum(size, other) <= EXACT_SIZE
+        some: dict[int, int] = {}
+        for r in set(order[~both_small].tolist()):
+            at = ~both_small & (order == r) & (union > shared)
+            agree = np.prod([(shared[at] - i) / (union[at] - i) for i in range(r)], axis=0)
+            if len(agree):
+                some[r] = max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - agree.min())))
+        return some, sorted(set(order[both_small].tolist()))
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -95,48 +89,77 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sketches(values: list[np.ndarray], plan: Plan) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each set of hashed values: its segment keys, and its sketch as two words. All sets are non-empty."""
-    if not values:
-        return [], np.zeros((0, 2), dtype=np.int64)
+def _flat(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashed values of non-empty sets one after the other, where each set starts, and the set of each value."""
     size = np.array([len(v) for v in values])
     flat = np.concatenate(values).astype(np.int64).view(np.uint64)
-    start = np.concatenate([[0], np.cumsum(size)[:-1]])
-    owner = np.repeat(np.arange(len(values)), size)
-    words = np.zeros((len(values), 2), dtype=np.uint64)
-    sizes, which = np.unique(size, return_inverse=True)
-    wanted = [orders_of_size(int(s), plan.threshold, plan.order) for s in sizes]
-    uses = np.array([[r in w for r in range(plan.order + 1)] for w in wanted])[which]
-    keys = np.zeros((len(values), plan.segments, plan.order + 1), dtype=np.uint64)
-    for p in range(max(SKETCH_BITS, plan.segments)):
-        h = _mix(flat, p)
-        least = np.minimum.reduceat(h, start)
-        if p < SKETCH_BITS:
-            words[:, p // 64] |= (least & np.uint64(1)) << np.uint64(p % 64)
-        if p >= plan.segments:
-            continue
-        key = _mix(np.full(len(values), p, dtype=np.uint64), 1_000_003)
+    return flat, np.concatenate([[0], np.cumsum(size)[:-1]]), np.repeat(np.arange(len(values)), size)
+
+
+def sketches(values: list[np.ndarray]) -> np.ndarray:
+    """The sketch of each set of hashed values. All sets are non-empty."""
+    words = np.zeros(len(values), dtype=np.uint64)
+    if len(values):
+        flat, start, _ = _flat(values)
+        for p in range(SKETCH_BITS):
+            words |= (np.minimum.reduceat(_mix(flat, p), start) & np.uint64(1)) << np.uint64(p)
+    return words.view(np.int64)
+
+
+def _packed(columns: list[np.ndarray], seed: int) -> np.ndarray:
+    key = _mix(np.full(len(columns[0]), seed, dtype=np.uint64), 1_000_003)
+    for r, c in enumerate(columns, 1):
+        key = _mix(key ^ c, r)
+    return key
+
+
+def segment_keys(values: list[np.ndarray], plan: Plan) -> list[np.ndarray]:
+    """The segments of each set of hashed values, as hashes. All sets are non-empty."""
+    owners: list[np.ndarray] = []
+    found: list[np.ndarray] = []
+    sizes = np.array([len(v) for v in values], dtype=np.int64)
+    plans = {int(s): plan.segments(int(s)) for s in np.unique(sizes)}
+    for s, (_, every) in plans.items():
+        if every:
+            at = np.flatnonzero(sizes == s)
+            table = np.sort(np.stack([values[i] for i in at]).astype(np.int64).view(np.uint64), axis=1)
+            for r in every:
+                for choice in itertools.combinations(range(s), r):
+                    owners.append(at)
+                    found.append(_packed([table[:, c] for c in choice], r))
+    wanted = np.array([[plans[int(s)][0].get(r, 0) for r in range(plan.order + 1)] for s in sizes], dtype=np.int64).reshape(-1, plan.order + 1)
+    active = np.zeros(0, dtype=np.int64)
+    for p in range(int(wanted.max(initial=0))):
+        now = np.flatnonzero(wanted.max(axis=1) > p)
+        if p == 0 or len(now) < len(active):
+            active = now
+            flat, start, owner = _flat([values[i] for i in active])
+        h, columns = _mix(flat, 1_000 + p), []
         for r in range(1, plan.order + 1):
-            key = _mix(key ^ least, r)
-            keys[:, p, r] = key
-            if r < plan.order:
-                h[h == least[owner]] = np.uint64(_MASK)
-                least = np.minimum.reduceat(h, start)
-    out = []
-    for i in range(len(values)):
-        out.append(keys[i][:, uses[i]].ravel().view(np.int64))
-    return out, words.view(np.int64)
+            columns.append(np.minimum.reduceat(h, start))
+            use = wanted[active, r] > p
+            if use.any():
+                owners.append(active[use])
+                found.append(_packed([c[use] for c in columns], 100 + plan.order * p + r))
+            h[h == columns[-1][owner]] = np.uint64(_MASK)
+    if not found:
+        return [np.zeros(0, dtype=np.int64) for _ in values]
+    owner, key = np.concatenate(owners), np.concatenate(found).view(np.int64)
+    order = np.argsort(owner, kind="stable")
+    return np.split(key[order], np.cumsum(np.bincount(owner, minlength=len(values)))[:-1])
+
 
+@F.pandas_udf(T.LongType())
+def _sketch(hashed: pd.Series) -> pd.Series:
+    return pd.Series(sketches([np.asarray(v) for v in hashed]))
 
-def _sketch_udf(plan: Plan):  # noqa: ANN202
-    kind = T.StructType([T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("w0", T.LongType()), T.StructField("w1", T.LongType())])
 
-    @F.pandas_udf(kind)
-    def sketch(hashed: pd.Series) -> pd.DataFrame:
-        keys, words = sketches([np.asarray(v) for v in hashed], plan)
-        return pd.DataFrame({"keys": keys, "w0": words[:, 0], "w1": words[:, 1]})
+def _segment_udf(plan: Plan):  # noqa: ANN202
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def segments(hashed: pd.Series) -> pd.Series:
+        return pd.Series(segment_keys([np.asarray(v) for v in hashed], plan), dtype=object)
 
-    return sketch
+    return segments
 
 
 def set_members(df: DataFrame, group: str, record: str, values: str) -> DataFrame:
@@ -152,27 +175,32 @@ def set_members(df: DataFrame, group: str, record: str, values: str) -> DataFram
 
 def similar_classes(members: DataFrame, threshold: Fraction = Fraction(3, 5), recall: float = 0.999) -> DataFrame:
     """``(grp, cid_a, tags_a, cid_b, tags_b, n_shared, n_union)``: pairs of different sets of one group whose
-    Jaccard similarity is ``threshold`` or more, each once (``tags_a`` before ``tags_b``).
+    Jaccard similarity is ``threshold`` or more, each once (``cid_a`` < ``cid_b``).
 
     Equal sets are one class whatever the number of records, so copies cost nothing here. ``recall`` is the
-    floor for pairs exactly at the threshold; no candidate is dropped. Verification is exact.
+    floor for pairs exactly at the threshold: so many meet in a segment, and of these the radius leaves out
+    (1 - ``recall``) / 10 at most. Pairs of sets of ``EXACT_SIZE`` values and fewer all meet. Verification is exact.
+    Segments that no other set has are dropped before the join; of segments that many sets have, one side is
+    spread over salts.
     """
     plan = Plan.of(threshold, recall)
     hashed = F.transform("tags", lambda v: F.xxhash64(v))
-    classes = members.groupBy("grp", "tags").agg(F.first("cid").alias("cid")).withColumn("s", _sketch_udf(plan)(hashed))
-    classes = durable(classes.select("grp", "cid", "tags", F.col("s.w0").alias("w0"), F.col("s.w1").alias("w1"), "s.keys"), "sketches")
-    index = classes.select("cid", F.size("tags").alias("n"), F.xxhash64("grp").alias("g"), F.explode("keys").alias("k"))
+    classes = durable(members.groupBy("grp", "tags").agg(F.first("cid").alias("cid")).withColumn("w", _sketch(hashed)), "sketches")
+    index = classes.select("cid", F.size("tags").alias("n"), F.xxhash64("grp").alias("g"), F.explode(_segment_udf(plan)(hashed)).alias("k"))
     index = index.select(F.col("k").bitwiseXOR(F.col("g")).alias("k"), "cid", "n")
-    a = index.select("k", F.col("cid").alias("cid_a"), F.col("n").alias("n_a")).hint("merge")
+    in_segment = Window.partitionBy("k").orderBy("cid")
+    shared_by = F.lag("cid").over(in_segment).isNotNull() | F.lead("cid").over(in_segment).isNotNull()
+    index = durable(index.withColumn("shared", shared_by).where("shared").select("k", "cid", "n"), "index")
+    a = index.select("k", F.col("cid").alias("cid_a"), F.col("n").alias("n_a"))
     b = index.select("k", F.col("cid").alias("cid_b"), F.col("n").alias("n_b"))
     num, den = threshold.numerator, threshold.denominator
     sizes = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
-    met = a.join(b, "k").where((F.col("cid_a") < F.col("cid_b")) & sizes).select("cid_a", "cid_b").distinct()
+    met = salted_join(a, b, ["k"], spread=F.col("cid_a"), how="inner").where((F.col("cid_a") < F.col("cid_b")) & sizes).select("cid_a", "cid_b").distinct()
 
     def side(x: str) -> DataFrame:
-        return classes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("grp", "cid", "tags", "w0", "w1")])
+        return classes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("grp", "cid", "tags", "w")])
 
-    near = F.bit_count(F.col("w0_a").bitwiseXOR(F.col("w0_b"))) + F.bit_count(F.col("w1_a").bitwiseXOR(F.col("w1_b"))) <= plan.radius
+    near = F.bit_count(F.col("w_a").bitwiseXOR(F.col("w_b"))) <= plan.radius
     same = F.col("grp_a").eqNullSafe(F.col("grp_b")) & (F.col("tags_a") != F.col("tags_b"))
     both = met.join(side("a"), "cid_a").join(side("b"), "cid_b").where(same & near)
     shared: Column = F.size(F.array_intersect("tags_a", "tags_b"))
@@ -184,15 +212,17 @@ def similar_classes(members: DataFrame, threshold: Fraction = Fraction(3, 5), re
 def similar_pairs(members: DataFrame, threshold: Fraction = Fraction(3, 5), recall: float = 0.999) -> DataFrame:
     """``(grp, id_a, id_b)``: all pairs of records of a group, ``id_a`` < ``id_b``, with sets at least ``threshold`` similar.
 
-    The pairs of classes are expanded to their records, and records with equal sets are paired. If one set
-    had a third of all records that would be most of all pairs; where copies abound, use ``similar_links``.
+    The pairs of classes are expanded to their records, and records with equal sets are paired (those of a set with many
+    records in salted parts). If one set had a third of all records that would be most of all pairs; where copies
+    abound, use ``similar_links``, which has representatives and membership instead.
     """
     m = durable(members.select("grp", "cid", "tags", "record"), "members")
     pairs = similar_classes(m, threshold, recall)
     left = m.select("grp", F.col("tags").alias("tags_a"), F.col("cid").alias("cid_a"), F.col("record").alias("r1"))
     right = m.select("grp", F.col("tags").alias("tags_b"), F.col("cid").alias("cid_b"), F.col("record").alias("r2"))
     across = pairs.join(left, ["grp", "cid_a", "tags_a"]).join(right, ["grp", "cid_b", "tags_b"]).select("grp", "r1", "r2")
-    same = left.join(right, (left.grp == right.grp) & (left.cid_a == right.cid_b) & (left.tags_a == right.tags_b) & (left.r1 < right.r2)).select(left.grp, "r1", "r2")
+    keys = ["grp", "cid_a", "tags_a"]
+    same = salted_join(left, right.select("grp", F.col("cid_b").alias("cid_a"), F.col("tags_b").alias("tags_a"), "r2"), keys, spread=F.col("r1"), how="inner").where("r1 < r2").select("grp", "r1", "r2")
     both = across.unionByName(same).where(F.col("r1") != F.col("r2"))
     return both.select("grp", F.least("r1", "r2").alias("id_a"), F.greatest("r1", "r2").alias("id_b")).distinct()
 

@@ -4,7 +4,7 @@ from fractions import Fraction
 import numpy as np
 from pyspark.sql import functions as F
 
-from sievemark.llm.similar_sets import SKETCH_BITS, Plan, orders_of_size, set_members, similar_classes, similar_links, similar_pairs, sketches
+from sievemark.llm.similar_sets import EXACT_SIZE, SKETCH_BITS, Plan, segment_keys, set_members, similar_classes, similar_links, similar_pairs, sketches
 
 
 def frame(spark, rows):
@@ -66,15 +66,34 @@ def test_long_sets(spark):
 
 def test_calibration():
     plan = Plan.of(Fraction(3, 5))
-    assert 50 <= plan.segments <= 70 and 35 <= plan.radius <= 50
-    assert orders_of_size(1, Fraction(3, 5), 3) == [1] and orders_of_size(3, Fraction(3, 5), 3) == [2, 3] and orders_of_size(9, Fraction(3, 5), 3) == [3]
-    rng, met, far = np.random.default_rng(0), 0, 0
-    for _ in range(300):
-        x = rng.integers(1, 1 << 60, 5)
-        (ka, kb), w = sketches([x, x[:3]], plan)
-        met += bool(set(ka.tolist()) & set(kb.tolist()))
-        far += sum(bin(int(p) & (2**64 - 1)).count("1") for p in (w[0] ^ w[1])) > plan.radius
-    assert met >= 297 and far <= 3 and SKETCH_BITS == 128
+    assert 20 <= plan.radius <= 28 and SKETCH_BITS == 64
+    assert plan.segments(1) == ({}, [1]) and plan.segments(3) == ({}, [2, 3]) and plan.segments(4)[1] == [3]
+    some, every = plan.segments(9)
+    assert every == [] and list(some) == [3] and 25 <= some[3] <= 45 and plan.segments(33_000)[0][3] < 45
+    rng = np.random.default_rng(0)
+    for a, b in ((8, 8), (6, 10), (4, 6), (5, 8), (7, 11), (12, 20), (40, 40)):
+        o, met, far = -(-3 * (a + b) // 8), 0, 0
+        for _ in range(300):
+            x = rng.integers(1, 1 << 60, a + b - o)
+            pair = [x[:a], x[a - o :]]
+            ka, kb = segment_keys(pair, plan)
+            met += bool(set(ka.tolist()) & set(kb.tolist()))
+            w = sketches(pair)
+            far += bin(int(w[0] ^ w[1]) & (2**64 - 1)).count("1") > plan.radius
+        assert met >= 298 and far <= 2, (a, b, met, far)
+
+
+def test_small_sets_always_meet():
+    plan, rng = Plan.of(Fraction(3, 5)), random.Random(1)
+    pool = list(range(1, 9))
+    sets = [np.array(rng.sample(pool, rng.randint(1, EXACT_SIZE))) * 7_919 for _ in range(300)]
+    keys = [set(k.tolist()) for k in segment_keys(sets, plan)]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            x, y = set(a.tolist()), set(sets[j].tolist())
+            if Fraction(len(x & y), len(x | y)) >= plan.threshold:
+                assert keys[i] & keys[j]
+    assert segment_keys([], plan) == [] and sketches([]).shape == (0,)
 
 
 def test_sets_beyond_a_short(spark):
@@ -85,3 +104,10 @@ def test_sets_beyond_a_short(spark):
     tags = F.transform(F.sequence(F.col("id") + 1, F.col("id") + 33_000), lambda x: x.cast("string"))
     members = spark.range(2).select(F.lit("g").alias("grp"), F.array_sort(tags).alias("tags"), F.col("id").alias("cid"))
     assert [(r.n_shared, r.n_union) for r in similar_classes(members).select("n_shared", "n_union").collect()] == [(32_999, 33_001)]
+
+
+def test_hot_segments_are_spread(spark):
+    """Many different sets that share all but one value meet in the same segments."""
+    rows = [("f", f"r{i}", ["a", "b", "c", "d", f"x{i}"]) for i in range(300)]
+    got = similar_classes(set_members(frame(spark, rows), "field", "id", "vals")).count()
+    assert got == 300 * 299 // 2
