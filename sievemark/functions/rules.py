@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from sievemark.functions.text import compact, compact_key, text
 
 
+#: Rules that a table may hold.
+MAX_RULES = 2_000
+
+
 @dataclass(frozen=True)
 class Rule:
     """``name`` is given to texts with any of ``keys``; ``all_of`` are guards, ``none_of`` exclusions.
@@ -36,7 +40,9 @@ class Rule:
 
 def rules_from(df: DataFrame) -> list[Rule]:
     """Rules from a small table with ``ord``, ``name``, ``keys`` (array), ``all_of`` (array of arrays) and ``none_of`` (array)."""
-    rows = df.orderBy("ord", "name").collect()
+    rows = df.orderBy("ord", "name").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules: they become one expression")
     return [Rule(r["name"], tuple(r["keys"] or ()), tuple(tuple(g) for g in r["all_of"] or ()), tuple(r["none_of"] or ())) for r in rows]
 
 
@@ -64,6 +70,40 @@ def tags(rules: list[Rule], raw: Column, packed: Column | None = None) -> Column
     return F.array_distinct(F.array_compact(F.array(*[F.when(fires(r, raw, packed), F.lit(r.name)) for r in rules])))
 
 
+@dataclass(frozen=True)
+class Case:
+    """A row of a cascade: ``result`` for texts with any of ``any_of`` and, where given, any of ``also`` and none of ``none_of``,
+    longer than ``longer``, and (with any of ``named`` in the raw text, or shorter than ``shorter``)."""
+
+    result: str
+    any_of: tuple[str, ...]
+    also: tuple[str, ...] = ()
+    none_of: tuple[str, ...] = ()
+    longer: int | None = None
+    named: tuple[str, ...] = ()
+    shorter: int | None = None
+
+
+def case_holds(case: Case, raw: Column, packed: Column) -> Column:
+    """True where the row of the cascade holds."""
+    test = has_any(raw, case.any_of, packed)
+    if case.also:
+        test = test & has_any(raw, case.also, packed)
+    if case.none_of:
+        test = test & ~has_any(raw, case.none_of, packed)
+    if case.longer is not None:
+        test = test & (F.length(raw) > case.longer)
+    if case.named or case.shorter is not None:
+        some = [raw.contains(n) for n in case.named] + ([F.length(raw) < case.shorter] if case.shorter is not None else [])
+        test = test & reduce(lambda a, b: a | b, some)
+    return test
+
+
+def first_case(cases: list[Case], raw: Column, packed: Column, default: Column | str) -> Column:
+    """The result of the first row of a cascade that holds."""
+    return cascade([(case_holds(c, raw, packed), c.result) for c in cases], default)
+
+
 def cascade(cases: list[tuple[Column, str]], default: Column | str) -> Column:
     """The value of the first case that holds."""
     out = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.functions.rules import Rule
+from sievemark.functions.rules import Case, Rule
 from sievemark.functions.text import compact_key
 from sievemark.operators.records import first_delivery
 from sievemark.session import table
@@ -73,6 +73,21 @@ def sql_fires(rule: Rule, raw: str, packed: str) -> str:
     return " AND ".join(tests)
 
 
+def sql_case(case: Case, raw: str, packed: str) -> str:
+    """Whether a row of a cascade holds."""
+    tests = [sql_has_any(raw, packed, case.any_of)]
+    tests += [sql_has_any(raw, packed, case.also)] if case.also else []
+    tests += [f"NOT {sql_has_any(raw, packed, case.none_of)}"] if case.none_of else []
+    tests += [f"length({raw}) > {case.longer}"] if case.longer is not None else []
+    some = [f"contains({raw}, {sql_quote(n)})" for n in case.named] + ([f"length({raw}) < {case.shorter}"] if case.shorter is not None else [])
+    tests += ["(" + " OR ".join(some) + ")"] if some else []
+    return " AND ".join(tests)
+
+
+def sql_first_case(cases: list[Case], raw: str, packed: str, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {sql_case(c, raw, packed)} THEN {sql_quote(c.result)}" for c in cases) + f" ELSE {default} END"
+
+
 def sql_tags(rules: list[Rule], raw: str, packed: str) -> str:
     """A list of the names of the rules that fire, in rule order."""
     cases = ", ".join(f"CASE WHEN {sql_fires(r, raw, packed)} THEN {sql_quote(r.name)} END" for r in rules)

@@ -42,23 +42,14 @@ def composite_questions(spark: SparkSession, d: str) -> DataFrame:
     return q.select("question_id", many.alias("composite"))
 
 
-_BY_NAME = [
-    (["工艺流程", "流程题", "金属回收", "粗盐提纯", "除杂", "制备"], "工艺流程题"),
-    (["计算", "质量分数", "溶解度曲线", "表格与图像", "表格与坐标", "图像坐标", "方程式"], "计算题"),
-    (["推断"], "推断题"),
-    (["科普阅读", "阅读理解"], "科普阅读题"),
-    (["探究", "实验", "控制变量", "NaOH与CO2", "二氧化碳", "测定空气", "制取氧气"], "科学探究题"),
-]
-
-
 @REG.add(
     "video_types",
-    f"WITH {B.V} SELECT video_id, CASE " + " ".join(f"WHEN {B.sql_has_any('p', 'p', k)} THEN '{t}'" for k, t in _BY_NAME) + f" ELSE coalesce(nullif(question_type, ''), '基础题') END AS video_type FROM (SELECT *, {B.sql_compact("concat_ws(' ', coalesce(video_name, ''), coalesce(hierarchy, ''))")} AS p FROM v)",
+    f"WITH {B.V} SELECT video_id, CASE " + " ".join(f"WHEN {B.sql_has_any('p', 'p', k)} THEN '{t}'" for t, k in R.NAME_TYPES) + f" ELSE coalesce(nullif(question_type, ''), '基础题') END AS video_type FROM (SELECT *, {B.sql_compact("concat_ws(' ', coalesce(video_name, ''), coalesce(hierarchy, ''))")} AS p FROM v)",
 )
 def video_types(spark: SparkSession, d: str) -> DataFrame:
     """The type of a video by its name and place, else the type it is stored with."""
     v = B.videos(spark, d, "video_name", "hierarchy", "question_type").withColumn("p", X.compact(F.concat_ws(" ", X.text(F.col("video_name")), X.text(F.col("hierarchy")))))
-    kind = cascade([(has_any(F.col("p"), k, F.col("p")), t) for k, t in _BY_NAME], F.coalesce(F.nullif("question_type", F.lit("")), F.lit("基础题")))
+    kind = cascade([(has_any(F.col("p"), k, F.col("p")), t) for t, k in R.NAME_TYPES], F.coalesce(F.nullif("question_type", F.lit("")), F.lit("基础题")))
     return v.select("video_id", kind.alias("video_type"))
 
 

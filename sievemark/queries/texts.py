@@ -167,7 +167,6 @@ def topic_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FAMILIES = {"visual": R.VISUAL, "background": R.BACKGROUND, "task": R.TASKS, "task_model": R.TASK_MODELS, "method": R.METHODS, "core": R.CORE}
-_PRUNED = {"visual": ["流程图", "设备流程", "循环物质"], "task": ["找循环物质"], "task_model": ["循环物质判断"], "method": ["可循环物质判断"]}
 
 
 def sql_families(source: str, key: str, stem: str) -> str:
@@ -175,7 +174,7 @@ def sql_families(source: str, key: str, stem: str) -> str:
     lists = []
     for n, rules in _FAMILIES.items():
         found = B.sql_tags(rules, "r", "p")
-        drop = ", ".join(B.sql_quote(x) for x in _PRUNED.get(n, []))
+        drop = ", ".join(B.sql_quote(x) for x in R.PROCESS_TAGS.get(n, []))
         lists.append(f"CASE WHEN {B.sql_has_any('r', 'p', R.PROCESS_CONTEXT)} THEN {found} ELSE list_filter({found}, lambda z: NOT list_contains([{drop}], z)) END AS {n}" if drop else f"{found} AS {n}")
     return f"{source}_c AS (SELECT {key}, {B.sql_clean(stem)} AS r, {B.sql_compact(B.sql_clean(stem))} AS p FROM {source}), {source}_f AS (SELECT {key}, {', '.join(lists)} FROM {source}_c)"
 
@@ -241,29 +240,18 @@ def signature_lookup(spark: SparkSession, d: str) -> DataFrame:
     return g.select("question_id", X.join_tags(F.flatten("g.knowledge")).alias("knowledge"), X.join_tags(F.flatten("g.problem")).alias("problem"), X.join_tags(F.col("g.method")).alias("method"))
 
 
-def _sql_type(raw: str = "r", packed: str = "p") -> str:
-    has = lambda *keys: B.sql_has_any(raw, packed, keys)
-    size = f"length({raw})"
-    return f"""CASE
-      WHEN {has("任务一", "任务二", "任务三", "设计一份", "方案设计", "项目式", "跨学科实践", "实践活动", "真实情境")} AND {size} > 450 THEN '项目式探究题'
-      WHEN {has("阅读下列材料", "绿色储粮", "气调储粮", "储粮大国", "仓储技术")} AND NOT {has("工艺流程", "流程图", "滤液", "滤渣", "吸收塔", "合成塔", "循环使用的物质", "循环利用的物质")} THEN '科普阅读题'
-      WHEN {has(*R.PROCESS_CONTEXT)} THEN '工艺流程题'
-      WHEN {has("科普阅读", "阅读理解", "阅读下面", "短文", "回答")} AND {size} > 350 THEN '科普阅读题'
-      WHEN {has("推断", "转化关系", "框图")} AND {has("A", "B", "C", "甲", "乙")} THEN '推断题'
-      WHEN {has("溶解度曲线", "pH", "图像", "曲线", "坐标")} AND (contains({raw}, '选择') OR contains({raw}, '下列') OR {size} < 420) THEN '选择题图像题'
-      WHEN {has("计算", "质量分数", "根据化学方程式", "样品", "表格", "坐标", "曲线")} AND {has("质量", "数据", "g", "完全反应", "分数")} THEN '计算题'
-      WHEN {has("探究", "猜想", "实验探究", "实验再探究", "控制变量", "对照实验", "数字化", "传感器", "异常现象", "排除干扰")} THEN '科学探究题'
-      WHEN {has("装置", "仪器", "制取", "收集", "检验", "过滤", "蒸发", "电解水", "燃烧条件")} THEN '基本实验题'
-      ELSE '基础题' END"""
+def _sql_type(generation: str = "v5") -> str:
+    return B.sql_first_case(R.TYPE_CASES[generation], "r", "p", "'基础题'")
 
 
+_SQL_COMPOSITE = ", ".join(B.sql_quote(t) for t in R.COMPOSITE_TYPES)
 _SQL_STEM = f"c AS (SELECT question_id, has_visual, score, raw_qtype, coalesce(stem, '') AS r, {B.sql_compact('stem')} AS p FROM q)"
-_SQL_HARD = B.sql_has_any("r", "p", ["综合", "创新", "数字化", "异常", "多次", "继续实验", "坐标", "曲线", "多步"])
+_SQL_HARD = B.sql_has_any("r", "p", R.HARD_WORDS)
 
 
 @REG.add(
     "type_cascade",
-    f"""WITH {B.Q}, {_SQL_STEM} SELECT question_id, ty AS question_type, CASE WHEN hard THEN 4 WHEN ty IN ('科学探究题', '工艺流程题', '推断题', '计算题', '综合应用题') THEN 3 ELSE 1 END AS difficulty,
+    f"""WITH {B.Q}, {_SQL_STEM} SELECT question_id, ty AS question_type, CASE WHEN hard THEN 4 WHEN ty IN ({_SQL_COMPOSITE}) THEN 3 ELSE 1 END AS difficulty,
     CASE WHEN has_visual THEN 'PDF题图' WHEN prompt THEN '题干明确图表词' ELSE '无' END AS evidence_source
     FROM (SELECT question_id, has_visual, {_sql_type()} AS ty, ({_SQL_HARD} OR length(r) > 700) AS hard, {B.sql_has_any('r', 'p', R.PROMPT_WORDS)} AS prompt FROM c)""",
 )
@@ -305,7 +293,7 @@ def merged_stem_split(spark: SparkSession, d: str) -> DataFrame:
 
 @REG.add(
     "intake_tags",
-    f"""WITH {B.Q}, {_SQL_STEM} SELECT question_id, ty AS question_type, CASE WHEN hard THEN 4 WHEN ty IN ('科学探究题', '工艺流程题', '推断题', '计算题', '综合应用题') THEN 3 ELSE 1 END AS difficulty
+    f"""WITH {B.Q}, {_SQL_STEM} SELECT question_id, ty AS question_type, CASE WHEN hard THEN 4 WHEN ty IN ({_SQL_COMPOSITE}) THEN 3 ELSE 1 END AS difficulty
     FROM (SELECT question_id, {_sql_type()} AS ty, ({_SQL_HARD} OR length(r) > 700) AS hard FROM c)""",
 )
 def intake_tags(spark: SparkSession, d: str) -> DataFrame:
