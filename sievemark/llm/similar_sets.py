@@ -166,15 +166,20 @@ def set_members(df: DataFrame, group: str, record: str, values: str) -> DataFram
     """``(grp, record, tags, cid)``: each record's set of values, sorted and without repeats, and the hash of the set.
 
     Null values in a set are dropped; records with a null id or without values are left out; a record
-    that occurs with several rows in a group has each of its different sets.
+    that occurs with several rows in a group has each of its different sets (and each row stays).
     """
     tags = F.array_sort(F.array_distinct(F.filter(F.col(values), lambda v: v.isNotNull())))
     rows = df.where(F.col(record).isNotNull()).select(F.col(group).alias("grp"), F.col(record).alias("record"), tags.alias("tags"))
-    return rows.where(F.size("tags") > 0).withColumn("cid", F.xxhash64("grp", "tags")).distinct()
+    return rows.where(F.size("tags") > 0).withColumn("cid", F.xxhash64("grp", "tags"))
+
+
+def _second() -> Column:
+    """A second hash of a set: both name the class of equal sets, so that sets themselves are not shuffled to find it."""
+    return F.xxhash64(F.lit("other"), "grp", "tags")
 
 
 def similar_classes(members: DataFrame, threshold: Fraction = Fraction(3, 5), recall: float = 0.999) -> DataFrame:
-    """``(grp, cid_a, tags_a, cid_b, tags_b, n_shared, n_union)``: pairs of different sets of one group whose
+    """``(grp, cid_a, c2_a, tags_a, cid_b, c2_b, tags_b, n_shared, n_union)``: pairs of different sets of one group whose
     Jaccard similarity is ``threshold`` or more, each once (``cid_a`` < ``cid_b``).
 
     Equal sets are one class whatever the number of records, so copies cost nothing here. ``recall`` is the
@@ -185,7 +190,8 @@ def similar_classes(members: DataFrame, threshold: Fraction = Fraction(3, 5), re
     """
     plan = Plan.of(threshold, recall)
     hashed = F.transform("tags", lambda v: F.xxhash64(v))
-    classes = durable(members.groupBy("grp", "tags").agg(F.first("cid").alias("cid")).withColumn("w", _sketch(hashed)), "sketches")
+    one = members.groupBy("cid", _second().alias("c2")).agg(F.first("grp").alias("grp"), F.first("tags").alias("tags"))
+    classes = durable(one.withColumn("w", _sketch(hashed)), "sketches")
     index = classes.select("cid", F.size("tags").alias("n"), F.xxhash64("grp").alias("g"), F.explode(_segment_udf(plan)(hashed)).alias("k"))
     index = index.select(F.col("k").bitwiseXOR(F.col("g")).alias("k"), "cid", "n")
     in_segment = Window.partitionBy("k").orderBy("cid")
@@ -198,7 +204,7 @@ def similar_classes(members: DataFrame, threshold: Fraction = Fraction(3, 5), re
     met = salted_join(a, b, ["k"], spread=F.col("cid_a"), how="inner").where((F.col("cid_a") < F.col("cid_b")) & sizes).select("cid_a", "cid_b").distinct()
 
     def side(x: str) -> DataFrame:
-        return classes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("grp", "cid", "tags", "w")])
+        return classes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("grp", "cid", "c2", "tags", "w")])
 
     near = F.bit_count(F.col("w_a").bitwiseXOR(F.col("w_b"))) <= plan.radius
     same = F.col("grp_a").eqNullSafe(F.col("grp_b")) & (F.col("tags_a") != F.col("tags_b"))
@@ -206,7 +212,7 @@ def similar_classes(members: DataFrame, threshold: Fraction = Fraction(3, 5), re
     shared: Column = F.size(F.array_intersect("tags_a", "tags_b"))
     counted = both.withColumn("n_shared", shared).withColumn("n_union", F.size("tags_a") + F.size("tags_b") - F.col("n_shared"))
     hit = counted.where(F.col("n_shared") * den >= F.col("n_union") * num)
-    return hit.select(F.col("grp_a").alias("grp"), "cid_a", "tags_a", "cid_b", "tags_b", "n_shared", "n_union")
+    return hit.select(F.col("grp_a").alias("grp"), "cid_a", "c2_a", "tags_a", "cid_b", "c2_b", "tags_b", "n_shared", "n_union")
 
 
 def similar_pairs(members: DataFrame, threshold: Fraction = Fraction(3, 5), recall: float = 0.999) -> DataFrame:
@@ -216,13 +222,12 @@ def similar_pairs(members: DataFrame, threshold: Fraction = Fraction(3, 5), reca
     records in salted parts). If one set had a third of all records that would be most of all pairs; where copies
     abound, use ``similar_links``, which has representatives and membership instead.
     """
-    m = durable(members.select("grp", "cid", "tags", "record"), "members")
-    pairs = similar_classes(m, threshold, recall)
-    left = m.select("grp", F.col("tags").alias("tags_a"), F.col("cid").alias("cid_a"), F.col("record").alias("r1"))
-    right = m.select("grp", F.col("tags").alias("tags_b"), F.col("cid").alias("cid_b"), F.col("record").alias("r2"))
-    across = pairs.join(left, ["grp", "cid_a", "tags_a"]).join(right, ["grp", "cid_b", "tags_b"]).select("grp", "r1", "r2")
-    keys = ["grp", "cid_a", "tags_a"]
-    same = salted_join(left, right.select("grp", F.col("cid_b").alias("cid_a"), F.col("tags_b").alias("tags_a"), "r2"), keys, spread=F.col("r1"), how="inner").where("r1 < r2").select("grp", "r1", "r2")
+    m = durable(members.select("grp", "cid", _second().alias("c2"), "tags", "record"), "members")
+    pairs = similar_classes(m, threshold, recall).select("cid_a", "c2_a", "cid_b", "c2_b")
+    left = m.select("grp", F.col("cid").alias("cid_a"), F.col("c2").alias("c2_a"), F.col("record").alias("r1"))
+    right = m.select(F.col("cid").alias("cid_b"), F.col("c2").alias("c2_b"), F.col("record").alias("r2"))
+    across = pairs.join(left, ["cid_a", "c2_a"]).join(right, ["cid_b", "c2_b"]).select("grp", "r1", "r2")
+    same = salted_join(left, right.withColumnsRenamed({"cid_b": "cid_a", "c2_b": "c2_a"}), ["cid_a", "c2_a"], spread=F.col("r1"), how="inner").where("r1 < r2").select("grp", "r1", "r2")
     both = across.unionByName(same).where(F.col("r1") != F.col("r2"))
     return both.select("grp", F.least("r1", "r2").alias("id_a"), F.greatest("r1", "r2").alias("id_b")).distinct()
 
@@ -231,13 +236,12 @@ def similar_links(members: DataFrame, threshold: Fraction = Fraction(3, 5), reca
     """``(grp, record, class_id, n_copies, n_links)``: one row per record and set, with its class of equal sets, the
     number of other records in the class, and of records in other classes that are similar. Copies are never expanded.
     """
-    members = durable(members, "members")
-    sizes = members.groupBy("grp", "cid", "tags").agg(F.count(F.lit(1)).alias("size"), F.min("record").alias("class_id"))
-    pairs = similar_classes(members, threshold, recall)
-    ways = pairs.select("grp", F.col("cid_a").alias("cid"), F.col("tags_a").alias("tags"), F.col("cid_b").alias("other"), F.col("tags_b").alias("other_tags")).unionByName(
-        pairs.select("grp", F.col("cid_b").alias("cid"), F.col("tags_b").alias("tags"), F.col("cid_a").alias("other"), F.col("tags_a").alias("other_tags"))
-    )
-    other = sizes.select("grp", F.col("cid").alias("other"), F.col("tags").alias("other_tags"), "size")
-    links = ways.join(other, ["grp", "other", "other_tags"]).groupBy("grp", "cid", "tags").agg(F.sum("size").alias("n_links"))
-    info = sizes.join(links, ["grp", "cid", "tags"], "left").select("grp", "cid", "tags", "class_id", (F.col("size") - 1).alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    return members.join(info, ["grp", "cid", "tags"]).select("grp", "record", "class_id", "n_copies", "n_links")
+    m = durable(members.select("grp", "cid", _second().alias("c2"), "tags", "record"), "members")
+    records = m.select("grp", "cid", "c2", "record").distinct()
+    sizes = records.groupBy("cid", "c2").agg(F.count(F.lit(1)).alias("size"), F.min("record").alias("class_id"))
+    pairs = similar_classes(m, threshold, recall)
+    way = lambda a, b: pairs.select(*[F.col(f"{c}_{a}").alias(c) for c in ("cid", "c2")], *[F.col(f"{c}_{b}").alias(f"other_{c}") for c in ("cid", "c2")])
+    other = sizes.select(F.col("cid").alias("other_cid"), F.col("c2").alias("other_c2"), "size")
+    links = way("a", "b").unionByName(way("b", "a")).join(other, ["other_cid", "other_c2"]).groupBy("cid", "c2").agg(F.sum("size").alias("n_links"))
+    info = sizes.join(links, ["cid", "c2"], "left").select("cid", "c2", "class_id", (F.col("size") - 1).alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    return records.join(info, ["cid", "c2"]).select("grp", "record", "class_id", "n_copies", "n_links")
