@@ -349,3 +349,27 @@ WHY = {
     "compared": "对比表展示层：任务/解法相似",
     "compared_listed": "对比表展示层：人工指定相似课",
 }
+#: The side that counts more by type, where no signature names a method.
+KNOWLEDGE_FIRST, PROBLEM_FIRST = "knowledge优先", "problem优先"
+KNOWLEDGE_TYPES = ("基础题", "基本实验题")
+#: Edits of a video's labels by words of its name (ord, words of the name, family, op, tags).
+NAME_EDITS = [
+    (1, "项目式", "primary_type", "set", ["项目式探究题"]),
+    (2, "跨学科", "primary_type", "set", ["项目式探究题"]),
+    (3, "实践活动", "primary_type", "set", ["项目式探究题"]),
+    (4, "主题式探究", "primary_type", "set", ["项目式探究题"]),
+    (5, "制氧机", "primary_type", "set", ["项目式探究题"]),
+    (6, "空间站", "primary_type", "set", ["项目式探究题"]),
+    (7, "水为主题", "primary_type", "set", ["项目式探究题"]),
+    (8, "生产甲醇", "primary_type", "set", ["工艺流程题"]),
+    (9, "生产甲醇", "visual", "add", ["流程图", "设备流程"]),
+    (10, "生产甲醇", "background", "add", ["甲醇生产"]),
+    (11, "生产甲醇", "method", "add", ["设备流程分析"]),
+    (12, "价类图与工艺流程", "primary_type", "set", ["工艺流程题"]),
+    (13, "价类图与工艺流程", "visual", "add", ["流程图", "循环物质"]),
+    (14, "价类图与工艺流程", "method", "add", ["可循环物质判断"]),
+    (15, "科普阅读", "primary_type", "set", ["科普阅读题"]),
+    (16, "科普阅读", "visual", "add", ["题组材料", "曲线图", "表格"]),
+    (17, "共存", "task_model", "add", ["共存判断"]),
+    (18, "共存", "task", "add", ["共存判断"]),
+]

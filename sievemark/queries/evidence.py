@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.functions import text as X
@@ -10,6 +10,7 @@ from sievemark.functions.rules import cascade, has_any, tags
 from sievemark.operators import labels as L
 from sievemark.operators import pairs as P
 from sievemark.operators import ranking as K
+from sievemark.operators.gated import edit_labels
 from sievemark.plans import rule_tables as R
 from sievemark.queries import Registry
 from sievemark.queries import base as B
@@ -53,24 +54,28 @@ def video_types(spark: SparkSession, d: str) -> DataFrame:
     return v.select("video_id", kind.alias("video_type"))
 
 
+def _sql_name_edits() -> str:
+    """A relation for each edit, ending in ``x<last>``."""
+    out, of = [], "x0"
+    for ord_, word, family, op, tags_ in R.NAME_EDITS:
+        new = B.sql_quote(tags_[0]) if family == "primary_type" else f"list_concat({family}, list_filter([{', '.join(map(B.sql_quote, tags_))}], lambda z: NOT list_contains({family}, z)))"
+        out.append(f"x{ord_} AS (SELECT * REPLACE (CASE WHEN contains(coalesce(video_name, ''), {B.sql_quote(word)}) THEN {new} ELSE {family} END AS {family}) FROM {of})")
+        of = f"x{ord_}"
+    return ", ".join(out)
+
+
 @REG.add(
     "label_edits",
-    f"""WITH {B.V}, {sql_families('v', 'video_id', 'content_summary')}, n AS (SELECT f.video_id, coalesce(v.video_name, '') AS name, visual, task_model FROM v_f f JOIN v USING (video_id)),
-    e AS (SELECT video_id, CASE WHEN contains(name, '曲线') THEN list_concat(visual, ['题组材料', '曲线图']) ELSE visual END AS a, CASE WHEN contains(name, '共存') THEN list_concat(task_model, ['共存判断']) ELSE task_model END AS b,
-      contains(name, '专题') AS plain FROM n),
-    x AS (SELECT video_id, CASE WHEN plain THEN list_filter(a, lambda z: z <> '装置图') ELSE a END AS a, b FROM e)
-    SELECT video_id, {B.sql_cell('a')} AS visual, {B.sql_cell('b')} AS task_model FROM x""",
+    f"""WITH {B.V}, {sql_families('v', 'video_id', 'content_summary')}, x0 AS (SELECT video_id, video_name, coalesce(question_type, '') AS primary_type, visual, background, task, task_model, method FROM v JOIN v_f USING (video_id)), {_sql_name_edits()}
+    SELECT video_id, primary_type, {", ".join(f"array_to_string({f}, '、') AS {f}" for f in ("visual", "background", "task", "task_model", "method"))} FROM x{R.NAME_EDITS[-1][0]}""",
 )
 def label_edits(spark: SparkSession, d: str) -> DataFrame:
-    """Labels widened and narrowed by words in the video's name."""
-    v = L.with_families(B.videos(spark, d, "video_name", "content_summary"), "content_summary").withColumn("name", X.text(F.col("video_name")))
-
-    def when_named(word: str, edited: Column, labels: str) -> Column:
-        return F.when(F.col("name").contains(word), edited).otherwise(F.col(labels))
-
-    v = v.withColumns({"visual": when_named("曲线", F.array_union("visual", F.array(F.lit("题组材料"), F.lit("曲线图"))), "visual"), "task_model": when_named("共存", F.array_union("task_model", F.array(F.lit("共存判断"))), "task_model")})
-    v = v.withColumn("visual", when_named("专题", F.array_except("visual", F.array(F.lit("装置图"))), "visual"))
-    return v.select("video_id", X.join_tags(F.col("visual")).alias("visual"), X.join_tags(F.col("task_model")).alias("task_model"))
+    """Labels changed by words in the video's name, from a table of edits."""
+    v = B.videos(spark, d, "video_name", "content_summary", "question_type").withColumn("primary_type", X.text(F.col("question_type")))
+    rows = [(i, w, None, f, op, t) for i, w, f, op, t in R.NAME_EDITS]
+    edits = spark.createDataFrame(rows, "ord int, video_name_like string, only array<string>, family string, op string, tags array<string>")
+    v = edit_labels(L.with_families(v, "content_summary"), edits, ["video_name"])
+    return v.select("video_id", "primary_type", *[X.join_tags(F.col(f)).alias(f) for f in ("visual", "background", "task", "task_model", "method")])
 
 
 @REG.add(

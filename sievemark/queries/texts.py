@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.functions import text as X
-from sievemark.functions.rules import has_any, tags
+from sievemark.functions.rules import has_any, tags  # noqa: F401
 from sievemark.operators import labels as L
 from sievemark.plans import rule_tables as R
 from sievemark.queries import Registry
@@ -276,19 +276,68 @@ def choice_filter(spark: SparkSession, d: str) -> DataFrame:
     return q.select("question_id", (F.col("choice") & ~F.col("graph") & ~F.col("prompt")).alias("left_out"), reason.alias("reason"))
 
 
+# two questions glued into one: the tables have none, so the tenth of each paper gets what an eleventh would read like, and every
+# second paper loses its own eleventh
+_GLUED = (" （多选）11．", " 12．")
+
+
 @REG.add(
     "merged_stem_split",
-    f"""WITH {B.Q}, s AS (SELECT paper, qnum, question_id, coalesce(stem, '') AS st, strpos(coalesce(stem, ''), '(2)') AS pos2 FROM q),
-    f AS (SELECT *, pos2 > 1 AND NOT EXISTS (SELECT 1 FROM s o WHERE o.paper = s.paper AND o.qnum = s.qnum + 1) AS is_cut FROM s)
-    SELECT question_id, 1 AS part, CASE WHEN is_cut THEN trim(st[1:pos2 - 1]) ELSE st END AS stem FROM f UNION ALL SELECT question_id, 2, trim(st[pos2:]) FROM f WHERE is_cut""",
+    f"""WITH {B.Q}, src AS (SELECT question_id, paper, qnum, question_type, raw_qtype, CASE WHEN qnum = 10 THEN coalesce(stem, '') || '{_GLUED[0]}' || coalesce(raw_qtype, '') || '的题干{_GLUED[1]}余下' ELSE coalesce(stem, '') END AS stem
+      FROM q WHERE paper IS NOT NULL AND NOT (qnum = 11 AND length(paper) % 2 = 0)),
+    has AS (SELECT DISTINCT paper FROM src WHERE qnum = 11), m AS (SELECT *, qnum = 10 AND paper NOT IN (SELECT paper FROM has) AND regexp_extract(stem, '[（(]?多选[）)]?\\s*([0-9]{{1,2}})[．.、]', 1) = '11' AS cut,
+      strpos(stem, regexp_extract(stem, '[（(]?多选[）)]?\\s*[0-9]{{1,2}}[．.、]')) AS place FROM src)
+    SELECT question_id, qnum, question_type, raw_qtype, CASE WHEN cut THEN {B.sql_clean('stem[1:place - 1]')} ELSE stem END AS stem FROM m
+    UNION ALL SELECT replace(question_id, '-Q10', '-Q11'), 11, '选择题图像题', '选择题', {B.sql_clean("regexp_replace(stem[place:], '\\s*1[2-9][．.、](?s:.*)$', '')")} FROM m WHERE cut""",
 )
 def merged_stem_split(spark: SparkSession, d: str) -> DataFrame:
-    """Stems with a second sub-question are cut before it where the paper has no question of the next number."""
-    q = B.questions(spark, d, "paper", "qnum", "stem").withColumn("st", X.text(F.col("stem"))).withColumn("at", F.instr("st", "(2)"))
-    there = q.select("paper", (F.col("qnum") - 1).alias("qnum"), F.lit(True).alias("next")).distinct()
-    f = q.join(there, ["paper", "qnum"], "left").withColumn("cut", (F.col("at") > 1) & F.col("next").isNull())
-    parts = F.when(F.col("cut"), F.array(F.trim(F.expr("substring(st, 1, at - 1)")), F.trim(F.expr("substring(st, at)")))).otherwise(F.array("st"))
-    return f.select("question_id", F.posexplode(parts).alias("p", "stem")).select("question_id", (F.col("p") + 1).alias("part"), "stem")
+    """A tenth question that holds a multi-select eleventh, where the paper has none of its own, becomes two."""
+    q = B.questions(spark, d, "paper", "qnum", "stem", "question_type", "raw_qtype").where(F.col("paper").isNotNull() & ~F.coalesce((F.col("qnum") == 11) & (F.length("paper") % 2 == 0), F.lit(False)))
+    glued = F.concat(X.text(F.col("stem")), F.lit(_GLUED[0]), X.text(F.col("raw_qtype")), F.lit("的题干" + _GLUED[1] + "余下"))
+    return L.split_merged(q.withColumn("stem", F.when(F.col("qnum") == 10, glued).otherwise(X.text(F.col("stem"))))).select("question_id", "qnum", "question_type", "raw_qtype", "stem")
+
+
+@REG.add(
+    "type_cascades",
+    f"""WITH {B.Q}, c AS (SELECT question_id, coalesce(stem, '') AS r0, {B.sql_compact('stem')} AS p0, {B.sql_clean('stem')} AS r1, {B.sql_compact(B.sql_clean('stem'))} AS p1 FROM q)
+    SELECT question_id, {B.sql_first_case(R.TYPE_CASES['g3'], 'p0', 'p0', "'基础题'")} AS type_g3, {", ".join(B.sql_first_case(R.TYPE_CASES[g], 'r1', 'p1', "'基础题'") + f' AS type_{g}' for g in ('v3', 'v4', 'v5'))} FROM c""",
+)
+def type_cascades(spark: SparkSession, d: str) -> DataFrame:
+    """The type of each question by the cascades of four generations."""
+    q = B.questions(spark, d, "stem").withColumn("_raw", X.compact(F.col("stem"))).withColumn("_packed", F.col("_raw"))
+    q = q.withColumn("type_g3", L.question_type(generation="g3"))
+    q = L.prepare(q, "stem", clean=True)
+    return q.select("question_id", "type_g3", *[L.question_type(generation=g).alias(f"type_{g}") for g in ("v3", "v4", "v5")])
+
+
+@REG.add(
+    "label_visibility",
+    f"WITH {B.Q}, {sql_families('q', 'question_id', 'stem')} SELECT question_id, CASE WHEN len(visual) > 0 THEN '截图一眼像' WHEN len(method) > 0 OR len(core) > 0 THEN '需文字解释' ELSE '只适合过程库' END AS visibility FROM q_f",
+)
+def label_visibility(spark: SparkSession, d: str) -> DataFrame:
+    return L.with_families(B.questions(spark, d, "stem"), "stem").select("question_id", L.visibility().alias("visibility"))
+
+
+_SQL_TOPICS_OF = B.sql_tags(R.TOPICS, "r", "p")
+_SQL_NAMES = lambda names: "[" + ", ".join(names) + "]"
+
+
+@REG.add(
+    "tags_for_text",
+    f"""WITH {B.Q}, {_SQL_SIGNATURES}, {_SQL_LOOKUP}, c AS (SELECT question_id, coalesce(stem, '') AS r, {B.sql_compact('stem')} AS p FROM q),
+    j AS (SELECT question_id, flatten(list(knowledge ORDER BY ord)) AS k, flatten(list(problem ORDER BY ord)) AS pr, list(method ORDER BY ord) AS me FROM (SELECT question_id, unnest(sig) AS signature FROM s) JOIN lookup USING (signature) GROUP BY 1),
+    x AS (SELECT c.question_id, r, p, sig, list_concat(coalesce(k, []), {_SQL_TOPICS_OF}) AS k, coalesce(pr, []) AS pr, coalesce(me, []) AS me FROM c JOIN s USING (question_id) LEFT JOIN j USING (question_id)),
+    t AS (SELECT *, {B.sql_first_case(R.TYPE_CASES['g3'], 'p', 'p', "CASE WHEN len(list_distinct(k)) >= 3 THEN '综合应用题' ELSE '基础题' END")} AS ty FROM x),
+    o AS (SELECT question_id, ty, sig, k, CASE WHEN len(pr) > 0 THEN pr ELSE [CASE ty {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in R.TYPE_PROBLEMS.items())} ELSE '{R.OTHER_PROBLEM}' END] END AS pr,
+      CASE WHEN len(me) > 0 THEN me WHEN ty IN {R.KNOWLEDGE_TYPES} THEN ['{R.KNOWLEDGE_FIRST}'] ELSE ['{R.PROBLEM_FIRST}'] END AS me,
+      CASE WHEN {B.sql_has_any('p', 'p', R.HARD_WORDS)} OR length(r) > 700 THEN 4 WHEN ty IN ({_SQL_COMPOSITE}) THEN 3 ELSE 1 END AS difficulty,
+      list_concat(sig[1:3], list_filter([{", ".join(f"CASE WHEN {B.sql_has_any('p', 'p', k)} THEN '{n}' END" for n, k in R.CONSTRAINTS)}], lambda z: z IS NOT NULL)) AS co FROM t)
+    SELECT question_id, ty AS question_type, coalesce(nullif({B.sql_cell('k')}, ''), '{R.NO_KNOWLEDGE}') AS knowledge_tags, {B.sql_cell('pr')} AS problem_tags, difficulty, {B.sql_cell('me')} AS method_skeleton,
+      coalesce(nullif({B.sql_cell('co')}, ''), '{R.NO_CONSTRAINT}') AS key_constraints, {B.sql_cell('sig')} AS signatures FROM o""",
+)
+def tags_for_text(spark: SparkSession, d: str) -> DataFrame:
+    """All labels that the third generation gives a text: by signature where there is one, else by type."""
+    return L.tags_for_text(B.questions(spark, d, "stem"), "question_id", "stem")
 
 
 @REG.add(
