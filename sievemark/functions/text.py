@@ -139,3 +139,9 @@ def count_of(c: Column, part: str) -> Column:
     """How often ``part`` occurs in the text, without overlaps."""
     t = text(c)
     return F.floor((F.length(t) - F.length(F.replace(t, F.lit(part), F.lit("")))) / len(part)).cast("int")
+
+
+def csv_cell(c: Column) -> Column:
+    """Text for a comma-separated line: quoted if it has a comma, quote or line break; null is empty."""
+    t = text(c)
+    return F.when(t.rlike('[",\\n\\r]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t)

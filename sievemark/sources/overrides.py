@@ -12,9 +12,10 @@ LINKS = "map<string,struct<doc_id:string,url:string>>"
 MANIFEST = "folder string, paper string, created_at string, note string, files map<string,struct<name:string,size:bigint>>"
 
 
-def read_overrides(spark: SparkSession, path: str) -> DataFrame:
-    """One row per paper and question number (``qnum``) with the fields of the override. Of several files for a paper the last by path counts."""
-    files = spark.read.schema(OVERRIDES).json(path, multiLine=True).withColumn("_path", F.input_file_name()).where(F.coalesce("paper", F.lit("")) != "")
+def read_overrides(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per paper and question number (``qnum``) with the fields of the override. Of several files for a paper the last by path counts.
+    Files hold one paper each, or with ``lines`` one a line."""
+    files = spark.read.schema(OVERRIDES).json(path, multiLine=not lines).withColumn("_path", F.input_file_name()).where(F.coalesce("paper", F.lit("")) != "")
     last = files.withColumn("_n", F.row_number().over(Window.partitionBy("paper").orderBy(F.desc("_path")))).where("_n = 1")
     return last.select("paper", F.explode("questions").alias("q", "o")).select("paper", F.col("q").try_cast("int").alias("qnum"), "o.*")
 

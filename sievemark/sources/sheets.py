@@ -12,9 +12,9 @@ CELL = "array<struct<type:string,text:string,token:string,width:int,height:int>>
 MEDIA = f"ok boolean, truncated boolean, data struct<start_row:int,cells:array<struct<row:int,col:string,parts:{CELL}>>>"
 
 
-def read_rows(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """``(source, row_number, values)``; fails on a file whose ``ok`` isn't true."""
-    raw = spark.read.schema(ROWS).json(path, multiLine=True)
+def read_rows(spark: SparkSession, path: str, source: str, lines: bool = False) -> DataFrame:
+    """``(source, row_number, values)``; fails on a file whose ``ok`` isn't true. Files hold one read each, or with ``lines`` one a line."""
+    raw = spark.read.schema(ROWS).json(path, multiLine=not lines)
     checked = raw.withColumn("rows", F.when(F.col("ok"), F.col("data.rows")).otherwise(F.raise_error(F.concat(F.lit("failed to load "), F.input_file_name())).cast("array<struct<row_number:int,values:map<string,string>>>")))
     return checked.select(F.lit(source).alias("source"), F.explode("rows").alias("r")).select("source", "r.row_number", F.col("r.values").alias("values"))
 
@@ -51,3 +51,14 @@ def read_media(spark: SparkSession, path: str, source: str) -> DataFrame:
     images = F.transform(F.filter("c.parts", lambda p: p["token"].isNotNull()), lambda p: F.struct(p["token"].alias("token"), p["width"].alias("width"), p["height"].alias("height")))
     texts = F.transform(F.filter("c.parts", lambda p: text(p["text"]) != ""), lambda p: p["text"])
     return one.select(F.lit(source).alias("source"), "c.row", "c.col", images.alias("tokens"), texts.alias("texts"))
+
+
+def with_references(rows: DataFrame, columns: list[str], label: str = "图") -> DataFrame:
+    """``rows`` with ``refs`` (see ``references``), only those that have any."""
+    return rows.withColumn("refs", references(columns, label)).where(F.size("refs") > 0)
+
+
+def columns_between(columns: list[str]) -> tuple[str, str] | None:
+    """The first and the last of the columns in spreadsheet order; None without columns."""
+    ordered = sorted(columns, key=lambda c: (len(c), c))
+    return (ordered[0], ordered[-1]) if ordered else None
