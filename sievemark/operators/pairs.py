@@ -1,8 +1,8 @@
 """Pairs of rows that share tags, and their scores.
 
 Pairs are never enumerated: both sides are exploded to (family, tag) and joined on equality, and the
-shared tags are counted per pair. Tags that one side has in a large share of its rows are salted. How many
-pairs share a tag is given by the data; ``need`` says which counts a pair must have to be kept at all.
+shared tags are counted per pair. Tags that the left side has in a large share of its rows are spread over salts. How many
+pairs share a tag is given by the data.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievemark.operators.joins import salted_join
 from sievemark.session import durable
 
 #: Names that are broadcast at once, and the characters of a name by which it is looked up.
@@ -35,7 +36,7 @@ def shared_counts(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     ``left`` and ``right`` come from ``tag_rows``. The counts are combined on the map side of the one shuffle
     by pair that follows the join.
     """
-    met = left.join(right, ["family", "tag"])
+    met = salted_join(left, right, ["family", "tag"], spread=F.col(left_key), how="inner")
     counts = [F.count_if(F.col("family") == f).cast("int").alias(f"n_{f}") for f in families]
     return met.groupBy(left_key, right_key).agg(*counts)
 

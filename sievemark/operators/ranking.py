@@ -20,6 +20,14 @@ def numbered(df: DataFrame, group: list[str], order: list[Column], name: str) ->
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
 
 
+def place_listed(df: DataFrame, listed: DataFrame, group: str, item: str, name: str = "place") -> DataFrame:
+    """Adds the place (from 0, by item) of ``item`` among the distinct items that ``listed`` has for the group; null if it isn't there.
+    The list is ranked once and joined by group and item, so a group with many rows is not searched by each of them."""
+    once = listed.select(group, item).distinct()
+    ranked = once.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(item)) - 1)
+    return df.join(ranked, [group, item], "left")
+
+
 def accept(df: DataFrame, group: list[str], order: list[Column], passes: Column, quota: Column) -> DataFrame:
     """Adds ``accepted``: true for rows that pass while fewer than ``quota`` before them in the group passed."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -29,8 +37,9 @@ def accept(df: DataFrame, group: list[str], order: list[Column], passes: Column,
 
 def with_defaults(df: DataFrame, keys: DataFrame, key: str, **values: Column) -> DataFrame:
     """``df`` and, for each key of ``keys`` without a row, one row with ``values`` (all else null)."""
-    missing = keys.select(key).distinct().join(df.select(key), key, "left_anti")
-    return df.unionByName(missing.withColumns(values), allowMissingColumns=True)
+    both = df.withColumn("_there", F.lit(True)).join(keys.select(key).distinct(), key, "full")  # one pass over ``df``
+    filled = {c: F.when(F.col("_there").isNull(), v).otherwise(F.col(c)) for c, v in values.items()}
+    return both.withColumns(filled).select(df.columns)
 
 
 def running_budget(df: DataFrame, group: list[str], order: list[Column], amount: Column, budget: int) -> DataFrame:

@@ -129,7 +129,7 @@ def orphan_cascade(tables: dict[str, Records], edges: list[ForeignKey]) -> DataF
     while rounds is None or step < rounds - 1:
         step += 1
         bad = frontier.select(F.col("table_name").alias("parent_name"), F.col("record_id").alias("ref_key")).distinct()
-        hit = refs.join(bad, ["parent_name", "ref_key"], "left_semi")
+        hit = salted_join(refs, bad, ["parent_name", "ref_key"], spread=F.col("record_id"), how="inner")
         new = (
             hit.join(known, ["table_name", "field_name", "record_id", "ref_key"], "left_anti")
             .withColumns({"orphan_kind": F.lit("inherited"), "orphan_class": F.lit("inherited"), "steps": F.lit(step)})

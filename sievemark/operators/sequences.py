@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,15 +59,25 @@ def dense_rows(df: DataFrame, group: str, number: str, low: int = 1) -> DataFram
 def batches(df: DataFrame, order: list[Column], size: int, group: list[str] | None = None) -> DataFrame:
     """Adds ``batch`` (from 0) and ``place`` (from 1) of rows in batches of ``size`` within each group.
 
-    Without a group the rows are numbered over all of the input, by partition counts over a range
-    partitioning (written once to the shared folder), and never gathered in one task.
+    See ``numbered_wide`` for how.
+    """
+    at = numbered_wide(df, group or [], order, "_n")
+    return at.withColumns({"batch": F.floor((F.col("_n") - 1) / size).cast("int"), "place": ((F.col("_n") - 1) % size + 1).cast("int")}).drop("_n")
+
+
+def numbered_wide(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """All rows, numbered from 1 within their group (or over all of the input) in ``order``, which should be total.
+
+    Rows are range-partitioned by group and order (and written once to the shared folder), numbered within their
+    partition, and moved on by what the group has in earlier partitions. Only groups that lie in several partitions are
+    moved, and there are fewer of these than partitions. So a group with a third of all rows is never gathered in one task.
     """
-    if group:
-        n = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-        return df.withColumn("_n", n - 1).withColumns({"batch": F.floor(F.col("_n") / size).cast("int"), "place": (F.col("_n") % size + 1).cast("int")}).drop("_n")
-    parts = durable(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
-    local = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    at = local.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("_n", F.col("_before") + F.col("_n") - 1)
-    return at.withColumns({"batch": F.floor(F.col("_n") / size).cast("int"), "place": (F.col("_n") % size + 1).cast("int")}).drop("_n", "_part", "_before")
+    parts = durable(df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    local = parts.withColumn("_local", F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order)))
+    keys = {f"_g{i}": F.col(g) for i, g in enumerate(group)}
+    counts = parts.groupBy("_part", *[c.alias(n) for n, c in keys.items()]).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = counts.withColumn("_before", F.sum("_c").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).where(F.col("_before").isNotNull())
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(n)) for n, g in zip(keys, group, strict=True)], F.col("_part") == F.col("_p"))
+    at = local.join(F.broadcast(before.withColumnRenamed("_part", "_p").select("_p", *keys, "_before")), same, "left")
+    return at.withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_local")).drop("_local", "_part", "_p", "_before", *keys)

@@ -10,6 +10,7 @@ from sievemark.functions.rules import tags
 from sievemark.operators import labels as L
 from sievemark.operators import pairs as P
 from sievemark.operators import ranking as K
+from sievemark.operators.joins import salted_join
 from sievemark.operators.review import decide, fold_adjustments, support
 from sievemark.plans import rule_tables as R
 from sievemark.queries import Registry
@@ -155,10 +156,12 @@ def _audited(spark: SparkSession, d: str) -> DataFrame:
     q, v = B.questions(spark, d, "paper", "qnum", *columns), B.videos(spark, d, *columns)
     qt, vt = P.tag_rows(q, "question_id", sets), P.tag_rows(v, "video_id", sets)
     # candidates first: by signature, or by type and knowledge tag together with problem tag; other counts only for them
-    by_sig = qt.where("family = 'signature'").select("question_id", "tag").join(vt.where("family = 'signature'").select("video_id", "tag"), "tag").select("question_id", "video_id")
+    of = lambda df, key: df.where("family = 'signature'").select(key, "tag")
+    spread = F.col("question_id")
+    by_sig = salted_join(of(qt, "question_id"), of(vt, "video_id"), ["tag"], spread, "inner").select("question_id", "video_id")
     typed = lambda df, key, fam: df.where(F.col("question_type").isNotNull()).select(key, "question_type", F.explode(sets[fam]).alias(fam))
-    kn = typed(q, "question_id", "knowledge").join(typed(v, "video_id", "knowledge"), ["question_type", "knowledge"]).select("question_id", "video_id").distinct()
-    pr = typed(q, "question_id", "problem").join(typed(v, "video_id", "problem"), ["question_type", "problem"]).select("question_id", "video_id").distinct()
+    shared = lambda fam: salted_join(typed(q, "question_id", fam), typed(v, "video_id", fam), ["question_type", fam], spread, "inner").select("question_id", "video_id").distinct()
+    kn, pr = shared("knowledge"), shared("problem")
     pairs = by_sig.unionByName(kn.join(pr, ["question_id", "video_id"])).distinct()
     arrays = lambda df, key, x: df.select(key, F.col("question_type").alias(f"type_{x}"), F.col("difficulty").alias(f"diff_{x}"), *[sets[n].alias(f"{n}_{x}") for n in sets])
     both = pairs.join(arrays(q, "question_id", "q").join(q.select("question_id", "paper", "qnum"), "question_id"), "question_id").join(arrays(v, "video_id", "v"), "video_id")
@@ -297,23 +300,23 @@ def _sql_family(generation: str) -> str:
     scored AS (SELECT t.*, CAST(CASE WHEN same_type THEN {P.SAME_TYPE[generation]} ELSE 0 END + {points} AS INT) AS score FROM typed t LEFT JOIN routes r ON r.type_q = t.type_q AND r.type_v = t.type_v WHERE {gate})"""
 
 
-@REG.add("family_score_v4", f"WITH {_sql_family('v4')} SELECT question_id, video_id, score FROM scored WHERE score >= 105")
-def family_score_v4(spark: SparkSession, d: str) -> DataFrame:
-    q, v, kinds = _family_kinds(spark, d, "v4")
-    return kinds.where(F.col("score") >= P.LEAST["v4"]).join(q, "kind_q").join(v, "kind_v").select("question_id", "video_id", "score")
-
-
 _TOP12 = "top12 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, video_id) AS rnk FROM scored WHERE score > 0 QUALIFY rnk <= 12)"
 
 
-def _top12(spark: SparkSession, d: str, evidence: bool = False) -> DataFrame:
+def _top12(spark: SparkSession, d: str, evidence: bool = False, generation: str = "v5", least: int = 1) -> DataFrame:
     """The twelve best videos of each question: found per kind of question, among the twelve least ids of each kind of video."""
-    q, v, kinds = _family_kinds(spark, d, "v5", evidence)
+    q, v, kinds = _family_kinds(spark, d, generation, evidence)
     stand_ins = K.top_k(v, ["kind_v"], [F.asc("video_id")], 12, "n").drop("n")
-    best = K.top_k(kinds.where(F.col("score") > 0).join(stand_ins, "kind_v"), ["kind_q"], [F.desc("score"), F.asc("video_id")], 12)
+    best = K.top_k(kinds.where(F.col("score") >= least).join(stand_ins, "kind_v"), ["kind_q"], [F.desc("score"), F.asc("video_id")], 12)
     return best.join(q, "kind_q")
 
 
+@REG.add("family_score_v4", f"WITH {_sql_family('v4')}, {_TOP12} SELECT question_id, CAST(rnk AS INT) AS rnk, video_id, score FROM top12 WHERE score >= {P.LEAST['v4']}")
+def family_score_v4(spark: SparkSession, d: str) -> DataFrame:
+    """The twelve best videos of each question by the fourth generation, from its threshold."""
+    return _top12(spark, d, generation="v4", least=P.LEAST["v4"]).select("question_id", "rnk", "video_id", "score")
+
+
 @REG.add("family_score_v5", f"WITH {_sql_family('v5')}, {_TOP12} SELECT question_id, CAST(rnk AS INT) AS rnk, video_id, score FROM top12")
 def family_score_v5(spark: SparkSession, d: str) -> DataFrame:
     return _top12(spark, d).select("question_id", "rnk", "video_id", "score")
@@ -390,10 +393,9 @@ def whitelist_score(spark: SparkSession, d: str) -> DataFrame:
     """Scores in tenths, raised for videos on the question's list of allowed ones: 480 for the first, 20 less for each next."""
     m = B.matches(spark, d, "question_id", "video_id", "score", "final_show")
     full = (F.col("question_id") != "") & (F.col("video_id") != "")
-    allowed = m.where(full & F.col("final_show")).groupBy("question_id").agg(F.array_sort(F.collect_set("video_id")).alias("allowed"))
-    ok = m.where(F.col("score").isNotNull() & ~F.isnan("score")).withColumn("s", F.round(F.col("score") * 10).cast("bigint")).join(allowed, "question_id", "left")
-    at = F.coalesce(F.array_position("allowed", F.col("video_id")), F.lit(0))
-    return ok.select("match_id", F.when(at > 0, F.greatest("s", 480 - 20 * (at - 1))).otherwise(F.col("s")).alias("score"))
+    ok = m.where(F.col("score").isNotNull() & ~F.isnan("score")).withColumn("s", F.round(F.col("score") * 10).cast("bigint"))
+    placed = K.place_listed(ok, m.where(full & F.col("final_show")), "question_id", "video_id")
+    return placed.select("match_id", F.when(F.col("place").isNotNull(), F.greatest("s", (480 - 20 * F.col("place")).cast("bigint"))).otherwise(F.col("s")).alias("score"))
 
 
 _ADJUST = [("化学仿真卷（一）", 1, 1, "add", 30), ("化学仿真卷（一）", 1, 2, "max", 90), ("仿真卷（一）", 2, 1, "set", 75), ("仿真卷（一）", 2, 2, "add", -5)]

@@ -129,9 +129,9 @@ def positional_zip(spark: SparkSession, d: str) -> DataFrame:
 )
 def display_order(spark: SparkSession, d: str) -> DataFrame:
     m = B.matches(spark, d, "question_id", "video_id", "score", "final_show").where((F.col("question_id") != "") & (F.col("video_id") != ""))
-    allowed = m.where("final_show").groupBy("question_id").agg(F.array_sort(F.collect_set("video_id")).alias("allowed"))
-    p = m.where(F.col("score").isNotNull() & ~F.isnan("score")).join(allowed, "question_id", "left").withColumn("place", K.place_in(F.col("video_id"), F.coalesce("allowed", F.array().cast("array<string>"))))
-    return K.numbered(p, ["question_id"], [F.asc("place"), F.desc("score"), F.asc("match_id")], "shown_at").select("match_id", "place", "shown_at")
+    p = K.place_listed(m.where(F.col("score").isNotNull() & ~F.isnan("score")), m.where("final_show"), "question_id", "video_id").withColumn("place", F.coalesce("place", F.lit(950)))
+    placed = S.numbered_wide(p, ["question_id"], [F.asc("place"), F.desc("score"), F.asc("match_id")], "shown_at")
+    return placed.select("match_id", "place", F.col("shown_at").cast("int").alias("shown_at"))
 
 
 @REG.add(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -26,17 +28,25 @@ def build_session(app: str = "sievemark", cpus: int | str = "*", **conf: str) ->
     return builder.getOrCreate()
 
 
+#: Steps written by this process.
+_STEPS: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` if set, else a temporary one (tests only)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset a local session gets a temporary folder, which
+    goes with the process; on a cluster, where executors would each look into a folder of their own, this fails."""
     folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if folder:
         return folder
     existing = spark.sparkContext._jsc.sc().getCheckpointDir()
     if existing.isDefined():
         return existing.get()
-    folder = "file://" + tempfile.mkdtemp(prefix="sievemark-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="sievemark-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir("file://" + own)
+    return "file://" + own
 
 
 def durable(df: DataFrame, label: str = "step") -> DataFrame:
@@ -47,9 +57,19 @@ def durable(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _STEPS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_steps(spark: SparkSession) -> int:
+    """Removes the steps this process has written, once no result is read any more; how many."""
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), len(_STEPS)
+    while _STEPS:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_STEPS.pop())
+        p.getFileSystem(conf).delete(p, True)
+    return n
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table ``name`` of the data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
