@@ -24,12 +24,3 @@ def support(*signs: Column) -> Column:
     for s in signs:
         total = total + F.coalesce(s, F.lit(False)).cast("int")
     return total
-
-
-def fold_adjustments(score: Column, adjustments: Column) -> Column:
-    """A score after an ordered array of ``struct(ord, op, value)``: ``set`` puts it, ``max`` raises it, ``add`` adds to it."""
-    return F.aggregate(
-        F.array_sort(F.coalesce(adjustments, F.array().cast("array<struct<ord:int,op:string,value:int>>"))),
-        score.cast("int"),
-        lambda acc, a: F.when(a["op"] == "set", a["value"]).when(a["op"] == "max", F.greatest(acc, a["value"])).otherwise(acc + a["value"]),
-    )

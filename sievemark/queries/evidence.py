@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievemark.functions import text as X
@@ -14,8 +14,9 @@ from sievemark.operators.gated import edit_labels
 from sievemark.plans import rule_tables as R
 from sievemark.queries import Registry
 from sievemark.queries import base as B
-from sievemark.queries.matching import _TOP12, _family_kinds, _sql_family, _top12, evidence_parts
+from sievemark.queries.matching import _sql_family, _top12, evidence_parts
 from sievemark.queries.texts import sql_families
+from sievemark.session import durable
 
 REG = Registry()
 
@@ -78,56 +79,106 @@ def label_edits(spark: SparkSession, d: str) -> DataFrame:
     return v.select("video_id", "primary_type", *[X.join_tags(F.col(f)).alias(f) for f in ("visual", "background", "task", "task_model", "method")])
 
 
+_SCIENCE, _BASIC, _APPLIED = "科学探究题", "基础题", "综合应用题"
+#: What the third generation wants of a pair that is shown, and of the best part of its evidence.
+SHOWN_FROM, PART_FROM = 110, 24
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions, videos and the parts of their evidence, with anchors; a part also has the anchors that it or the name says."""
+    columns = ("question_type", "signatures", "knowledge_tags")
+    sets = {"sig": X.split_tags(F.col("signatures")), "kn": X.split_tags(F.col("knowledge_tags"))}
+    q = _anchored(B.questions(spark, d, "stem", *columns), "stem").select("question_id", F.col("question_type").alias("type"), "anchors", *[c.alias(n) for n, c in sets.items()])
+    q = q.withColumn("composite", (F.size("sig") >= 2) | ((X.text(F.col("type")) == _APPLIED) & (F.size("anchors") >= 2)))
+    v = _anchored(B.videos(spark, d, "content_summary", *columns), "content_summary").select("video_id", F.col("question_type").alias("type"), "anchors", *[c.alias(n) for n, c in sets.items()])
+    part = _anchored(evidence_parts(B.videos(spark, d, "video_name", "content_summary")), "part")
+    said = X.compact(F.concat("part", X.text(F.col("video_name"))))
+    names = F.filter(F.array(*[F.lit(r.name) for r in R.ANCHORS]), lambda n: said.contains(X.compact(n)))
+    parts = part.select("video_id", F.struct("anchors", names.alias("said")).alias("part")).distinct()
+    return durable(q, "questions"), durable(v, "videos"), durable(parts, "parts")
+
+
+def _routed_v3(q_type: Column, v_type: Column, composite: Column) -> Column:
+    other = ((q_type == _SCIENCE) & (v_type == "基本实验题")) | (q_type.isin(_BASIC, _APPLIED) & (v_type == _APPLIED))
+    free = ~q_type.isin(_SCIENCE, "计算题", "工艺流程题", "推断题", "科普阅读题")
+    return F.coalesce((q_type == v_type) | other | (composite & free & (v_type == _APPLIED)), F.lit(False))
+
+
+def _base_v3() -> Column:
+    sig, seen = F.size(F.array_intersect("q_sig", "v_sig")), F.size(F.array_intersect("q_anchors", "v_anchors"))
+    return F.when(F.coalesce(F.col("q_type") == F.col("v_type"), F.lit(False)), 24).otherwise(0) + F.when(sig > 0, 36 + 6 * F.least(sig, F.lit(2))).otherwise(0) + F.when(seen > 0, 22 + 4 * F.least(seen, F.lit(4))).otherwise(0)
+
+
+def _part_points(part: Column) -> Column:
+    return 12 * F.size(F.array_intersect("q_anchors", part["anchors"])) + 3 * F.size(F.array_intersect("q_anchors", part["said"]))
+
+
+def best_v3(spark: SparkSession, d: str, evidence: bool, best: int = 12) -> DataFrame:
+    """``(question_id, video_id, score, points, composite, rnk)``: the ``best`` videos of each question from 76 points.
+
+    Kinds of labels are paired by route and scored; those that can't be among the best of a kind of question, whatever evidence
+    and knowledge tags add, are dropped. The rest come in by the least ids of each kind and set of part labels (with no
+    shared knowledge), and by the knowledge tags they share.
+    """
+    q, v, parts = _sides(spark, d)
+    more = (P.MOST["v3"] if evidence else 0) + 12
+    q = q.withColumn("kq", F.md5(F.to_json(F.struct("type", "composite", "anchors", "sig"))))
+    v = v.withColumn("kv", F.md5(F.to_json(F.struct("type", "anchors", "sig"))))
+    kq = durable(q.groupBy("kq").agg(*[F.first(c).alias(f"q_{c}") for c in ("type", "composite", "anchors", "sig")]), "kinds")
+    kv = durable(v.groupBy("kv").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(f"v_{c}") for c in ("type", "anchors", "sig")]), "kinds")
+    ways = F.array_distinct(F.array(F.col("q_type"), F.when(F.col("q_type") == _SCIENCE, "基本实验题").otherwise(F.col("q_type")), F.lit(_APPLIED)))
+    met = kq.withColumn("v_type", F.explode(ways)).join(kv, "v_type").where(_routed_v3(F.col("q_type"), F.col("v_type"), F.col("q_composite")))
+    scored = met.withColumn("base", _base_v3()).where(F.col("base") + more >= P.LEAST["v3"])
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("kq").orderBy(F.desc("base"), "kv").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = Window.partitionBy("kq")
+    cut = F.when(F.sum("n").over(per) >= best, F.min(F.when(F.col("ahead") < best, F.col("base"))).over(per)).otherwise(0)
+    kept = durable(scored.withColumn("ahead", ahead).withColumn("cut", cut).where(F.col("base") + more >= F.col("cut")).select("kq", "kv", "base", "q_anchors"), "kinds")
+    none = F.struct(F.array().cast("array<string>").alias("anchors"), F.array().cast("array<string>").alias("said"))
+    labelled = v.select("kv", "video_id", none.alias("part"))
+    if evidence:
+        labelled = labelled.unionByName(parts.join(v.select("video_id", "kv"), "video_id").select("kv", "video_id", "part"))
+    labelled = labelled.withColumn("kp", F.md5(F.to_json("part")))
+    few = durable(K.top_k(labelled, ["kv", "kp"], [F.asc("video_id")], best, "at").drop("at"), "stand-ins")
+    of_kind = few.groupBy("kv", "kp").agg(F.first("part").alias("part"))
+    s = F.col("base") + F.least(_part_points(F.col("part")), F.lit(P.MOST["v3"]))
+    pairs = kept.join(of_kind, "kv").withColumn("s", s).select("kq", "kv", "kp", "s").join(few.select("kv", "kp", "video_id"), ["kv", "kp"])
+    first = K.top_k(pairs.groupBy("kq", "video_id").agg(F.max("s").alias("s")), ["kq"], [F.desc("s"), F.asc("video_id")], best, "at").join(q.select("kq", "question_id"), "kq")
+    tags_of = {"knowledge": F.col("kn")}
+    known = P.shared_counts(P.tag_rows(q, "question_id", tags_of), P.tag_rows(v, "video_id", tags_of), "question_id", "video_id", ["knowledge"])
+    known = known.join(q.select("question_id", "kq"), "question_id").join(v.select("video_id", "kv"), "video_id").join(kept.select("kq", "kv"), ["kq", "kv"], "left_semi")
+    every = first.select("question_id", "video_id").unionByName(known.select("question_id", "video_id")).distinct()
+    side = lambda df, x, key: df.select(key, *[F.col(c).alias(f"{x}_{c}") for c in ("type", "anchors", "sig", "kn")], *(["composite"] if x == "q" else []))
+    both = every.join(side(q, "q", "question_id"), "question_id").join(side(v, "v", "video_id"), "video_id")
+    both = both.where(_routed_v3(F.col("q_type"), F.col("v_type"), F.col("composite"))).withColumn("points", F.lit(0))
+    if evidence:
+        sets = parts.groupBy("video_id").agg(F.collect_set("part").alias("parts"))
+        both = both.join(sets, "video_id", "left").withColumn("points", F.coalesce(F.array_max(F.transform("parts", _part_points)), F.lit(0)))
+    known_points = 4 * F.least(F.size(F.array_intersect("q_kn", "v_kn")), F.lit(3))
+    whole = both.withColumn("score", (_base_v3() + known_points + F.least("points", F.lit(P.MOST["v3"]))).cast("int")).where(F.col("score") >= P.LEAST["v3"])
+    return K.top_k(whole, ["question_id"], [F.desc("score"), F.asc("video_id")], best).select("question_id", "video_id", "score", "points", "composite", "rnk")
+
+
+_SQL_V3 = f"""{B.Q}, {B.V}, {_sql_anchors('q', 'question_id', 'stem', ', question_type, signatures, knowledge_tags')}, {_sql_anchors('v', 'video_id', 'content_summary', ', question_type, signatures, knowledge_tags')},
+    qs AS (SELECT question_id, question_type, anchors, {B.sql_split('signatures')} AS s, {B.sql_split('knowledge_tags')} AS k, len({B.sql_split('signatures')}) >= 2 OR (coalesce(question_type, '') = '综合应用题' AND len(anchors) >= 2) AS composite FROM q_a), vs AS (SELECT video_id, question_type, anchors, {B.sql_split('signatures')} AS s, {B.sql_split('knowledge_tags')} AS k FROM v_a),
+    c AS (SELECT question_id, video_id, composite, coalesce(qs.question_type = vs.question_type, false) AS same, qs.question_type AS a, vs.question_type AS b, len(list_intersect(qs.s, vs.s)) AS ns, len(list_intersect(qs.anchors, vs.anchors)) AS na, len(list_intersect(qs.k, vs.k)) AS nk FROM qs CROSS JOIN vs),
+    r AS (SELECT *, CASE WHEN same THEN 24 ELSE 0 END + CASE WHEN ns > 0 THEN 36 + 6 * least(ns, 2) ELSE 0 END + CASE WHEN na > 0 THEN 22 + 4 * least(na, 4) ELSE 0 END + CASE WHEN nk > 0 THEN 4 * least(nk, 3) ELSE 0 END AS base FROM c
+      WHERE same OR (a, b) IN (('科学探究题', '基本实验题'), ('基础题', '综合应用题')) OR (composite AND b = '综合应用题' AND a NOT IN ('科学探究题', '计算题', '工艺流程题', '推断题', '科普阅读题')))"""
+_SQL_RANKED = "row_number() OVER (PARTITION BY question_id ORDER BY score DESC, video_id) AS rnk"
+
+
 @REG.add(
     "family_score_v3",
-    f"""WITH {B.Q}, {B.V}, {_sql_anchors('q', 'question_id', 'stem', ', question_type, signatures, knowledge_tags')}, {_sql_anchors('v', 'video_id', 'content_summary', ', question_type, signatures, knowledge_tags')},
-    qs AS (SELECT question_id, question_type, anchors, {B.sql_split('signatures')} AS s, {B.sql_split('knowledge_tags')} AS k FROM q_a), vs AS (SELECT video_id, question_type, anchors, {B.sql_split('signatures')} AS s, {B.sql_split('knowledge_tags')} AS k FROM v_a),
-    c AS (SELECT question_id, video_id, coalesce(qs.question_type = vs.question_type, false) AS same, qs.question_type AS a, vs.question_type AS b, len(list_intersect(qs.s, vs.s)) AS ns, len(list_intersect(qs.anchors, vs.anchors)) AS na, len(list_intersect(qs.k, vs.k)) AS nk FROM qs CROSS JOIN vs)
-    SELECT question_id, video_id, CAST(CASE WHEN same THEN 24 ELSE 0 END + CASE WHEN ns > 0 THEN 36 + 6 * least(ns, 2) ELSE 0 END + CASE WHEN na > 0 THEN 22 + 4 * least(na, 4) ELSE 0 END + CASE WHEN nk > 0 THEN 4 * least(nk, 3) ELSE 0 END AS INT) AS score FROM c
-    WHERE (same OR (a, b) IN (('科学探究题', '基本实验题'), ('基础题', '综合应用题'))) AND score >= 76""",
+    f"WITH {_SQL_V3}, t AS (SELECT question_id, video_id, CAST(base AS INT) AS score FROM r WHERE base >= 76) SELECT question_id, CAST(rnk AS INT) AS rnk, video_id, score FROM (SELECT *, {_SQL_RANKED} FROM t) WHERE rnk <= 12",
 )
 def family_score_v3(spark: SparkSession, d: str) -> DataFrame:
-    return _scored_v3(spark, d).where(F.col("score") >= P.LEAST["v3"])
+    """The twelve best videos of each question by the third generation, from its threshold, without evidence."""
+    return best_v3(spark, d, evidence=False).select("question_id", "rnk", "video_id", "score")
 
 
-def _scored_v3(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs on a route that share a signature or anchor."""
-    sets = {"signature": X.split_tags(F.col("signatures")), "visual": F.col("anchors"), "knowledge": X.split_tags(F.col("knowledge_tags"))}
-    columns = ("question_type", "signatures", "knowledge_tags")
-    q, v = _anchored(B.questions(spark, d, "stem", *columns), "stem"), _anchored(B.videos(spark, d, "content_summary", *columns), "content_summary")
-    # a score of 76 takes a shared signature or anchor: knowledge tags and the type together give 36 at most
-    rare = {n: sets[n] for n in ("signature", "visual")}
-    met = P.shared_counts(P.tag_rows(q, "question_id", rare), P.tag_rows(v, "video_id", rare), "question_id", "video_id", list(rare))
-    both = met.join(q.select("question_id", F.col("question_type").alias("a"), sets["knowledge"].alias("kq")), "question_id").join(v.select("video_id", F.col("question_type").alias("b"), sets["knowledge"].alias("kv")), "video_id")
-    both = both.withColumn("n_knowledge", F.size(F.array_intersect("kq", "kv"))).withColumn("same", F.coalesce(F.col("a") == F.col("b"), F.lit(False)))
-    routed = F.col("same") | ((F.col("a") == "科学探究题") & (F.col("b") == "基本实验题")) | ((F.col("a") == "基础题") & (F.col("b") == "综合应用题"))
-    return both.where(routed).withColumn("score", P.family_score("v3", F.col("same"))).select("question_id", "video_id", "score")
-
-
-_EV_POINTS = {"visual": 10, "task": 6, "task_model": 14, "method": 6}
 _SQL_EV = f"""e AS (SELECT video_id || '#' || i AS eid, video_id, i, part FROM (SELECT video_id, unnest(a) AS part, unnest(range(1, len(a) + 1)) AS i FROM (SELECT video_id, list_filter(regexp_split_to_array(coalesce(content_summary, ''), '[；;。，, \\n]+'), lambda z: z <> '') AS a FROM v))),
 {sql_families('e', 'eid', 'part')}"""
 
 
-@REG.add(
-    "pair_evidence",
-    f"""WITH {_sql_family('v5')}, {_TOP12}, {_SQL_EV},
-    x AS (SELECT t.question_id, t.video_id, e.i, {' + '.join(f'{p} * len(list_intersect(qf.{n}, ef.{n}))' for n, p in _EV_POINTS.items())} AS points FROM top12 t JOIN q_f qf USING (question_id) JOIN e USING (video_id) JOIN e_f ef USING (eid))
-    SELECT question_id, video_id, CAST(arg_max(i, (points, -i)) AS INT) AS best_part, CAST(max(points) AS INT) AS points, CAST(least(max(points), 25) AS INT) AS bonus FROM x WHERE points > 0 GROUP BY 1, 2""",
-)
-def pair_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """For each of a question's twelve best videos the part of its summary that shares most with the question."""
-    e = evidence_parts(B.videos(spark, d, "content_summary").select("video_id", "content_summary"))
-    e = L.with_families(e, "part").select("video_id", (F.col("p") + 1).alias("i"), *[F.col(n).alias(f"{n}_e") for n in _EV_POINTS])
-    q = L.with_families(B.questions(spark, d, "stem"), "stem").select("question_id", *[F.col(n).alias(f"{n}_q") for n in _EV_POINTS])
-    points = F.lit(0)
-    for n, p in _EV_POINTS.items():
-        points = points + p * F.size(F.array_intersect(f"{n}_q", f"{n}_e"))
-    pairs = _top12(spark, d).select("question_id", "video_id").join(q, "question_id").join(e, "video_id").withColumn("points", points).where(F.col("points") > 0)
-    best = pairs.groupBy("question_id", "video_id").agg(F.max(F.struct("points", (-F.col("i")).alias("neg"))).alias("b"))
-    return best.select("question_id", "video_id", (-F.col("b.neg")).cast("int").alias("best_part"), F.col("b.points").cast("int").alias("points"), F.least("b.points", F.lit(25)).cast("int").alias("bonus"))
-
-
 def _sql_whole(generation: str) -> str:
     points = " + ".join(f"CASE WHEN n_{b.family} > 0 THEN {b.base} + {b.step} * least(n_{b.family}, {b.most}) ELSE 0 END" for b in P.SCORES[generation])
     anything = " OR ".join(f"n_{b.family} > 0" for b in P.SCORES[generation])
@@ -139,68 +190,79 @@ def _sql_whole(generation: str) -> str:
       FROM wide w LEFT JOIN routes r ON r.type_q = w.type_q AND r.type_v = w.type_v WHERE ({anything} OR points > 0) AND ({gate}))"""
 
 
-@REG.add("family_score_v4_evidence", f"WITH {_sql_whole('v4')} SELECT question_id, video_id, score FROM whole WHERE score >= 105")
-def family_score_v4_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """``family_score_v4`` with the points for the best part of the evidence, and for two projects, before the threshold."""
-    q, v, kinds = _family_kinds(spark, d, "v4", evidence=True)
-    return kinds.where(F.col("score") >= P.LEAST["v4"]).join(q, "kind_q").join(v, "kind_v").select("question_id", "video_id", "score")
-
-
 @REG.add(
-    "family_score_v5_evidence",
-    f"WITH {_sql_whole('v5')} SELECT question_id, CAST(rnk AS INT) AS rnk, video_id, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, video_id) AS rnk FROM whole WHERE score > 0) WHERE rnk <= 12",
+    "family_score_v4_evidence",
+    f"WITH {_sql_whole('v4')} SELECT question_id, CAST(rnk AS INT) AS rnk, video_id, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, video_id) AS rnk FROM whole WHERE score >= {P.LEAST['v4']}) WHERE rnk <= 12",
 )
-def family_score_v5_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """``family_score_v5`` with the points for the best part of the evidence, and for two projects, before the twelve best."""
-    return _top12(spark, d, evidence=True).select("question_id", "rnk", "video_id", "score")
+def family_score_v4_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """``family_score_v4`` with the points for the best part of the evidence, and for two projects, before threshold and twelve best."""
+    return _top12(spark, d, evidence=True, generation="v4", least=P.LEAST["v4"]).select("question_id", "rnk", "video_id", "score")
 
 
 @REG.add(
-    "family_score_v3_evidence",
-    f"""WITH {B.Q}, {B.V}, {_sql_anchors('q', 'question_id', 'stem', ', question_type, signatures, knowledge_tags')}, {_sql_anchors('v', 'video_id', 'content_summary', ', question_type, signatures, knowledge_tags')}, {_SQL_EV},
+    "visual_gate",
+    f"""WITH {_SQL_V3}, {_SQL_EV},
     en AS (SELECT e.*, v.video_name FROM e JOIN v USING (video_id)), {_sql_anchors('en', 'video_id', 'part', ", concat(part, coalesce(video_name, '')) AS said")},
     pts AS (SELECT question_id, video_id, max(12 * len(list_intersect(q_a.anchors, en_a.anchors)) + 3 * len(list_filter(q_a.anchors, lambda z: contains({B.sql_compact('said')}, {B.sql_compact('z')})))) AS points FROM q_a CROSS JOIN en_a GROUP BY 1, 2),
-    qs AS (SELECT question_id, question_type, anchors, {B.sql_split('signatures')} AS s, {B.sql_split('knowledge_tags')} AS k FROM q_a), vs AS (SELECT video_id, question_type, anchors, {B.sql_split('signatures')} AS s, {B.sql_split('knowledge_tags')} AS k FROM v_a),
-    c AS (SELECT question_id, video_id, coalesce(qs.question_type = vs.question_type, false) AS same, qs.question_type AS a, vs.question_type AS b, len(list_intersect(qs.s, vs.s)) AS ns, len(list_intersect(qs.anchors, vs.anchors)) AS na, len(list_intersect(qs.k, vs.k)) AS nk FROM qs CROSS JOIN vs),
-    w AS (SELECT question_id, video_id, CAST(CASE WHEN same THEN 24 ELSE 0 END + CASE WHEN ns > 0 THEN 36 + 6 * least(ns, 2) ELSE 0 END + CASE WHEN na > 0 THEN 22 + 4 * least(na, 4) ELSE 0 END + CASE WHEN nk > 0 THEN 4 * least(nk, 3) ELSE 0 END + least(coalesce(points, 0), 28) AS INT) AS score FROM c LEFT JOIN pts USING (question_id, video_id)
-      WHERE same OR (a, b) IN (('科学探究题', '基本实验题'), ('基础题', '综合应用题')))
-    SELECT question_id, video_id, score FROM w WHERE score >= 76""",
+    t AS (SELECT question_id, video_id, composite, coalesce(points, 0) AS points, CAST(base + least(coalesce(points, 0), 28) AS INT) AS score FROM r LEFT JOIN pts USING (question_id, video_id) WHERE base + least(coalesce(points, 0), 28) >= 76),
+    k AS (SELECT * FROM (SELECT *, {_SQL_RANKED} FROM t) WHERE rnk <= 12)
+    SELECT question_id, CAST(rnk AS INT) AS rnk, video_id, score, CAST(points AS INT) AS best_part, score >= {SHOWN_FROM} AND points >= {PART_FROM}
+      AND sum(CAST(score >= {SHOWN_FROM} AND points >= {PART_FROM} AS INT)) OVER (PARTITION BY question_id ORDER BY rnk ROWS UNBOUNDED PRECEDING) <= CASE WHEN composite THEN 2 ELSE 1 END AS final_show FROM k""",
 )
-def family_score_v3_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """``family_score_v3`` with the points for the best part of the evidence before the threshold: 12 for each anchor it
-    shares with the question, 3 for each that it or the video's name says."""
-    # evidence adds 28 at most, so a score of 76 still takes a shared signature or anchor, and 48 points without it
-    both = _scored_v3(spark, d).where(F.col("score") >= P.LEAST["v3"] - P.MOST["v3"])
-    part = _anchored(evidence_parts(B.videos(spark, d, "video_name", "content_summary")), "part")
-    said = X.compact(F.concat("part", X.text(F.col("video_name"))))
-    parts = part.groupBy("video_id").agg(F.collect_set(F.struct("anchors", said.alias("said"))).alias("parts"))
-    q = _anchored(B.questions(spark, d, "stem"), "stem").select("question_id", "anchors")
-    points = lambda e: 12 * F.size(F.array_intersect("anchors", e["anchors"])) + 3 * F.size(F.filter("anchors", lambda k: e["said"].contains(X.compact(k))))
-    best = F.coalesce(F.array_max(F.transform("parts", points)), F.lit(0))
-    whole = both.join(q, "question_id").join(parts, "video_id", "left").withColumn("score", F.col("score") + F.least(best, F.lit(P.MOST["v3"])))
-    return whole.where(F.col("score") >= P.LEAST["v3"]).select("question_id", "video_id", "score")
+def visual_gate(spark: SparkSession, d: str) -> DataFrame:
+    """The twelve best of the third generation with evidence, and which are shown: from 110 points, with a best part of 24, one a
+    question and two for composite ones."""
+    r = best_v3(spark, d, evidence=True)
+    passes = (F.col("score") >= SHOWN_FROM) & (F.col("points") >= PART_FROM)
+    shown = K.accept(r, ["question_id"], [F.asc("rnk")], passes, F.when(F.col("composite"), 2).otherwise(1))
+    return shown.select("question_id", "rnk", "video_id", "score", F.col("points").cast("int").alias("best_part"), F.col("accepted").alias("final_show"))
+
+
+_READ = ("background", "visual", "method")
 
 
 @REG.add(
     "reading_rank",
-    f"""WITH {_sql_family('v5')} SELECT s.question_id, s.video_id, CASE WHEN theme AND graph THEN 3 WHEN theme OR graph THEN 2 ELSE 0 END AS isomorph_rank FROM
-    (SELECT question_id, video_id, len(list_intersect(qf.background, vf.background)) > 0 AS theme, len(list_intersect(list_intersect(qf.visual, vf.visual), ['曲线图', '表格', '数字化曲线'])) > 0 AND len(list_intersect(list_intersect(qf.method, vf.method), ['图表信息提取', '控制变量', '数字化曲线分析'])) > 0 AS graph
-     FROM scored JOIN q_f qf USING (question_id) JOIN v_f vf USING (video_id) WHERE type_q = '科普阅读题' AND type_v = '科普阅读题') s""",
+    f"""WITH {B.Q}, {B.V}, {sql_families('q', 'question_id', 'stem')}, {sql_families('v', 'video_id', 'content_summary')},
+    a AS (SELECT {', '.join(_READ)}, min(question_id) AS question_id, count(*) AS n_questions FROM q_f JOIN q USING (question_id) WHERE question_type = '科普阅读题' GROUP BY ALL),
+    b AS (SELECT {', '.join(_READ)}, min(video_id) AS video_id, count(*) AS n_videos FROM v_f JOIN v USING (video_id) WHERE question_type = '科普阅读题' GROUP BY ALL),
+    x AS (SELECT question_id, video_id, n_questions, n_videos, len(list_intersect(a.background, b.background)) > 0 AS theme, len(list_intersect(list_intersect(a.visual, b.visual), ['曲线图', '表格', '数字化曲线'])) > 0 AND len(list_intersect(list_intersect(a.method, b.method), ['图表信息提取', '控制变量', '数字化曲线分析'])) > 0 AS graph FROM a CROSS JOIN b)
+    SELECT question_id, video_id, n_questions, n_videos, CASE WHEN theme AND graph THEN 3 ELSE 2 END AS isomorph_rank FROM x WHERE theme OR graph""",
 )
 def reading_rank(spark: SparkSession, d: str) -> DataFrame:
-    """How alike two pieces of reading material are: by theme, by the form of their data, by both."""
-    names = ("background", "visual", "method")
+    """How alike two pieces of reading material are: by theme, by the form of their data, by both. Material with the same labels is one
+    kind, named by its least id and counted; ``reading_kinds`` has the membership. Pairs that are not alike are left out."""
+    q, v = _reading(spark, d)
+    a = q.groupBy(*_READ).agg(F.min("question_id").alias("question_id"), F.count(F.lit(1)).alias("n_questions"))
+    b = v.groupBy(*_READ).agg(F.min("video_id").alias("video_id"), F.count(F.lit(1)).alias("n_videos"))
+    forms, methods = [F.array(*map(F.lit, x)) for x in (["曲线图", "表格", "数字化曲线"], R.READING_METHODS)]
+    sets = {"background": F.col("background"), "visual": F.array_intersect("visual", forms)}
+    met = P.shared_counts(P.tag_rows(a, "question_id", sets), P.tag_rows(b, "video_id", sets), "question_id", "video_id", list(sets))
+    side = lambda df, key, n, x: df.select(key, n, F.array_intersect("method", methods).alias(f"m_{x}"))
+    both = met.join(side(a, "question_id", "n_questions", "q"), "question_id").join(side(b, "video_id", "n_videos", "v"), "video_id")
+    theme, graph = F.col("n_background") > 0, (F.col("n_visual") > 0) & F.arrays_overlap("m_q", "m_v")
+    return both.where(theme | graph).select("question_id", "video_id", "n_questions", "n_videos", F.when(theme & graph, 3).otherwise(2).alias("isomorph_rank"))
+
+
+def _reading(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     reading = F.col("question_type") == "科普阅读题"
-    q = L.with_families(B.questions(spark, d, "stem", "question_type").where(reading), "stem")
-    v = L.with_families(B.videos(spark, d, "content_summary", "question_type").where(reading), "content_summary")
-    sets = {n: F.col(n) for n in L.FAMILIES}
-    met = P.shared_counts(P.tag_rows(q, "question_id", sets), P.tag_rows(v, "video_id", sets), "question_id", "video_id", ["background"])
-    side = lambda df, key, x: df.select(key, *[F.col(n).alias(f"{n}_{x}") for n in names])
-    both = met.join(side(q, "question_id", "q"), "question_id").join(side(v, "video_id", "v"), "video_id")
-    shared = lambda n, some: F.arrays_overlap(F.array_intersect(f"{n}_q", f"{n}_v"), F.array(*map(F.lit, some)))
-    theme = F.col("n_background") > 0
-    graph = shared("visual", ["曲线图", "表格", "数字化曲线"]) & shared("method", ["图表信息提取", "控制变量", "数字化曲线分析"])
-    return both.select("question_id", "video_id", F.when(theme & graph, 3).when(theme | graph, 2).otherwise(0).alias("isomorph_rank"))
+    q = L.with_families(B.questions(spark, d, "stem", "question_type").where(reading), "stem").select("question_id", *_READ)
+    return q, L.with_families(B.videos(spark, d, "content_summary", "question_type").where(reading), "content_summary").select("video_id", *_READ)
+
+
+@REG.add(
+    "reading_kinds",
+    f"""WITH {B.Q}, {B.V}, {sql_families('q', 'question_id', 'stem')}, {sql_families('v', 'video_id', 'content_summary')}, a AS (SELECT question_id, {', '.join(_READ)} FROM q_f JOIN q USING (question_id) WHERE question_type = '科普阅读题'),
+    b AS (SELECT video_id, {', '.join(_READ)} FROM v_f JOIN v USING (video_id) WHERE question_type = '科普阅读题')
+    SELECT 'question' AS side, question_id AS id, min(question_id) OVER (PARTITION BY {', '.join(_READ)}) AS kind FROM a UNION ALL SELECT 'video', video_id, min(video_id) OVER (PARTITION BY {', '.join(_READ)}) FROM b""",
+)
+def reading_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """The kind of each piece of reading material, by the least id that has its labels."""
+    out = []
+    for side, key, df in zip(("question", "video"), ("question_id", "video_id"), _reading(spark, d), strict=True):
+        kinds = df.groupBy(*_READ).agg(F.min(key).alias("kind"))
+        out.append(df.join(kinds, list(_READ)).select(F.lit(side).alias("side"), F.col(key).alias("id"), "kind"))
+    return out[0].unionByName(out[1])
 
 
 @REG.add(

@@ -11,7 +11,6 @@ from sievemark.operators import labels as L
 from sievemark.operators import pairs as P
 from sievemark.operators import ranking as K
 from sievemark.operators.joins import salted_join
-from sievemark.operators.review import decide, fold_adjustments, support
 from sievemark.plans import rule_tables as R
 from sievemark.queries import Registry
 from sievemark.queries import base as B
@@ -322,64 +321,6 @@ def family_score_v5(spark: SparkSession, d: str) -> DataFrame:
     return _top12(spark, d).select("question_id", "rnk", "video_id", "score")
 
 
-def _reviewed(df: DataFrame) -> DataFrame:
-    n = lambda f: F.col(f"n_{f}") > 0
-    core = n("core") & F.coalesce(F.col("type_q").isin("基本实验题", "科学探究题"), F.lit(False))
-    signs = support(n("visual"), n("task_model"), n("method"), F.col("same_type") & (F.col("type_q") != "基础题"), core)
-    nothing = ~(n("visual") | n("task_model") | n("task") | n("method") | core)
-    end, why = decide(
-        [
-            (F.col("score") < 105, "demote", "below the threshold"),
-            (nothing, "demote", "only the chapter in common"),
-            (~(n("visual") | n("task_model") | n("method") | n("task")), "demote", "does not look alike"),
-            ((F.col("type_q") == "科普阅读题") & ~n("visual"), "demote", "reading material that does not look alike"),
-            (F.col("support") < 2, "demote", "too little support"),
-        ],
-        ("keep", "passed"),
-    )
-    return df.withColumn("support", signs).withColumn("conclusion", end).withColumn("reason", why)
-
-
-_SQL_REVIEW = """sup AS (SELECT *, n_core > 0 AND coalesce(type_q IN ('基本实验题', '科学探究题'), false) AS core_ok FROM top12),
-sup2 AS (SELECT *, CAST(n_visual > 0 AS INT) + CAST(n_task_model > 0 AS INT) + CAST(n_method > 0 AS INT) + CAST(coalesce(same_type AND type_q <> '基础题', false) AS INT) + CAST(core_ok AS INT) AS support FROM sup),
-rev AS (SELECT *, CASE WHEN score < 105 THEN 'below the threshold' WHEN NOT (n_visual > 0 OR n_task_model > 0 OR n_task > 0 OR n_method > 0 OR core_ok) THEN 'only the chapter in common'
-  WHEN NOT (n_visual > 0 OR n_task_model > 0 OR n_method > 0 OR n_task > 0) THEN 'does not look alike' WHEN coalesce(type_q = '科普阅读题', false) AND n_visual = 0 THEN 'reading material that does not look alike'
-  WHEN support < 2 THEN 'too little support' ELSE 'passed' END AS reason FROM sup2),
-dec AS (SELECT *, CASE WHEN reason = 'passed' THEN 'keep' ELSE 'demote' END AS conclusion, CASE type_q WHEN '项目式探究题' THEN 3 WHEN '综合应用题' THEN 3 WHEN '科普阅读题' THEN 2 WHEN '工艺流程题' THEN 2 ELSE 1 END AS quota FROM rev),
-acc AS (SELECT *, conclusion = 'keep' AND sum(CAST(conclusion = 'keep' AS INT)) OVER (PARTITION BY question_id ORDER BY score DESC, video_id ROWS UNBOUNDED PRECEDING) <= quota AS accepted FROM dec)"""
-
-
-@REG.add("review_decision", f"WITH {_sql_family('v5')}, {_TOP12}, {_SQL_REVIEW} SELECT question_id, video_id, score, CAST(support AS INT) AS support, conclusion, reason FROM dec")
-def review_decision(spark: SparkSession, d: str) -> DataFrame:
-    return _reviewed(_top12(spark, d)).select("question_id", "video_id", "score", "support", "conclusion", "reason")
-
-
-def _accepted(spark: SparkSession, d: str) -> DataFrame:
-    quota = F.when(F.col("type_q").isin("项目式探究题", "综合应用题"), 3).when(F.col("type_q").isin("科普阅读题", "工艺流程题"), 2).otherwise(1)
-    return K.accept(_reviewed(_top12(spark, d)), ["question_id"], [F.desc("score"), F.asc("video_id")], F.col("conclusion") == "keep", quota)
-
-
-@REG.add("quota_accept", f"WITH {_sql_family('v5')}, {_TOP12}, {_SQL_REVIEW} SELECT question_id, video_id, score, accepted FROM acc")
-def quota_accept(spark: SparkSession, d: str) -> DataFrame:
-    return _accepted(spark, d).select("question_id", "video_id", "score", "accepted")
-
-
-@REG.add(
-    "comparison_rows",
-    f"""WITH {_sql_family('v5')}, {_TOP12}, {_SQL_REVIEW} SELECT question_id, video_id, question_id || '__' || video_id AS match_id, false AS comparison_only FROM acc WHERE accepted
-    UNION ALL SELECT a.question_id, a.video_id, a.question_id || '__' || a.video_id || '__COMPARE', true FROM acc a WHERE rnk <= 2 AND score >= 100 AND NOT accepted""",
-)
-def comparison_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Accepted matches, and the two best candidates of each question from 100 points beside them, for comparison only."""
-    a = _accepted(spark, d)
-    done = a.where("accepted").select("question_id", "video_id")
-    more = a.where((F.col("rnk") <= 2) & (F.col("score") >= 100)).select("question_id", "video_id").join(done, ["question_id", "video_id"], "left_anti")
-    name = F.concat_ws("__", "question_id", "video_id")
-    return done.select("*", name.alias("match_id"), F.lit(False).alias("comparison_only")).unionByName(
-        more.select("*", F.concat(name, F.lit("__COMPARE")).alias("match_id"), F.lit(True).alias("comparison_only"))
-    )
-
-
 # --- adjustments and white lists (over the stored matches) -----------------------------------------
 
 
@@ -398,23 +339,6 @@ def whitelist_score(spark: SparkSession, d: str) -> DataFrame:
     return placed.select("match_id", F.when(F.col("place").isNotNull(), F.greatest("s", (480 - 20 * F.col("place")).cast("bigint"))).otherwise(F.col("s")).alias("score"))
 
 
-_ADJUST = [("化学仿真卷（一）", 1, 1, "add", 30), ("化学仿真卷（一）", 1, 2, "max", 90), ("仿真卷（一）", 2, 1, "set", 75), ("仿真卷（一）", 2, 2, "add", -5)]
-
-
-@REG.add(
-    "ordered_adjustments",
-    f"""WITH {B.M}, s AS (SELECT match_id, paper, qnum, CAST(floor(score) AS INT) AS score FROM m WHERE score IS NOT NULL AND NOT isnan(score))
-    SELECT match_id, CASE qnum WHEN 1 THEN CASE WHEN contains(paper, '化学仿真卷（一）') THEN greatest(score + 30, 90) ELSE score END WHEN 2 THEN CASE WHEN contains(paper, '仿真卷（一）') THEN 70 ELSE score END ELSE score END AS score FROM s""",
-)
-def ordered_adjustments(spark: SparkSession, d: str) -> DataFrame:
-    """Adjustments by part of the paper's name and number, applied in their order, from a table."""
-    rows = spark.createDataFrame(_ADJUST, "paper_like string, qnum int, ord int, op string, value int")
-    m = B.matches(spark, d, "paper", "qnum", "score").where(F.col("score").isNotNull() & ~F.isnan("score"))
-    papers = m.select("paper").where(F.col("paper").isNotNull()).distinct()
-    per = papers.join(F.broadcast(rows), F.expr("contains(paper, paper_like)")).groupBy("paper", "qnum").agg(F.collect_list(F.struct("ord", "op", "value")).alias("todo"))
-    return m.join(per, ["paper", "qnum"], "left").select("match_id", fold_adjustments(F.floor("score"), F.col("todo")).cast("int").alias("score"))
-
-
 @REG.add("transcript_two_stage")
 def transcript_two_stage(spark: SparkSession, d: str) -> DataFrame:
     """The transcript that fits each video best, by file name and, where that does not decide, by its text."""
