@@ -349,3 +349,14 @@ def transcript_two_stage(spark: SparkSession, d: str) -> DataFrame:
     left = v.select(F.col("video_id").alias("left_id"), F.col("video_name").alias("name"), context.alias("context"))
     t = B.transcripts(spark, d, "file_name", "text").select(F.col("transcript_id").alias("right_id"), F.col("file_name").alias("file"), F.col("text").alias("body"))
     return match_names(left, t).select(F.col("left_id").alias("video_id"), F.col("right_id").alias("transcript_id"), "name_score", "body_score", "status")
+
+
+@REG.add("transcript_name_match")
+def transcript_name_match(spark: SparkSession, d: str) -> DataFrame:
+    """The transcript that fits each video best by the third generation: name, tokens said in it, preferred folder."""
+    from sievemark.operators.fuzzy import FOLDERS, match_transcripts
+
+    v = B.videos(spark, d, "video_name", "source").select(F.col("video_id").alias("left_id"), F.col("video_name").alias("name"), "source")
+    t = B.transcripts(spark, d, "file_name", "source_folder", "text").select(F.col("transcript_id").alias("right_id"), F.col("file_name").alias("file"), F.col("source_folder").alias("folder"), F.col("text").alias("body"))
+    got = match_transcripts(v, t, FOLDERS | {"专题库": "银豚", "实验库": "素禾"})
+    return got.select(F.col("left_id").alias("video_id"), F.col("right_id").alias("transcript_id"), "score")

@@ -1,6 +1,8 @@
 import difflib
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from sievemark.functions import text as X
@@ -198,3 +200,34 @@ def test_name_index_in_blocks(spark, monkeypatch):
     whole = {tuple(r) for r in fuzzy.match_names(left, right).collect()}
     monkeypatch.setattr(fuzzy, "BLOCK", 10)
     assert {tuple(r) for r in fuzzy.match_names(left, right).collect()} == whole
+
+
+def test_third_generation_names_against_all_pairs(spark):
+    import re
+
+    rng = random.Random(12)
+    bits = ["溶解度", "曲线", "实验", "探究", "pH", "上", "下", "金属", "活动性", "计算", "A1"]
+    name = lambda: " ".join(rng.choice(bits) + rng.choice(["", "·", "（一）"]) for _ in range(rng.randint(0, 4)))
+    left = [(f"v{i:02d}", name() if i else None, rng.choice(["x", "y", None])) for i in range(60)]
+    right = [(f"t{i:02d}", name() + rng.choice([".docx", "", ".v1.doc"]), rng.choice(["甲 x夹", "乙", None]), rng.choice(["", None, name() * 3, "正文 " + name()])) for i in range(40)]
+    squeeze = lambda t: re.sub(r"\s+", "", t or "").translate(str.maketrans("（）：", "():"))
+    words = lambda t: list(dict.fromkeys(re.findall("[A-Za-z][A-Za-z0-9]+|[一-龥]{2,}", t)))
+    prefer = {"x": "x夹", "z": "没有"}
+    want = {}
+    for v, n, src in left:
+        a, best = squeeze(n), (None, 0.0)
+        for t, f, folder, body in right:
+            if not body:
+                continue
+            b = squeeze(re.sub(r"(?<=.)\.[^.]*$", "", f))
+            wa, wb = words(a), words(b)
+            s = (difflib.SequenceMatcher(None, a, b).ratio() * 0.55 if a else 0.0) + len(set(wa) & set(wb)) / max(1, len(set(wa) | set(wb))) * 0.25
+            s += 0.04 * min(4, sum(w in squeeze(body[:5000]) for w in wa[:8])) + (0.08 if prefer.get(src) and prefer[src] in (folder or "") else 0)
+            if s > best[1] + 1e-12:
+                best = t, s
+        want[v] = best[0], round(best[1], 3)
+    l = spark.createDataFrame([(*r, 1) for r in left], "left_id string, name string, source string, score int")
+    r = spark.createDataFrame([(*x, 1) for x in right], "right_id string, file string, folder string, body string, hits int")
+    got = {x.left_id: (x.right_id, x.score) for x in fuzzy.match_transcripts(l, r, prefer).collect()}
+    assert {k: (v[0], pytest.approx(v[1], abs=1e-3)) for k, v in want.items()} == got
+    assert fuzzy.match_transcripts(l.limit(0), r, prefer).count() == 0 and {x.right_id for x in fuzzy.match_transcripts(l, r.limit(0), prefer).collect()} == {None}
