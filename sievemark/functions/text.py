@@ -18,9 +18,16 @@ STOP_WORDS = (
     "下列 有关 说法 正确 不正确 的是 其中 我国 关于 进行 可以 一定 属于 具有 说明 判断 选择 "
     "中考 化学 试卷 题目 选项 中国 年份 过程 物质 实验"
 ).split()
+#: What a token is; headings cut from the end of a stem; what is cut from names.
 WORD = "[A-Za-z][A-Za-z0-9]+|[一-龥]{2,}"
 
 
+STEM_TAILS = (r"\s+[一二三四五六七八九十]+、(?:计算题|实验与探究题|非选择题|选择题).*$", r"\s+[0-9]{4}年.+?参考答案与试题解析.*$")
+NAME_BRACKETS = "【[^】]*(?:脚本|录音|定稿|终版|逐字稿|解题)[^】]*】"
+NAME_MARKS = r"[\[\]（）()【】《》_+ \x{3000}·•\-—]+"
+NAME_WORDS = "(?:脚本|录音稿|逐字稿|定稿|终版|最终稿|不含批注|含题干|解题课|录屏课|新版|新修|副本|复制|[vV][0-9]+)"
+
+
 def text(c: Column) -> Column:
     """The text, or "" for null."""
     return F.coalesce(c, F.lit(""))
@@ -43,8 +50,7 @@ def compact_key(key: str) -> str:
 
 def clean_stem(c: Column) -> Column:
     """``normalize``, then cut a trailing section heading and a trailing answer-key heading."""
-    t = F.regexp_replace(normalize(c), r"\s+[一二三四五六七八九十]+、(?:计算题|实验与探究题|非选择题|选择题).*$", "")
-    return F.trim(F.regexp_replace(t, r"\s+[0-9]{4}年.+?参考答案与试题解析.*$", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(normalize(c), STEM_TAILS[0], ""), STEM_TAILS[1], ""))
 
 
 def slug(c: Column) -> Column:
@@ -91,9 +97,8 @@ def join_filled(sep: str, *columns: Column) -> Column:
 def name_key(c: Column) -> Column:
     """A file or video name without extension, workflow words in brackets, punctuation and version words."""
     t = F.regexp_replace(text(c), r"\.[A-Za-z0-9]+$", "")
-    t = F.regexp_replace(t, "【[^】]*(?:脚本|录音|定稿|终版|逐字稿|解题)[^】]*】", "")
-    t = F.regexp_replace(t, r"[\[\]（）()【】《》_+ \x{3000}·•\-—]+", "")
-    t = F.regexp_replace(t, "(?:脚本|录音稿|逐字稿|定稿|终版|最终稿|不含批注|含题干|解题课|录屏课|新版|新修|副本|复制|[vV][0-9]+)", "")
+    for cut in (NAME_BRACKETS, NAME_MARKS, NAME_WORDS):
+        t = F.regexp_replace(t, cut, "")
     return compact(t)
 
 

@@ -78,12 +78,12 @@ def choice_reason() -> Column:
     table = has(R.TABLE_WORDS) & F.array_contains("visual", "表格") & (F.array_contains("method", "守恒/方程式计算") | has(R.REACTION_WORDS))
     return cascade(
         [
-            (~F.col("choice"), "非选择题"),
-            ((F.col("primary_type") == READING) & (F.col("topic_group").isNotNull() | has(R.READING_WORDS)), "科普材料题组"),
-            (F.array_contains("task_model", "共存判断"), "离子/物质共存选择题"),
-            (L.process_context(raw, packed) & some("visual", ["流程图", "设备流程"]), "含流程图选择题"),
-            (graph, "坐标图像选择题"),
-            (table, "表格计算选择题"),
+            (~F.col("choice"), R.CHOICE_WHY["free"]),
+            ((F.col("primary_type") == READING) & (F.col("topic_group").isNotNull() | has(R.READING_WORDS)), R.CHOICE_WHY["reading"]),
+            (F.array_contains("task_model", "共存判断"), R.CHOICE_WHY["coexist"]),
+            (L.process_context(raw, packed) & some("visual", ["流程图", "设备流程"]), R.CHOICE_WHY["process"]),
+            (graph, R.CHOICE_WHY["graph"]),
+            (table, R.CHOICE_WHY["table"]),
         ],
         "",
     )
@@ -120,7 +120,7 @@ def exam_labels(q: DataFrame, overrides: DataFrame, edits: DataFrame) -> DataFra
     typed = typed.withColumn("_why", choice_reason())
     easy = has_any(raw, R.LIFE_WORDS, packed) | (F.coalesce("difficulty", F.lit(0)) <= 3)
     basic = named & (points <= 3) & ~shown & (F.length(raw) < 320) & ~prompt & easy & ~F.arrays_overlap("task_model", _lits(R.ALLOWED_TASKS))
-    typed = typed.withColumns({"choice_filter": F.col("choice") & (F.col("_why") == ""), "choice_reason": F.when(F.col("_why") == "", "非白名单选择题").otherwise(F.col("_why")), "basic_filter": basic})
+    typed = typed.withColumns({"choice_filter": F.col("choice") & (F.col("_why") == ""), "choice_reason": F.when(F.col("_why") == "", R.CHOICE_WHY["other"]).otherwise(F.col("_why")), "basic_filter": basic})
     typed = typed.withColumn("primary_type", F.when(F.col("basic_filter"), "基础常识选择题").otherwise(F.col("primary_type")))
     o = overrides.select("paper", "qnum", "promotion", "allowed", "comparison", "audit_note", *[F.col(c).alias(f"_{c}_new") for c in EDITED])
     out = typed.join(o, ["paper", "qnum"], "left").withColumns({c: F.coalesce(F.col(f"_{c}_new"), F.col(c)) for c in EDITED})
@@ -262,7 +262,7 @@ def details(pairs: DataFrame, q: DataFrame, v: DataFrame, e: DataFrame, adjustme
     said = lambda label, text: F.when(text != "", F.concat(F.lit(label), text))
 
     def note(p: Column) -> Column:
-        text = F.concat_ws("，", said("图文外观同为", shared(p, "visual")), said("设问任务同为", shared(p, "task")), said("学生解题动作同为", shared(p, "task_model")), said("解法模型同为", shared(p, "method")))
+        text = F.concat_ws("，", *[said(t, shared(p, f)) for t, f in R.NOTE_LABELS])
         return F.when(text != "", F.concat(text, F.lit("。"))).otherwise("")
 
     scored = F.transform(F.coalesce("parts", F.array().cast(both.schema["parts"].dataType)), lambda p: F.struct((-_points(p)).cast("int").alias("neg"), p["i"].alias("i"), p["eid"].alias("eid"), note(p).alias("note")))
@@ -272,14 +272,13 @@ def details(pairs: DataFrame, q: DataFrame, v: DataFrame, e: DataFrame, adjustme
     bonus = F.least(F.coalesce(-F.get("found", F.lit(0))["neg"], F.lit(0)), F.lit(P.MOST["v5"]))
     listed = (F.col("promotion") == "allow") & F.array_contains("allowed", F.col("video_id"))
     open_ = ~F.col("gated") & (_allowed() | some("task_model") | listed) & ~F.col("closed")
-    labels = (("视觉形态相似：", "visual"), ("背景素材相似：", "background"), ("设问任务相似：", "task"), ("设问任务同构：", "task_model"), ("解法模型相似：", "method"), ("核心实验模型相同：", "core"))
     reasons = F.array_compact(F.array(
-        F.when(F.col("q_type") == F.col("v_type"), F.concat(F.lit("同为"), "q_type")),
-        *[F.when(some(f), F.concat(F.lit(t), X.join_tags(o(f)))) for t, f in labels],
-        F.when((F.col("q_type") == PROJECT) & (F.col("v_type") == PROJECT), "同为项目式探究题，均以真实情境任务链考查综合解决问题"),
-        F.when(F.col("form") != "", F.concat(F.lit("科普阅读形式相似："), "form")),
-        F.when(F.col("theme"), "素材主题与课内例题同构，宣传版截图前置"),
-        F.when(F.col("data"), "数据作答方式与课内例题同构，宣传版截图前置"),
+        F.when(F.col("q_type") == F.col("v_type"), F.concat(F.lit(R.SAID["same_type"]), "q_type")),
+        *[F.when(some(f), F.concat(F.lit(t), X.join_tags(o(f)))) for t, f in R.REASON_LABELS],
+        F.when((F.col("q_type") == PROJECT) & (F.col("v_type") == PROJECT), R.SAID["projects"]),
+        F.when(F.col("form") != "", F.concat(F.lit(R.SAID["form"]), "form")),
+        F.when(F.col("theme"), R.SAID["theme"]),
+        F.when(F.col("data"), R.SAID["data"]),
     ))
     rank = F.when(F.col("theme") & F.col("data"), 3).when(F.col("theme") | F.col("data"), 2).otherwise(0)
     both = both.withColumns({"score": _with_evidence(bonus), "reasons": reasons, "isomorph_rank": rank, "listed": listed, "open": open_, "fits": fits})
@@ -320,8 +319,7 @@ def reviewed(df: DataFrame) -> DataFrame:
     roles = X.join_tags(F.flatten(F.array("o_visual", "o_task_model", "o_task", "o_method", F.when(core, F.col("o_core")).otherwise(F.array().cast("array<string>")))))
     eye = F.when(manual, "否").when(o("visual"), "是").when(any_, "一般").when(allow, "是").otherwise("否")
     pool = F.when(manual, "否").when(allow, "是").when(_allowed() | o("task_model"), "是").otherwise("否")
-    words = ["视觉形态相似", "设问任务同构", "设问任务相似", "解法模型相似", "同为", "U型管", "流程", "题组", "项目式", "科普阅读形式相似", "同构"]
-    told = reduce(lambda a, b: a | b, [F.contains("hit_reason", F.lit(w)) for w in words])
+    told = reduce(lambda a, b: a | b, [F.contains("hit_reason", F.lit(w)) for w in R.SPECIFIC_WORDS])
     specific = F.when(manual, "否").when(allow | told, "是").otherwise("否")
     chapter = F.when(manual, "是").when(allow, "否").when(~(o("visual") | any_ | core), "是").otherwise("否")
     signs = support(o("visual") & (F.col("visual_source") != "无"), o("task_model"), o("method"), (F.col("q_type") == F.col("v_type")) & ~F.col("q_type").isin("基础题", "基础常识选择题"), core)

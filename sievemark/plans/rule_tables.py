@@ -373,3 +373,20 @@ NAME_EDITS = [
     (17, "共存", "task_model", "add", ["共存判断"]),
     (18, "共存", "task", "add", ["共存判断"]),
 ]
+#: How shared labels are named in the reason of a match and in the note on a part of its evidence; words that make a reason specific.
+REASON_LABELS = [
+    ("视觉形态相似：", "visual"), ("背景素材相似：", "background"), ("设问任务相似：", "task"), ("设问任务同构：", "task_model"), ("解法模型相似：", "method"),
+    ("核心实验模型相同：", "core"),
+]
+NOTE_LABELS = [("图文外观同为", "visual"), ("设问任务同为", "task"), ("学生解题动作同为", "task_model"), ("解法模型同为", "method")]
+SPECIFIC_WORDS = ["视觉形态相似", "设问任务同构", "设问任务相似", "解法模型相似", "同为", "U型管", "流程", "题组", "项目式", "科普阅读形式相似", "同构"]
+#: Other reasons of a match.
+SAID = {
+    "same_type": "同为", "projects": "同为项目式探究题，均以真实情境任务链考查综合解决问题", "form": "科普阅读形式相似：",
+    "theme": "素材主题与课内例题同构，宣传版截图前置", "data": "数据作答方式与课内例题同构，宣传版截图前置",
+}
+#: Why a choice question may take part.
+CHOICE_WHY = {
+    "free": "非选择题", "reading": "科普材料题组", "coexist": "离子/物质共存选择题", "process": "含流程图选择题", "graph": "坐标图像选择题", "table": "表格计算选择题",
+    "other": "非白名单选择题",
+}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from sievemark.queries import base as B
 from sievemark.queries import gated as G
 from sievemark.queries import matching as M
 from sievemark.session import shared_dir
+from sievemark.sources import documents as D
 from sievemark.sources import overrides as O
 from sievemark.sources import sheets
 
@@ -309,3 +312,114 @@ def override_files(spark: SparkSession, d: str) -> DataFrame:
         files.write.json(os.path.join(path, f"{part}_v5"))
     got = O.read_overrides(spark, os.path.join(path, "*"), lines=True)
     return got.select("paper", "qnum", "promotion", "audit_note", F.get("allowed_video_ids", F.lit(0)).alias("allowed"))
+
+
+# --- word-processor files: packed and read on the executors -------------------------------------------
+
+_SPACES = (
+    'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" '
+    'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+)
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A document for each row: a paragraph for each line, an image after every third, and a table of the cells; those of
+    papers with a name of 17 characters are cut off in the middle."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    for b in batches:
+        out = []
+        for paper, lines, cells in zip(b["paper"], b["lines"], b["cells"], strict=True):
+            par = lambda t: f"<w:p><w:r><w:t>{escape(t)}</w:t></w:r></w:p>"
+            body = "".join(par(t) + ('<w:p><w:r><a:blip r:embed="rId1"/><a:blip r:embed="none"/></w:r></w:p>' if i % 3 == 2 else "") for i, t in enumerate(lines))
+            table = "".join("<w:tr>" + "".join(f"<w:tc>{par(c)}</w:tc>" for c in row.split("|")) + "</w:tr>" for row in cells)
+            f = io.BytesIO()
+            with zipfile.ZipFile(f, "w") as z:
+                z.writestr("word/document.xml", f"<w:document {_SPACES}><w:body>{body}<w:tbl>{table}</w:tbl><w:sectPr/></w:body></w:document>")
+                z.writestr("word/_rels/document.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="media/i.png"/></Relationships>')
+            out.append((paper, f.getvalue() if len(paper) != 17 else f.getvalue()[: len(f.getvalue()) // 2]))
+        yield pd.DataFrame(out, columns=["path", "content"])
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    q = B.questions(spark, d, "paper", "qnum", "question_type", "score").where("paper IS NOT NULL")
+    line, cell = F.concat_ws(" ", "question_id", "question_type"), F.concat(X.text(F.col("qnum").cast("string")), F.lit("|"), X.text(F.col("score").cast("string")))
+    rows = F.array_sort(F.collect_list(F.struct("qnum", "question_id", line.alias("line"), cell.alias("cell"))))
+    g = q.groupBy("paper").agg(rows.alias("r")).select("paper", F.col("r.line").alias("lines"), F.col("r.cell").alias("cells"))
+    return D.blocks(g.mapInPandas(_packed, "path string, content binary"))
+
+
+_SQL_DOCS = f"""{B.Q}, l AS (SELECT paper, question_id, qnum, concat_ws(' ', question_id, question_type) AS line, coalesce(CAST(qnum AS VARCHAR), '') || ' | ' || coalesce(CAST(score AS VARCHAR), '') AS cell, row_number() OVER (PARTITION BY paper ORDER BY qnum NULLS FIRST, question_id) AS n FROM q WHERE paper IS NOT NULL AND length(paper) <> 17),
+  bl AS (SELECT paper AS path, n - 1 + (n - 1) // 3 AS ord, 'p' AS kind, line AS text, '' AS images FROM l UNION ALL SELECT paper, n + n // 3 - 1, 'p', '', 'media/i.png' FROM l WHERE n % 3 = 0
+    UNION ALL SELECT paper, max(n) + max(n) // 3, 'table', string_agg(cell, chr(10) ORDER BY n), '' FROM l GROUP BY 1)"""
+
+
+@REG.add("doc_blocks", f"WITH {_SQL_DOCS} SELECT path, CAST(ord AS INT) AS ord, kind, text, images FROM bl")
+def doc_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of documents, in order, with the images they refer to; unknown references are dropped, broken files left out."""
+    return _blocks(spark, d).where("error IS NULL").select("path", "ord", "kind", "text", F.array_join("images", ",").alias("images"))
+
+
+@REG.add("doc_media", f"WITH {_SQL_DOCS} SELECT path, images AS image, CAST(min(ord) AS INT) AS ord FROM bl WHERE images <> '' GROUP BY 1, 2")
+def doc_media(spark: SparkSession, d: str) -> DataFrame:
+    return D.media_of(_blocks(spark, d).where("error IS NULL"))
+
+
+@REG.add(
+    "doc_texts",
+    f"""WITH {_SQL_DOCS} SELECT path, 'parsed' AS status, string_agg(text, chr(10) ORDER BY kind = 'table', ord) FILTER (text <> '') AS text FROM bl GROUP BY 1
+    UNION ALL SELECT DISTINCT paper, 'failed', '' FROM q WHERE paper IS NOT NULL AND length(paper) = 17""",
+)
+def doc_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The text of each document, paragraphs before tables; one that can't be read has an empty text and says so."""
+    parts = F.array_sort(F.collect_list(F.struct((F.col("kind") == "table").alias("last"), "ord", "text")))
+    body = F.array_join(F.filter(parts["text"], lambda x: x != ""), "\n")
+    g = _blocks(spark, d).groupBy("path").agg(body.alias("text"), F.max("error").alias("error"))
+    return g.select("path", F.when(F.col("error").isNull(), "parsed").otherwise("failed").alias("status"), "text")
+
+
+@REG.add(
+    "shown_first",
+    f"WITH {B.M}, r AS (SELECT question_id, match_id, row_number() OVER (PARTITION BY question_id ORDER BY final_show DESC, score DESC, match_id) AS n FROM m WHERE question_id <> '' AND score IS NOT NULL AND NOT isnan(score)) SELECT question_id, CAST(n AS INT) AS n, match_id FROM r WHERE n <= 4",
+)
+def shown_first(spark: SparkSession, d: str) -> DataFrame:
+    """The four matches of a question that a page shows first: final ones, then by score."""
+    m = B.matches(spark, d, "question_id", "score", "final_show").where("question_id <> '' AND score IS NOT NULL AND NOT isnan(score)")
+    return K.top_k(m, ["question_id"], [F.desc_nulls_last("final_show"), F.desc("score"), F.asc("match_id")], 4, "n").select("question_id", "n", "match_id")
+
+
+#: What an intake must have, and what it may have, with the endings of the files.
+REQUIRED = {"paper_word": [".docx"], "paper_pdf": [".pdf"]}
+OPTIONAL = {"official_analysis": [".pdf", ".docx", ".txt", ".md"]}
+
+
+def intake_problem(files: dict[str, Column]) -> Column:
+    """The first problem of an intake ("" if there is none): files that are missing or have another ending. Names are columns."""
+    cases = []
+    for need, kinds in ((True, REQUIRED), (False, OPTIONAL)):
+        for field, ends in kinds.items():
+            name = F.lower(X.text(files[field]))
+            if need:
+                cases.append((name == "", f"{field} is required"))
+            other = ~name.rlike("(" + "|".join(e.replace(".", "\\.") for e in ends) + ")$")
+            cases.append(((name != "") & other, f"{field} must be one of {', '.join(ends)}"))
+    out = F.lit("")
+    for test, problem in reversed(cases):
+        out = F.when(test, problem).otherwise(out)
+    return out
+
+
+@REG.add(
+    "intake_checks",
+    f"""WITH {B.T}, f AS (SELECT transcript_id, lower(coalesce(file_name, '')) AS w, CASE WHEN parse_status = 'failed' THEN '' ELSE lower(coalesce(file_name, '') || '.pdf') END AS p, CASE WHEN length(file_name) % 3 = 0 THEN lower(file_name || '.xlsx') ELSE '' END AS a FROM t)
+    SELECT transcript_id, CASE WHEN w = '' THEN 'paper_word is required' WHEN NOT suffix(w, '.docx') THEN 'paper_word must be one of .docx' WHEN p = '' THEN 'paper_pdf is required' WHEN NOT suffix(p, '.pdf') THEN 'paper_pdf must be one of .pdf'
+      WHEN a <> '' AND NOT regexp_matches(a, '(\\.pdf|\\.docx|\\.txt|\\.md)$') THEN 'official_analysis must be one of .pdf, .docx, .txt, .md' ELSE '' END AS problem FROM f""",
+)
+def intake_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with an intake, over made-up intakes of one to three files."""
+    t = B.transcripts(spark, d, "file_name", "parse_status")
+    name = X.text(F.col("file_name"))
+    files = {"paper_word": name, "paper_pdf": F.when(F.col("parse_status") == "failed", "").otherwise(F.concat(name, F.lit(".pdf"))), "official_analysis": F.when(F.length("file_name") % 3 == 0, F.concat(name, F.lit(".xlsx"))).otherwise("")}
+    return t.select("transcript_id", intake_problem(files).alias("problem"))

@@ -144,9 +144,8 @@ _OVER["core"] = f"CASE WHEN x.co2 THEN {_OVER['core']} ELSE list_filter({_OVER['
 _ROUTED = "(a = b OR " + " OR ".join(f"(a = {_q(x)} AND b = {_q(y)})" for x, y in R.ROUTES["v5"]) + ")"
 _POINTS = " + ".join(f"CASE WHEN len(o_{b.family}) > 0 THEN {b.base} + {b.step} * least(len(o_{b.family}), {b.most}) ELSE 0 END" for b in P.SCORES["v5"])
 _FORMS, _METHODS = _both("o_visual", _list(R.READING_FORMS)), _both("o_method", _list(R.READING_METHODS))
-_LABELS = (("视觉形态相似：", "visual"), ("背景素材相似：", "background"), ("设问任务相似：", "task"), ("设问任务同构：", "task_model"), ("解法模型相似：", "method"), ("核心实验模型相同：", "core"))
 _PART_POINTS = " + ".join(f"{w} * len({_both(f'q_{f}', f'e.{f}')})" for f, w in P.EVIDENCE["v5"].items())
-_NOTE = "concat_ws('，', " + ", ".join(f"CASE WHEN len({_both(f'q_{f}', f'e.{f}')}) > 0 THEN {_q(t)} || {_cell(_both(f'q_{f}', f'e.{f}'))} END" for t, f in (("图文外观同为", "visual"), ("设问任务同为", "task"), ("学生解题动作同为", "task_model"), ("解法模型同为", "method"))) + ")"
+_NOTE = "concat_ws('，', " + ", ".join(f"CASE WHEN len({_both(f'q_{f}', f'e.{f}')}) > 0 THEN {_q(t)} || {_cell(_both(f'q_{f}', f'e.{f}'))} END" for t, f in R.NOTE_LABELS) + ")"
 
 
 def _sql_adjust(score: str) -> str:
@@ -155,7 +154,6 @@ def _sql_adjust(score: str) -> str:
     return f"CASE WHEN {six} THEN greatest({score}, 300) + 15 WHEN {nine} THEN 75 ELSE {score} END AS adj, CASE WHEN {six} THEN ['配专题课'] ELSE reasons END AS why"
 
 
-_WORDS = ["视觉形态相似", "设问任务同构", "设问任务相似", "解法模型相似", "同为", "U型管", "流程", "题组", "项目式", "科普阅读形式相似", "同构"]
 _ROLES = "list_concat(list_concat(list_concat(o_visual, o_task_model), list_concat(o_task, o_method)), CASE WHEN core_ok THEN o_core ELSE []::VARCHAR[] END)"
 _DISTINCT = lambda a: f"list_filter({a}, lambda z, i: list_position({a}, z) = i)"
 _W = {k: _q(t) for k, t in R.WHY.items()}
@@ -175,7 +173,7 @@ p3 AS (SELECT *, CASE WHEN NOT reading OR NOT entries THEN '' WHEN {_any('o_visu
     WHEN len({_FORMS}) > 0 THEN '信息提取+' || {_cell(_FORMS)} WHEN len({_METHODS}) > 0 THEN '信息提取+' || {_cell(_METHODS)} ELSE '' END AS form, reading AND len(o_background) > 0 AS theme,
     reading AND {_any('o_visual', ['曲线图', '表格', '数字化曲线'])} AND {_any('o_method', R.READING_METHODS)} AS data, base + least(coalesce(-found[1].neg, 0), {P.MOST['v5']}) AS s0 FROM p2),
 p4 AS (SELECT *, CASE WHEN form <> '' THEN greatest(s0, 115) ELSE s0 END + CASE WHEN theme THEN 30 ELSE 0 END + CASE WHEN data THEN 30 ELSE 0 END AS s1, CASE WHEN theme AND data THEN 3 WHEN theme OR data THEN 2 ELSE 0 END AS rank0,
-    list_filter([CASE WHEN a = b THEN '同为' || a END, {', '.join(f"CASE WHEN len(o_{f}) > 0 THEN {_q(t)} || {_cell(f'o_{f}')} END" for t, f in _LABELS)}, CASE WHEN a = '项目式探究题' AND b = '项目式探究题' THEN '同为项目式探究题，均以真实情境任务链考查综合解决问题' END,
+    list_filter([CASE WHEN a = b THEN '同为' || a END, {', '.join(f"CASE WHEN len(o_{f}) > 0 THEN {_q(t)} || {_cell(f'o_{f}')} END" for t, f in R.REASON_LABELS)}, CASE WHEN a = '项目式探究题' AND b = '项目式探究题' THEN '同为项目式探究题，均以真实情境任务链考查综合解决问题' END,
       CASE WHEN form <> '' THEN '科普阅读形式相似：' || form END, CASE WHEN theme THEN '素材主题与课内例题同构，宣传版截图前置' END, CASE WHEN data THEN '数据作答方式与课内例题同构，宣传版截图前置' END], lambda z: z IS NOT NULL) AS reasons FROM p3),
 p5 AS (SELECT *, {_sql_adjust('s1')} FROM p4),
 p6 AS (SELECT *, CASE WHEN NOT open THEN 0 WHEN listed THEN greatest(adj, 480 - 20 * (list_position(allowed, video_id) - 1)) ELSE adj END AS score, array_to_string(why, '；') AS told, coalesce(nullif(audit_note, ''), {_W['listed']}) AS remark,
@@ -185,7 +183,7 @@ p8 AS (SELECT *, CASE WHEN score < {P.LEAST['v5']} THEN {_W['low']} WHEN len(cho
 best AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, video_id) AS rnk FROM p8 WHERE score > 0 QUALIFY rnk <= {G.BEST}),
 r0 AS (SELECT *, len(o_core) > 0 AND a IN ('基本实验题', '科学探究题') AS core_ok, promotion = 'exclude' OR (promotion = 'allow' AND NOT list_contains(allowed, video_id)) AS manual, promotion = 'allow' AS allow_, len(o_task_model) > 0 OR len(o_method) > 0 OR len(o_task) > 0 AS alike FROM best),
 r1 AS (SELECT *, CASE WHEN manual THEN '否' WHEN len(o_visual) > 0 THEN '是' WHEN alike THEN '一般' WHEN allow_ THEN '是' ELSE '否' END AS first_eye, CASE WHEN manual THEN '否' WHEN allow_ OR {_ROUTED} OR len(o_task_model) > 0 THEN '是' ELSE '否' END AS same_pool,
-    CASE WHEN manual THEN '否' WHEN allow_ OR {' OR '.join(f"contains(hit_reason, {_q(x)})" for x in _WORDS)} THEN '是' ELSE '否' END AS specific, CASE WHEN manual THEN '是' WHEN allow_ OR len(o_visual) > 0 OR alike OR core_ok THEN '否' ELSE '是' END AS only_chapter,
+    CASE WHEN manual THEN '否' WHEN allow_ OR {' OR '.join(f"contains(hit_reason, {_q(x)})" for x in R.SPECIFIC_WORDS)} THEN '是' ELSE '否' END AS specific, CASE WHEN manual THEN '是' WHEN allow_ OR len(o_visual) > 0 OR alike OR core_ok THEN '否' ELSE '是' END AS only_chapter,
     CASE WHEN manual THEN '' ELSE {_cell(_DISTINCT(_ROLES))} END AS roles,
     CAST(len(o_visual) > 0 AND visual_source <> '无' AS INT) + CAST(len(o_task_model) > 0 AS INT) + CAST(len(o_method) > 0 AS INT) + CAST(a = b AND a NOT IN ('基础题', '基础常识选择题') AS INT) + CAST(core_ok AS INT) AS support FROM r0),
 r2 AS (SELECT *, CASE WHEN promotion = 'exclude' THEN coalesce(nullif(audit_note, ''), {_W['excluded']}) WHEN manual THEN '不在人工白名单：' || coalesce(nullif({_cell('list_sort(allowed)')}, ''), '无') WHEN reject <> '' THEN reject WHEN allow_ AND len(shown) = 0 THEN {_W['no_part']}

@@ -47,8 +47,8 @@ def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
 
-def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """The blocks of all .docx files below ``path``; a file that can't be read has one row with its ``error``."""
+def blocks(files: DataFrame) -> DataFrame:
+    """The blocks of .docx files (``path``, ``content``); a file that can't be read has one row with its ``error``."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -60,7 +60,17 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((p, 0, None, "", [], f"{type(e).__name__}: {e}"[:200]))
             yield pd.DataFrame(rows, columns=["path", "ord", "kind", "text", "images", "error"])
 
-    return _files(spark, path, "*.docx").select("path", "content").mapInPandas(parse, BLOCKS)
+    return files.select("path", "content").mapInPandas(parse, BLOCKS)
+
+
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """The blocks of all .docx files below ``path``."""
+    return blocks(_files(spark, path, "*.docx"))
+
+
+def media_of(blocks: DataFrame) -> DataFrame:
+    """``(path, image, ord)``: each image of a document once, where it first occurs."""
+    return blocks.select("path", "ord", F.explode("images").alias("image")).groupBy("path", "image").agg(F.min("ord").alias("ord"))
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
