@@ -20,12 +20,13 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -162,6 +163,28 @@ def _segment_udf(plan: Plan):  # noqa: ANN202
     return segments
 
 
+def _shared_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of a partition sorted by ``k`` whose ``k`` another row has too. One row is carried over from batch to batch."""
+    held: pd.DataFrame | None = None  # the last row so far, if it isn't known yet whether it stays
+    for b in batches:
+        if not len(b):
+            continue
+        rows = b if held is None else pd.concat([held, b], ignore_index=True)
+        k = rows["k"].to_numpy()
+        same = k[1:] == k[:-1]
+        keep = np.zeros(len(k), dtype=bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        if held is not None and held_stays:
+            keep[0] = True
+        held, held_stays = rows.iloc[-1:], bool(keep[-1])
+        keep[-1] = False
+        if keep.any():
+            yield rows[keep]
+    if held is not None and held_stays:
+        yield held
+
+
 def set_members(df: DataFrame, group: str, record: str, values: str) -> DataFrame:
     """``(grp, record, tags, cid)``: each record's set of values, sorted and without repeats, and the hash of the set.
 
@@ -194,9 +217,8 @@ def similar_classes(members: DataFrame, threshold: Fraction = Fraction(3, 5), re
     classes = durable(one.withColumn("w", _sketch(hashed)), "sketches")
     index = classes.select("cid", F.size("tags").alias("n"), F.xxhash64("grp").alias("g"), F.explode(_segment_udf(plan)(hashed)).alias("k"))
     index = index.select(F.col("k").bitwiseXOR(F.col("g")).alias("k"), "cid", "n")
-    in_segment = Window.partitionBy("k").orderBy("cid")
-    shared_by = F.lag("cid").over(in_segment).isNotNull() | F.lead("cid").over(in_segment).isNotNull()
-    index = durable(index.withColumn("shared", shared_by).where("shared").select("k", "cid", "n"), "index")
+    near_each_other = index.repartition("k").sortWithinPartitions("k")
+    index = durable(near_each_other.mapInPandas(_shared_segments, "k bigint, cid bigint, n int"), "index")
     a = index.select("k", F.col("cid").alias("cid_a"), F.col("n").alias("n_a"))
     b = index.select("k", F.col("cid").alias("cid_b"), F.col("n").alias("n_b"))
     num, den = threshold.numerator, threshold.denominator

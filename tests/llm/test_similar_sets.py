@@ -1,10 +1,12 @@
 import random
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from sievemark.llm.similar_sets import EXACT_SIZE, SKETCH_BITS, Plan, segment_keys, set_members, similar_classes, similar_links, similar_pairs, sketches
+from sievemark.llm.similar_sets import EXACT_SIZE, SKETCH_BITS, Plan, _shared_segments, segment_keys, set_members, similar_classes, similar_links, similar_pairs, sketches
 
 
 def frame(spark, rows):
@@ -111,3 +113,14 @@ def test_hot_segments_are_spread(spark):
     rows = [("f", f"r{i}", ["a", "b", "c", "d", f"x{i}"]) for i in range(300)]
     got = similar_classes(set_members(frame(spark, rows), "field", "id", "vals")).count()
     assert got == 300 * 299 // 2
+
+
+def test_only_shared_segments_stay():
+    rng = random.Random(4)
+    for _ in range(200):
+        k = sorted(rng.randint(0, 12) for _ in range(rng.randint(0, 25)))
+        rows = pd.DataFrame({"k": np.array(k, dtype=np.int64), "cid": np.arange(len(k)), "n": 1})
+        cuts = sorted(rng.randint(0, len(k)) for _ in range(3))
+        parts = [rows.iloc[a:b] for a, b in zip([0, *cuts], [*cuts, len(k)], strict=True)]
+        got = sorted(int(c) for p in _shared_segments(iter(parts)) for c in p["cid"])
+        assert got == [i for i, x in enumerate(k) if Counter(k)[x] > 1]
