@@ -91,7 +91,7 @@ _SQL_LABELLED = f"""lb AS (SELECT x.*, q.score, {_SQL_FOCUS['problem_tags'].repl
     pm AS (SELECT t.question_id, v.video_name, t.score, row_number() OVER (PARTITION BY t.question_id ORDER BY list_position(lb.allowed, t.video_id) NULLS LAST, t.isomorph_rank DESC, t.score DESC, t.video_id) AS n FROM table_ t JOIN v USING (video_id) JOIN lb ON lb.question_id = t.question_id WHERE final_show AND NOT comparison_only),
     g AS (SELECT question_id, string_agg(coalesce(video_name, ''), '；' ORDER BY n) FILTER (n <= 3) AS names, arg_min(score, n) AS first_score FROM pm GROUP BY 1)
     SELECT question_id, primary_type, coalesce(topic_group, CAST(qnum AS VARCHAR), '') AS number, CASE WHEN score <> 0 THEN CAST(score AS VARCHAR) ELSE '' END AS points, primary_type || '——' || coalesce(f1, f2, f3, '综合考查') AS anchor,
-      CASE WHEN names IS NOT NULL THEN '✅' WHEN choice_filter OR basic_filter THEN '—' ELSE '❌' END AS status, coalesce(names, CASE WHEN choice_filter OR basic_filter THEN '基础题未进宣传版' ELSE '无对应洋葱解题课' END) AS videos,
+      CASE WHEN names IS NOT NULL THEN '✅' WHEN choice_filter OR basic_filter THEN '—' ELSE '❌' END AS status, coalesce(names, CASE WHEN choice_filter OR basic_filter THEN '基础题未进宣传版' ELSE '无对应解题课' END) AS videos,
       coalesce(f1, f2, f3, primary_type) || '，' || CASE WHEN score <> 0 THEN CAST(score AS VARCHAR) || '分，' ELSE '' END || CASE WHEN first_score < 130 THEN '讲了！' ELSE '命中！' END AS summary FROM lb LEFT JOIN g USING (question_id)""",
 )
 def final_analysis(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +110,7 @@ def final_analysis(spark: SparkSession, d: str) -> DataFrame:
     out = F.col("choice_filter") | F.col("basic_filter")
     return both.select(
         "question_id", "primary_type", F.coalesce("topic_group", F.col("qnum").cast("string"), F.lit("")).alias("number"), points.alias("points"), F.concat("primary_type", F.lit("——"), F.coalesce(focus, F.lit("综合考查"))).alias("anchor"),
-        F.when(F.col("names").isNotNull(), "✅").when(out, "—").otherwise("❌").alias("status"), F.coalesce("names", F.when(out, "基础题未进宣传版").otherwise("无对应洋葱解题课")).alias("videos"),
+        F.when(F.col("names").isNotNull(), "✅").when(out, "—").otherwise("❌").alias("status"), F.coalesce("names", F.when(out, "基础题未进宣传版").otherwise("无对应解题课")).alias("videos"),
         F.concat(F.coalesce(focus, F.col("primary_type")), F.lit("，"), F.when(points != "", F.concat(points, F.lit("分，"))).otherwise(""), F.when(F.col("top.s") < 130, "讲了！").otherwise("命中！")).alias("summary"),
     )
 
