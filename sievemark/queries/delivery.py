@@ -17,7 +17,7 @@ from sievemark.queries import Registry
 from sievemark.queries import base as B
 from sievemark.queries import gated as G
 from sievemark.queries import matching as M
-from sievemark.session import shared_dir
+from sievemark.session import durable, shared_dir
 from sievemark.sources import documents as D
 from sievemark.sources import overrides as O
 from sievemark.sources import sheets
@@ -44,7 +44,7 @@ def _sql_coverage(hit: str) -> str:
 @REG.add("coverage_audit", f"WITH {M._SQL_KEPT} " + _sql_coverage("SELECT question_id FROM kept WHERE final_show"))
 def coverage_audit(spark: SparkSession, d: str) -> DataFrame:
     """Coverage by the third generation: final matches only."""
-    return _coverage(B.questions(spark, d, "paper", "score"), M._kept(spark, d).where("final_show"))
+    return _coverage(B.questions(spark, d, "paper", "score"), M._with_final(spark, d))
 
 
 @REG.add("coverage_final", f"WITH {G._SQL_MATCHES} " + _sql_coverage("SELECT question_id FROM table_ WHERE final_show AND NOT comparison_only"))
@@ -185,7 +185,10 @@ def summary_lines(spark: SparkSession, d: str) -> DataFrame:
     line = td(link, F.concat_ws("/", "n_hits", "n_questions"), F.concat(F.col("points_hit"), F.lit("/"), whole))
     papers = S.batches(linked.withColumn("line", line).select("paper", "line"), [F.asc("paper")], 1 << 30).select(F.lit(1).alias("section"), F.col("place").alias("n"), "line")
     q = B.questions(spark, d, "paper", "qnum", "question_type").where("paper IS NOT NULL")
-    kept = M._kept(spark, d).where("final_show").join(q, "question_id").orderBy("paper", "qnum", "question_id", F.desc("score"), "video_id").limit(EXAMPLES)
+    # a question has one final row at most, so the first questions have the first rows
+    audit = M._audit(spark, d)
+    first = durable(q.join(M._with_final(spark, d), "question_id").orderBy("paper", "qnum", "question_id").limit(EXAMPLES), "examples")
+    kept = M._kept(audit.only(first.select("question_id"))).where("final_show").join(first, "question_id")
     few = kept.withColumn("n", F.row_number().over(Window.orderBy("paper", "qnum", "question_id", F.desc("score"), "video_id")))  # EXAMPLES rows at most
     text = td(X.escape(F.col("paper")), X.text(F.col("qnum").cast("string")), X.escape(F.col("question_type")), X.escape(F.col("video_id")), F.col("score").cast("string"))
     return papers.unionByName(few.select(F.lit(2).alias("section"), "n", text.alias("line")))

@@ -67,6 +67,31 @@ def test_pairs_and_scores(spark):
     assert none == 0
 
 
+def test_packed_sets_and_keyed_pairs(spark, monkeypatch):
+    """Each pair once, with its counts, whether tags have a bit or not and a key is cut or not."""
+    rng = random.Random(5)
+    some = lambda n: sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 2))) for _ in range(rng.randint(0, n))})
+    a, b = [[(f"{x}{i}", some(4)) for i in range(30)] for x in "qv"]
+    want = {(q, v, len({*s} & {*t})) for q, s in a for v, t in b if {*s} & {*t}}
+    for bits, cell in ((62, 1 << 24), (2, 20)):
+        monkeypatch.setattr(pairs, "BITS", bits)
+        monkeypatch.setattr(pairs, "CELL", cell)
+        left, right, hot = pairs.pack_sets(spark.createDataFrame(a, "q string, f array<string>"), spark.createDataFrame(b, "v string, f array<string>"), ["f"])
+        right = right.withColumn("tag", F.explode("f")).select("v", "tag", *[F.col(c).alias(f"{c}_r") for c in ("f_hot", "f_cold", "f_mask")])
+        met = pairs.keyed_pairs(left.withColumn("tag", F.explode("f")), right, "q", "v", ["tag"])
+        got = met.where(pairs.first_shared("f", F.col("tag"), pairs.bits_of(F.array("tag"), hot["f"])) & pairs.shares_any("f")).select("q", "v", pairs.shared_size("f")).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_audited_pairs_are_not_shuffled(spark):
+    import re
+
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["audit_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[question_id#\d+, video_id#\d+\]", plan)
+
+
 def test_contained_names(spark, monkeypatch):
     rng = random.Random(3)
     names = ["".join(rng.choice("碳酸钠钙") for _ in range(rng.randint(1, 7))) for _ in range(60)] + ["", None, "钠", "无"]
