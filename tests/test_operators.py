@@ -83,12 +83,13 @@ def test_packed_sets_and_keyed_pairs(spark, monkeypatch):
         assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
-def test_audited_pairs_are_not_shuffled(spark):
+@pytest.mark.parametrize("name", ["audit_pairs", "topk_match"])
+def test_pairs_are_not_shuffled(spark, name):
     import re
 
     import __spark_entry__ as entry
 
-    plan = entry.queries()["audit_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Aggregate \[question_id#\d+, video_id#\d+\]", plan)
 
 
