@@ -2,9 +2,9 @@
 
 1. *Vectors*: every document becomes a normalised vector (square roots of its term counts under a signed
    projection), written to the shared folder.
-2. *Leaves*: bisecting k-means over all vectors. Each round, every new leaf is tried as two: a pass over the
-   vectors moves the two centres and measures what the split gains, and the splits that gain most are made. Only
-   the centres a pass starts from come from a bounded sample.
+2. *Leaves*: bisecting k-means over all vectors. Each round, every new leaf is tried as two: passes over the
+   vectors move the two centres and measure what the split gains, and the splits that gain most are made. The
+   centres of the first pass lie on the principal axes of all vectors of the leaf.
 3. *Discriminative terms*: the terms of all documents are counted by leaf. A term's log-odds in a leaf against
    the average subject tell leaves apart; the terms that tell most are kept, and a leaf is labelled with the
    subject in whose hand-labelled documents its discriminative terms occur. Leaves whose terms no subject has
@@ -31,8 +31,8 @@ from sievemark.session import durable
 LEAVES, LEAF_LEAST = 48, 20
 #: Labelled documents whose terms label the leaves, at most (by the hash of their key).
 FIT_LABELLED = 5_000
-#: Vectors by which a round's first centres are chosen. All vectors then move the centres.
-START_VECTORS = 4_096
+#: Principal axes of a leaf along which it is tried, and the passes over all vectors that move the centres before the best is taken.
+AXES, MOVES = 3, 4
 #: Terms the model keeps: those that tell most about leaves over all documents.
 TERMS = 1 << 15
 #: The most frequent of a leaf's discriminative terms, which label it; and the part a subject must have of them.
@@ -44,6 +44,8 @@ TERM_BITS = 18
 BUCKETS = 1 << TERM_BITS
 #: Dimensions of a vector, and in how many of them a term shows.
 DIMENSIONS, _SIGNS = 128, 4
+#: Vectors that are written as one value, and vectors handled at a time.
+PACK, SLICE = 16, 8_192
 #: Characters handled at a time; more fall out of the processor's cache.
 _CHUNK = 20_000
 _END, _POINT, _SPACE, _DIGIT, _WORD, _WIDE = 1, 2, 3, 4, 5, 6
@@ -179,23 +181,16 @@ class Tree:
         return leaf
 
 
-def _starts(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Two centres of unit vectors by spherical 2-means; the best of 3 starts."""
-    rng, best = np.random.default_rng(seed), None
-    for start in range(3):
-        a = x[rng.integers(len(x))]
-        b = x[np.argmin(x @ a)] if start == 0 else x[rng.integers(len(x))]
-        for _ in range(15):
-            right = x @ b > x @ a
-            if right.all() or not right.any():
-                break
-            a, b = _unit(x[~right].sum(0)), _unit(x[right].sum(0))
-        if right.all() or not right.any():
-            continue
-        gain = float(np.linalg.norm(x[~right].sum(0)) + np.linalg.norm(x[right].sum(0)))
-        if best is None or gain > best[0]:
-            best = gain, a, b
-    return best and best[1:]
+def _starts(n: int, total: np.ndarray, moments: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of centres on the principal axes of ``n`` vectors, from their sum and the sum of their outer products; none if they don't differ."""
+    mean = total / n
+    spread, axes = np.linalg.eigh(moments / n - np.outer(mean, mean))
+    out = []
+    for k in range(1, 1 + AXES):
+        axis = axes[:, -k] * np.sign(axes[np.argmax(np.abs(axes[:, -k])), -k])
+        if spread[-k] > 1e-9:
+            out.append((_unit(mean - np.sqrt(spread[-k]) * axis), _unit(mean + np.sqrt(spread[-k]) * axis)))
+    return out
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -206,81 +201,107 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(map(bytes, vectors)), dtype=np.int8).reshape(-1, DIMENSIONS)
 
 
-def _sums(vectors: DataFrame, tree: Tree | None, centres: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[tuple[int, int], tuple[int, np.ndarray]]:
-    """Number and sum of the vectors by (leaf, side); the sides of leaves without ``centres`` are 0. Without a tree: of raw vectors."""
-    shared = vectors.sparkSession.sparkContext.broadcast((tree, centres))
+#: Of some vectors: number, sum, and sum of the outer products (null where it wasn't asked for).
+Sums = tuple[int, np.ndarray, np.ndarray | None]
+
+
+def _sums(vectors: DataFrame, tree: Tree | None, tries: list[dict[int, tuple[np.ndarray, np.ndarray]]], moments: bool = False) -> dict[tuple[int, int, int], Sums]:
+    """The sums of the vectors by (try, leaf, side), of leaves that a try has centres for. Without a tree: of all raw vectors, as (0, 0, 0)."""
+    shared = vectors.sparkSession.sparkContext.broadcast((tree, tries))
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, centres = shared.value
+        tree, tries = shared.value
         k = 1 + len(tree.splits) if tree else 1
-        way = np.zeros((k, DIMENSIONS), dtype=np.float32)
-        for leaf, (a, b) in centres.items():
-            way[leaf] = b - a
-        total, n = np.zeros((2 * k, DIMENSIONS)), np.zeros(2 * k, dtype=np.int64)
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = _matrix(batch["vec"])
+        ways = np.zeros((len(tries), k, DIMENSIONS), dtype=np.float32)
+        wanted = np.zeros((len(tries), k), dtype=bool)
+        for j, centres in enumerate(tries):
+            for leaf, (a, b) in centres.items():
+                ways[j, leaf], wanted[j, leaf] = b - a, True
+        cells = 2 * k * len(tries)
+        total, n = np.zeros((cells, DIMENSIONS)), np.zeros(cells, dtype=np.int64)
+        outer: dict[int, np.ndarray] = {}
+        for x in (part for b in batches if len(b) for whole in [_matrix(b["vec"])] for part in np.split(whole, range(SLICE, len(whole), SLICE))):
             y = tree.centred(x) if tree else x.astype(np.float32) / 127
             leaf = tree.leaves(y) if tree else np.zeros(len(y), dtype=np.int64)
-            cell = 2 * leaf + (np.einsum("ij,ij->i", y, way[leaf]) > 0)
-            n += np.bincount(cell, minlength=2 * k)
-            which = np.zeros((2 * k, len(y)), dtype=np.float32)
-            which[cell, np.arange(len(y))] = 1
-            total += which @ y
+            for j in range(len(tries)):
+                mine = wanted[j, leaf]
+                z, at = y[mine], leaf[mine]
+                if not len(z):
+                    continue
+                cell = 2 * (j * k + at) + (np.einsum("ij,ij->i", z, ways[j, at]) > 0)
+                order = np.argsort(cell, kind="stable")
+                z, cell = z[order], cell[order]
+                first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+                n[cell[first]] += np.diff(np.append(first, len(cell)))
+                total[cell[first]] += np.add.reduceat(z, first, axis=0)
+                for c, part in zip(cell[first].tolist(), np.split(z, first[1:]), strict=True) if moments else ():
+                    outer[c] = outer.get(c, 0) + (part.T @ part).astype(np.float64)
         some = np.flatnonzero(n)
         if len(some):
-            yield pd.DataFrame({"cell": some, "n": n[some], "total": list(total[some])})
+            yield pd.DataFrame({"cell": some, "n": n[some], "total": list(total[some]), "outer": [outer[c].tobytes() if moments else None for c in some.tolist()]})
 
     def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: dict[int, tuple[int, np.ndarray]] = {}
+        out: dict[int, list] = {}
         for b in batches:
-            for cell, n, total in zip(b["cell"], b["n"], b["total"], strict=True):
-                m, sum_ = out.get(cell, (0, np.zeros(DIMENSIONS)))
-                out[cell] = m + n, sum_ + np.asarray(total)
-        if out:
-            yield pd.DataFrame({"cell": list(out), "n": [n for n, _ in out.values()], "total": [t for _, t in out.values()]})
+            for cell, n, total, outer in zip(b["cell"], b["n"], b["total"], b["outer"], strict=True):
+                got = out.setdefault(cell, [0, np.zeros(DIMENSIONS), np.zeros(DIMENSIONS**2) if moments else None])
+                got[0] += n
+                got[1] += np.asarray(total)
+                if moments:
+                    got[2] += np.frombuffer(outer)
+        for cell, (n, total, outer) in out.items():
+            yield pd.DataFrame({"cell": [cell], "n": [n], "total": [total], "outer": [outer.tobytes() if moments else None]})
 
     # sums of tasks are added up on the executors: a row for each side of each leaf comes to the driver, whatever the number of tasks
-    kinds = "cell bigint, n bigint, total array<double>"
+    kinds = "cell bigint, n bigint, total array<double>, outer binary"
     rows = vectors.select("vec").mapInPandas(add, kinds).repartition("cell").mapInPandas(together, kinds).collect()
-    return {(r["cell"] // 2, r["cell"] % 2): (r["n"], np.array(r["total"])) for r in rows}
+    k = 1 + len(tree.splits) if tree else 1
+    square = lambda x: np.frombuffer(bytes(x)).reshape(DIMENSIONS, DIMENSIONS) if moments else None
+    return {(r["cell"] // (2 * k), r["cell"] // 2 % k, r["cell"] % 2): (r["n"], np.array(r["total"]), square(r["outer"])) for r in rows}
 
 
 def bisecting_kmeans(vectors: DataFrame, leaves: int = LEAVES, least: int = LEAF_LEAST) -> Tree:
-    """The tree over all rows of ``vectors`` (``h``, a hash of the key, and ``vec``). At most ``leaves`` leaves, none with less
-    than ``least`` vectors. A round passes over the vectors once, for all leaves that are new, and splits the third of the leaves
-    that gain most."""
-    whole = _sums(vectors, None, {})
-    n = sum(v[0] for v in whole.values())
-    tree = Tree(sum((v[1] for v in whole.values()), np.zeros(DIMENSIONS)) / max(n, 1), [])
-    few = vectors.orderBy("h", "vec").limit(START_VECTORS).select("vec").toPandas()["vec"]
-    sample = tree.centred(_matrix(few)) if len(few) else np.zeros((0, DIMENSIONS))
-    closed: set[int] = set()
-    open_: dict[int, tuple[float, np.ndarray, np.ndarray]] = {}  # what a split of a leaf gains, and its centres
+    """The tree over all ``vectors`` (``vec`` has one or more, one after the other). At most ``leaves`` leaves, none with less
+    than ``least`` vectors. A round tries all leaves that are new, and splits the third of the leaves that gain most. New leaves are
+    tried along their principal axes; passes over all vectors move the centres, and a last one measures the best try."""
+    none, flat = (0, np.zeros(DIMENSIONS), None), (np.zeros(DIMENSIONS), np.zeros(DIMENSIONS))
+    n, total, _ = _sums(vectors, None, [{0: flat}]).get((0, 0, 0), none)
+    tree = Tree(total / max(n, 1), [])
+    if n < 2 * least:
+        return tree
+    whole = {0: _sums(vectors, tree, [{0: flat}], moments=True)[0, 0, 0]}  # of new leaves
+    open_: dict[int, tuple[float, np.ndarray, np.ndarray, Sums, Sums]] = {}  # what a split of a leaf gains, its centres, its sides
     while len(tree.splits) + 1 < leaves:
-        at = tree.leaves(sample)
-        centres = {}
-        for leaf in set(range(len(tree.splits) + 1)) - closed - set(open_):
-            own = sample[at == leaf]
-            got = _starts(own, leaf) if len(own) > 1 else None
-            if got is None:
-                closed.add(leaf)
-            else:
-                centres[leaf] = got
-        sums, none = _sums(vectors, tree, centres), (0, np.zeros(DIMENSIONS))
-        for leaf in centres:
-            (na, a), (nb, b) = sums.get((leaf, 0), none), sums.get((leaf, 1), none)
-            if min(na, nb) < least:
-                closed.add(leaf)
-            else:
-                gain = float(np.linalg.norm(a) + np.linalg.norm(b) - np.linalg.norm(a + b))
-                open_[leaf] = gain, _unit(a), _unit(b)
+        tries: list[dict[int, tuple[np.ndarray, np.ndarray]]] = [{} for _ in range(AXES)]
+        for leaf, sums in whole.items():
+            for j, centres in enumerate(_starts(*sums)):
+                tries[j][leaf] = centres
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for move in range(MOVES if any(tries) else 0):
+            sums, gains = _sums(vectors, tree, tries), {}
+            for j, centres in enumerate(tries):
+                for leaf in list(centres):
+                    (na, a, _), (nb, b, _) = sums.get((j, leaf, 0), none), sums.get((j, leaf, 1), none)
+                    if min(na, nb) < least:
+                        del centres[leaf]
+                        continue
+                    centres[leaf] = _unit(a), _unit(b)
+                    gains[leaf, j] = float(np.linalg.norm(a) + np.linalg.norm(b))
+            if move == MOVES - 1:
+                best = {leaf: tries[j][leaf] for (leaf, j), _ in sorted(gains.items(), key=lambda x: (x[1], -x[0][1]))}
+        sums = _sums(vectors, tree, [best], moments=True) if best else {}
+        for leaf in best:
+            left, right = sums.get((0, leaf, 0), none), sums.get((0, leaf, 1), none)
+            if min(left[0], right[0]) >= least:
+                a, b = left[1], right[1]
+                open_[leaf] = float(np.linalg.norm(a) + np.linalg.norm(b) - np.linalg.norm(a + b)), _unit(a), _unit(b), left, right
         if not open_:
             break
-        room = min(leaves - len(tree.splits) - 1, 1 + len(open_) // 3)
+        room, whole = min(leaves - len(tree.splits) - 1, 1 + len(open_) // 3), {}
         for leaf in sorted(open_, key=lambda x: (-open_[x][0], x))[:room]:
-            tree.splits.append((leaf, *open_.pop(leaf)[1:]))
+            _, a, b, left, right = open_.pop(leaf)
+            tree.splits.append((leaf, a, b))
+            whole[leaf], whole[len(tree.splits)] = left, right
     return tree
 
 
@@ -371,17 +392,18 @@ def fit_model(bucket: np.ndarray, by_leaf: np.ndarray, by_subject: np.ndarray) -
     return Model(bucket, odds, label, len(by_leaf) + at)
 
 
-def _vectors(rows: DataFrame, key: str, text: str) -> DataFrame:
+def _vectors(rows: DataFrame, text: str) -> DataFrame:
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got: list[tuple[int, bytes]] = []
-            for h, part in _chunks(b["h"].tolist(), b[text].tolist()):
+            got: list[bytes] = []
+            for _, part in _chunks(b[text].tolist(), b[text].tolist()):
                 x = document_vectors(*document_terms(terms_of(part)), len(part))
-                got += [(i, v.tobytes()) for i, v, some in zip(h, x, x.any(axis=1), strict=True) if some]
+                x = x[x.any(axis=1)]
+                got += [x[k : k + PACK].tobytes() for k in range(0, len(x), PACK)]
             if got:
-                yield pd.DataFrame(got, columns=["h", "vec"])
+                yield pd.DataFrame({"vec": got})
 
-    return durable(rows.select(F.xxhash64(key).alias("h"), text).mapInPandas(make, "h bigint, vec binary"), "vectors")
+    return durable(rows.select(text).mapInPandas(make, "vec binary"), "vectors")
 
 
 def _counts(rows: DataFrame, key: str, text: str, tree: Tree, known: dict, subjects: int) -> DataFrame:
@@ -431,7 +453,7 @@ def fit(rows: DataFrame, hand: DataFrame, names: list[str], key: str, text: str,
     none = Model(np.zeros(0, dtype=np.int64), np.zeros((0, 2), dtype=np.float32), np.full(1, -1), np.ones(1, dtype=np.int64))
     if not known:
         return none
-    tree = bisecting_kmeans(_vectors(rows, key, text), leaves)
+    tree = bisecting_kmeans(_vectors(rows, text), leaves)
     counts = _counts(rows, key, text, tree, known, len(names))
     k = 1 + len(tree.splits)
     top = counts.join(_telling(counts, k, TERMS), "bucket", "left_semi").toPandas()

@@ -66,6 +66,17 @@ def test_bisecting(spark):
     assert not bisecting_kmeans(vectors.where("h < 3"), 4, 5).splits and not bisecting_kmeans(vectors.limit(0), 4, 5).splits
 
 
+def test_every_vector_moves_the_start(spark):
+    """Vectors that come late by their hash shape the leaves like all others."""
+    rng, e = np.random.default_rng(1), 2 * np.eye(DIMENSIONS)
+    common = np.concatenate([rng.normal(c, 0.01, (2_100, DIMENSIONS)) for c in (e[0], -e[0])])
+    late = np.concatenate([rng.normal(e[c] + e[0] / 4, 0.01, (n, DIMENSIONS)) for c, n in ((1, 40), (2, 60), (3, 90))])
+    rows = [(i, np.rint(127 * v / np.linalg.norm(v)).astype(np.int8).tobytes()) for i, v in enumerate(np.concatenate([common, late]))]
+    tree = bisecting_kmeans(spark.createDataFrame(rows, "h long, vec binary").repartition(3), 6, 20)
+    leaf = tree.leaves(tree.centred(np.stack([np.frombuffer(v, dtype=np.int8) for _, v in rows])))
+    assert sorted(np.bincount(leaf))[:3] == [40, 60, 90] and all(len(set(leaf[k : k + n].tolist())) == 1 for k, n in ((4_200, 40), (4_240, 60), (4_300, 90)))
+
+
 def test_long_labelled_documents_take_part(spark):
     """A label counts whatever the length of its document."""
     rows, truth = corpus(200)
