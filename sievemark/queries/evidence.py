@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import json
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.functions import text as X
@@ -104,58 +108,81 @@ def _routed_v3(q_type: Column, v_type: Column, composite: Column) -> Column:
     return F.coalesce((q_type == v_type) | other | (composite & free & (v_type == _APPLIED)), F.lit(False))
 
 
-def _base_v3() -> Column:
-    sig, seen = F.size(F.array_intersect("q_sig", "v_sig")), F.size(F.array_intersect("q_anchors", "v_anchors"))
-    return F.when(F.coalesce(F.col("q_type") == F.col("v_type"), F.lit(False)), 24).otherwise(0) + F.when(sig > 0, 36 + 6 * F.least(sig, F.lit(2))).otherwise(0) + F.when(seen > 0, 22 + 4 * F.least(seen, F.lit(4))).otherwise(0)
+#: Videos of a type, and questions that may go to it, that one task takes at once.
+CELL_VIDEOS, CELL_QUESTIONS = 30_000, 30_000
+
+
+def _postings(cells: pd.Series) -> dict[str, np.ndarray]:
+    """The places of the rows that have each tag."""
+    out: dict[str, list[int]] = {}
+    for i, tags_ in enumerate(cells):
+        for t in tags_:
+            out.setdefault(t, []).append(i)
+    return {t: np.array(at, dtype=np.int64) for t, at in out.items()}
 
 
-def _part_points(part: Column) -> Column:
-    return 12 * F.size(F.array_intersect("q_anchors", part["anchors"])) + 3 * F.size(F.array_intersect("q_anchors", part["said"]))
+def _best_of_cell(q: pd.DataFrame, v: pd.DataFrame, best: int) -> pd.DataFrame:
+    """The ``best`` videos of each question of a cell from the threshold, by score and then id: ``(question_id, video_id, score, points, composite)``.
+
+    Type, anchors and evidence score a kind of question against all videos at once. A video that can't come among the best even with
+    all the points for knowledge is only looked at if it shares a signature.
+    """
+    names = ["question_id", "video_id", "score", "points", "composite"]
+    if q.empty or v.empty:
+        return pd.DataFrame(columns=names)
+    v = v.sort_values("video_id", key=lambda c: c.map(lambda x: x.encode()), kind="stable").reset_index(drop=True)
+    kind_of, kinds = pd.factorize(v["kind"])
+    labels = [json.loads(k) for k in kinds]
+    sig_at, kn_at, none = _postings(v["sig"]), _postings(v["kn"]), np.zeros(0, dtype=np.int64)
+    ids, out = v["video_id"].to_numpy(), []
+    for (q_type, anchors), rows in q.groupby(["type", "anchors"], sort=False, dropna=False):
+        mine = set(json.loads(anchors))
+        shared = np.array([len(mine.intersection(k["anchors"])) for k in labels])
+        points = np.array([max([12 * len(mine.intersection(p["anchors"])) + 3 * len(mine.intersection(p["said"])) for p in k["parts"]], default=0) for k in labels])
+        of_kind = np.where(shared > 0, 22 + 4 * np.minimum(shared, 4), 0) + np.minimum(points, P.MOST["v3"]) + (24 if q_type == v["type"].iat[0] else 0)
+        base = of_kind[kind_of]
+        sure = np.partition(base, len(base) - best)[len(base) - best] if len(base) >= best else 0
+        near = np.flatnonzero(base + 12 >= max(sure, P.LEAST["v3"]))
+        for question, composite, sig, kn in zip(rows["question_id"], rows["composite"], rows["sig"], rows["kn"], strict=True):
+            by_sig = np.concatenate([none, *[sig_at[t] for t in sig if t in sig_at]])
+            by_kn = np.concatenate([none, *[kn_at[t] for t in kn if t in kn_at]])
+            n_sig, n_kn = np.bincount(by_sig, minlength=len(v)) if len(by_sig) else None, np.bincount(by_kn, minlength=len(v))
+            at = np.union1d(near, by_sig) if len(by_sig) else near
+            score = base[at] + 4 * np.minimum(n_kn[at], 3)
+            if n_sig is not None:
+                score += np.where(n_sig[at] > 0, 36 + 6 * np.minimum(n_sig[at], 2), 0)
+            least = max(P.LEAST["v3"], np.partition(score, len(score) - best)[len(score) - best] if len(score) > best else 0)
+            some = np.flatnonzero(score >= least)
+            some = some[np.argsort(-score[some], kind="stable")][:best]
+            if len(some):
+                out.append((np.full(len(some), question, dtype=object), ids[at[some]], score[some], points[kind_of[at[some]]], np.full(len(some), composite)))
+    return pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*out, strict=True), strict=True)}) if out else pd.DataFrame(columns=names)
 
 
 def best_v3(spark: SparkSession, d: str, evidence: bool, best: int = 12) -> DataFrame:
     """``(question_id, video_id, score, points, composite, rnk)``: the ``best`` videos of each question from 76 points.
 
-    Kinds of labels are paired by route and scored; those that can't be among the best of a kind of question, whatever evidence
-    and knowledge tags add, are dropped. The rest come in by the least ids of each kind and set of part labels (with no
-    shared knowledge), and by the knowledge tags they share.
+    Questions meet the videos of each type on their route in cells, which only hold rows; pairs are scored within a task and only the
+    best of each question leave it.
     """
     q, v, parts = _sides(spark, d)
-    more = (P.MOST["v3"] if evidence else 0) + 12
-    q = q.withColumn("kq", F.md5(F.to_json(F.struct("type", "composite", "anchors", "sig"))))
-    v = v.withColumn("kv", F.md5(F.to_json(F.struct("type", "anchors", "sig"))))
-    kq = durable(q.groupBy("kq").agg(*[F.first(c).alias(f"q_{c}") for c in ("type", "composite", "anchors", "sig")]), "kinds")
-    kv = durable(v.groupBy("kv").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(f"v_{c}") for c in ("type", "anchors", "sig")]), "kinds")
-    ways = F.array_distinct(F.array(F.col("q_type"), F.when(F.col("q_type") == _SCIENCE, "基本实验题").otherwise(F.col("q_type")), F.lit(_APPLIED)))
-    met = kq.withColumn("v_type", F.explode(ways)).join(kv, "v_type").where(_routed_v3(F.col("q_type"), F.col("v_type"), F.col("q_composite")))
-    scored = met.withColumn("base", _base_v3()).where(F.col("base") + more >= P.LEAST["v3"])
-    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("kq").orderBy(F.desc("base"), "kv").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = Window.partitionBy("kq")
-    cut = F.when(F.sum("n").over(per) >= best, F.min(F.when(F.col("ahead") < best, F.col("base"))).over(per)).otherwise(0)
-    kept = durable(scored.withColumn("ahead", ahead).withColumn("cut", cut).where(F.col("base") + more >= F.col("cut")).select("kq", "kv", "base", "q_anchors"), "kinds")
-    none = F.struct(F.array().cast("array<string>").alias("anchors"), F.array().cast("array<string>").alias("said"))
-    labelled = v.select("kv", "video_id", none.alias("part"))
-    if evidence:
-        labelled = labelled.unionByName(parts.join(v.select("video_id", "kv"), "video_id").select("kv", "video_id", "part"))
-    labelled = labelled.withColumn("kp", F.md5(F.to_json("part")))
-    few = durable(K.top_k(labelled, ["kv", "kp"], [F.asc("video_id")], best, "at").drop("at"), "stand-ins")
-    of_kind = few.groupBy("kv", "kp").agg(F.first("part").alias("part"))
-    s = F.col("base") + F.least(_part_points(F.col("part")), F.lit(P.MOST["v3"]))
-    pairs = kept.join(of_kind, "kv").withColumn("s", s).select("kq", "kv", "kp", "s").join(few.select("kv", "kp", "video_id"), ["kv", "kp"])
-    first = K.top_k(pairs.groupBy("kq", "video_id").agg(F.max("s").alias("s")), ["kq"], [F.desc("s"), F.asc("video_id")], best, "at").join(q.select("kq", "question_id"), "kq")
-    tags_of = {"knowledge": F.col("kn")}
-    known = P.shared_counts(P.tag_rows(q, "question_id", tags_of), P.tag_rows(v, "video_id", tags_of), "question_id", "video_id", ["knowledge"])
-    known = known.join(q.select("question_id", "kq"), "question_id").join(v.select("video_id", "kv"), "video_id").join(kept.select("kq", "kv"), ["kq", "kv"], "left_semi")
-    every = first.select("question_id", "video_id").unionByName(known.select("question_id", "video_id")).distinct()
-    side = lambda df, x, key: df.select(key, *[F.col(c).alias(f"{x}_{c}") for c in ("type", "anchors", "sig", "kn")], *(["composite"] if x == "q" else []))
-    both = every.join(side(q, "q", "question_id"), "question_id").join(side(v, "v", "video_id"), "video_id")
-    both = both.where(_routed_v3(F.col("q_type"), F.col("v_type"), F.col("composite"))).withColumn("points", F.lit(0))
+    ways = F.array_distinct(F.array(F.col("type"), F.when(F.col("type") == _SCIENCE, "基本实验题").otherwise(F.col("type")), F.lit(_APPLIED)))
+    q = q.withColumn("way", F.explode(ways)).where(_routed_v3(F.col("type"), F.col("way"), F.col("composite"))).withColumn("anchors", F.to_json("anchors"))
+    sets = F.array().cast("array<struct<anchors:array<string>,said:array<string>>>")
     if evidence:
-        sets = parts.groupBy("video_id").agg(F.collect_set("part").alias("parts"))
-        both = both.join(sets, "video_id", "left").withColumn("points", F.coalesce(F.array_max(F.transform("parts", _part_points)), F.lit(0)))
-    known_points = 4 * F.least(F.size(F.array_intersect("q_kn", "v_kn")), F.lit(3))
-    whole = both.withColumn("score", (_base_v3() + known_points + F.least("points", F.lit(P.MOST["v3"]))).cast("int")).where(F.col("score") >= P.LEAST["v3"])
-    return K.top_k(whole, ["question_id"], [F.desc("score"), F.asc("video_id")], best).select("question_id", "video_id", "score", "points", "composite", "rnk")
+        v = v.join(parts.groupBy("video_id").agg(F.array_sort(F.collect_set("part")).alias("parts")), "video_id", "left")
+        sets = F.coalesce("parts", sets)
+    v = v.where("type IS NOT NULL").select("video_id", "type", F.to_json(F.struct("anchors", sets.alias("parts"))).alias("kind"), "sig", "kn", F.col("type").alias("way"))
+    cells = lambda df, n, size: df.groupBy("way").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(n))
+    grid = cells(q, "n_q", CELL_QUESTIONS).join(cells(v, "n_v", CELL_VIDEOS), "way")
+
+    def cut(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        cell = F.pmod(F.xxhash64(key), F.col(f"n_{own}").cast("bigint")).cast("int").alias(own)
+        return df.join(grid, "way").select(*df.columns, cell, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)).alias(other))
+
+    found = cut(q, "question_id", "q", "v").groupBy("way", "q", "v").cogroup(cut(v, "video_id", "v", "q").groupBy("way", "q", "v"))
+    few = found.applyInPandas(lambda a, b: _best_of_cell(a, b, best), "question_id string, video_id string, score int, points int, composite boolean")
+    return K.top_k(few, ["question_id"], [F.desc("score"), F.asc("video_id")], best).select("question_id", "video_id", "score", "points", "composite", "rnk")
 
 
 _SQL_V3 = f"""{B.Q}, {B.V}, {_sql_anchors('q', 'question_id', 'stem', ', question_type, signatures, knowledge_tags')}, {_sql_anchors('v', 'video_id', 'content_summary', ', question_type, signatures, knowledge_tags')},
