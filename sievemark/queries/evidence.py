@@ -88,16 +88,17 @@ _SCIENCE, _BASIC, _APPLIED = "科学探究题", "基础题", "综合应用题"
 SHOWN_FROM, PART_FROM = 110, 24
 
 
-def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Questions, videos and the parts of their evidence, with anchors; a part also has the anchors that it or the name says."""
+def _sides(spark: SparkSession, d: str, evidence: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Questions, videos and, if ``evidence`` is wanted, the parts of it, with anchors; a part also has the anchors that it or the name says."""
     columns = ("question_type", "signatures", "knowledge_tags")
     sets = {"sig": X.split_tags(F.col("signatures")), "kn": X.split_tags(F.col("knowledge_tags"))}
     q = _anchored(B.questions(spark, d, "stem", *columns), "stem").select("question_id", F.col("question_type").alias("type"), "anchors", *[c.alias(n) for n, c in sets.items()])
     q = q.withColumn("composite", (F.size("sig") >= 2) | ((X.text(F.col("type")) == _APPLIED) & (F.size("anchors") >= 2)))
     v = _anchored(B.videos(spark, d, "content_summary", *columns), "content_summary").select("video_id", F.col("question_type").alias("type"), "anchors", *[c.alias(n) for n, c in sets.items()])
-    part = _anchored(evidence_parts(B.videos(spark, d, "video_name", "content_summary")), "part")
-    said = X.compact(F.concat("part", X.text(F.col("video_name"))))
-    names = F.filter(F.array(*[F.lit(r.name) for r in R.ANCHORS]), lambda n: said.contains(X.compact(n)))
+    if not evidence:
+        return durable(q, "questions"), durable(v, "videos"), None
+    part = _anchored(evidence_parts(B.videos(spark, d, "video_name", "content_summary")), "part").withColumn("_said", X.compact(F.concat("part", X.text(F.col("video_name")))))
+    names = F.array_compact(F.array(*[F.when(F.col("_said").contains(X.compact(F.lit(r.name))), F.lit(r.name)) for r in R.ANCHORS]))
     parts = part.select("video_id", F.struct("anchors", names.alias("said")).alias("part")).distinct()
     return durable(q, "questions"), durable(v, "videos"), durable(parts, "parts")
 
@@ -165,7 +166,7 @@ def best_v3(spark: SparkSession, d: str, evidence: bool, best: int = 12) -> Data
     Questions meet the videos of each type on their route in cells, which only hold rows; pairs are scored within a task and only the
     best of each question leave it.
     """
-    q, v, parts = _sides(spark, d)
+    q, v, parts = _sides(spark, d, evidence)
     ways = F.array_distinct(F.array(F.col("type"), F.when(F.col("type") == _SCIENCE, "基本实验题").otherwise(F.col("type")), F.lit(_APPLIED)))
     q = q.withColumn("way", F.explode(ways)).where(_routed_v3(F.col("type"), F.col("way"), F.col("composite"))).withColumn("anchors", F.to_json("anchors"))
     sets = F.array().cast("array<struct<anchors:array<string>,said:array<string>>>")

@@ -52,3 +52,11 @@ def test_pairs_of_the_third_generation_stay_in_their_task(spark, con, name, monk
     rel = con.execute(entry.oracle_sql()[name])
     columns = [c[0] for c in rel.description]
     assert norm([tuple(r) for r in df.collect()], df.columns) == norm(rel.fetchall(), columns)
+
+
+def test_evidence_is_only_read_where_it_counts(spark, con, monkeypatch):
+    def parts(*_):
+        raise AssertionError("evidence was read")
+
+    monkeypatch.setattr(evidence, "evidence_parts", parts)
+    assert entry.queries()["family_score_v3"](spark, DATA).count() == con.execute(f"SELECT count(*) FROM ({entry.oracle_sql()['family_score_v3']})").fetchone()[0]
