@@ -173,12 +173,12 @@ class Tree:
 
     def leaves(self, y: np.ndarray) -> np.ndarray:
         """The leaf of each centred vector."""
-        leaf = np.zeros(len(y), dtype=np.int64)
+        leaf = np.zeros(len(y), dtype=np.int16)
         if self.splits:
-            right = y @ np.stack([b - a for _, a, b in self.splits]).T.astype(np.float32) > 0
+            right = np.stack([b - a for _, a, b in self.splits]).astype(np.float32) @ y.T > 0  # a row for each split
             for k, (old, _, _) in enumerate(self.splits):
-                leaf[(leaf == old) & right[:, k]] = k + 1
-        return leaf
+                leaf[(leaf == old) & right[k]] = k + 1
+        return leaf.astype(np.int64)
 
 
 def _starts(n: int, total: np.ndarray, moments: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
