@@ -15,7 +15,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -44,8 +44,14 @@ TERM_BITS = 18
 BUCKETS = 1 << TERM_BITS
 #: Dimensions of a vector, and in how many of them a term shows.
 DIMENSIONS, _SIGNS = 128, 4
-#: Vectors that are written as one value, and vectors handled at a time.
-PACK, SLICE = 16, 8_192
+#: Vectors that are written as one value, vectors handled at a time, and vectors that are worth a task of their own.
+PACK, SLICE, TASK_VECTORS = 16, 8_192, 1 << 16
+#: Sums of tasks of up to so many bytes are added up by the driver, others on the executors.
+_DIRECT = 4 << 20
+#: The half of a symmetric matrix that is sent.
+_HALF = np.triu_indices(DIMENSIONS)
+#: Terms of a sentence that are summed one by one; longer sentences are summed in pieces.
+_PIECE = 32
 #: Characters handled at a time; more fall out of the processor's cache.
 _CHUNK = 20_000
 _END, _POINT, _SPACE, _DIGIT, _WORD, _WIDE = 1, 2, 3, 4, 5, 6
@@ -137,10 +143,11 @@ def _chunks(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
 
 
 @lru_cache(maxsize=1)
-def _projection() -> tuple[np.ndarray, np.ndarray]:
-    """The dimensions in which each term shows, and with which sign."""
+def _projection() -> np.ndarray:
+    """The dimensions in which each term shows, twice, and one more where its sign is positive; a row for each of its signs."""
     rng = np.random.default_rng(1)
-    return rng.integers(0, DIMENSIONS, (BUCKETS, _SIGNS)), rng.choice(np.array([-1.0, 1.0]), (BUCKETS, _SIGNS))
+    at = rng.integers(0, DIMENSIONS, (BUCKETS, _SIGNS))
+    return np.ascontiguousarray((2 * at + (rng.choice(np.array([-1.0, 1.0]), (BUCKETS, _SIGNS)) > 0)).T.astype(np.uint8))
 
 
 def document_terms(t: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,11 +158,10 @@ def document_terms(t: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def document_vectors(doc: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
     """The unit vectors of ``n`` texts with these terms, in steps of 1/127; texts without terms have null vectors."""
-    at, sign = _projection()
-    x = np.zeros(n * DIMENSIONS)
-    for h in range(_SIGNS):
-        x += np.bincount(doc * DIMENSIONS + at[term, h], np.sqrt(count) * sign[term, h], minlength=n * DIMENSIONS)
-    x = x.reshape(n, DIMENSIONS)
+    first, root, both = doc * (2 * DIMENSIONS), np.sqrt(count), np.zeros(2 * n * DIMENSIONS)
+    for at in _projection():
+        both += np.bincount(first + at[term], root, minlength=2 * n * DIMENSIONS)
+    x = both[1::2].reshape(n, DIMENSIONS) - both[::2].reshape(n, DIMENSIONS)
     return np.rint(127 * x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)).astype(np.int8)
 
 
@@ -168,8 +174,11 @@ class Tree:
     splits: list[tuple[int, np.ndarray, np.ndarray]]
 
     def centred(self, x: np.ndarray) -> np.ndarray:
-        y = x.astype(np.float32) / 127 - self.mean
-        return y / (np.linalg.norm(y, axis=1, keepdims=True) + 1e-12)
+        y = x.astype(np.float32)
+        y /= 127
+        y -= self.mean.astype(np.float32)
+        y /= np.sqrt(np.einsum("ij,ij->i", y, y))[:, None] + 1e-12
+        return y
 
     def leaves(self, y: np.ndarray) -> np.ndarray:
         """The leaf of each centred vector."""
@@ -201,63 +210,73 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(map(bytes, vectors)), dtype=np.int8).reshape(-1, DIMENSIONS)
 
 
-#: Of some vectors: number, sum, and sum of the outer products (null where it wasn't asked for).
+#: Of some vectors: number, sum, and sum of the outer products (null where it wasn't asked for; of tasks, its upper half).
 Sums = tuple[int, np.ndarray, np.ndarray | None]
 
 
-def _sums(vectors: DataFrame, tree: Tree | None, tries: list[dict[int, tuple[np.ndarray, np.ndarray]]], moments: bool = False) -> dict[tuple[int, int, int], Sums]:
-    """The sums of the vectors by (try, leaf, side), of leaves that a try has centres for. Without a tree: of all raw vectors, as (0, 0, 0)."""
+def _added(rows: Iterable[tuple[int, int, bytes, bytes | None]]) -> dict[int, Sums]:
+    """The sums of tasks, added up by cell."""
+    out: dict[int, Sums] = {}
+    for cell, n, total, outer in rows:
+        m, before, square = out.get(cell, (0, 0.0, 0.0))
+        out[cell] = m + n, before + np.frombuffer(total), None if outer is None else square + np.frombuffer(outer)
+    return out
+
+
+def _square(half: np.ndarray) -> np.ndarray:
+    out = np.zeros((DIMENSIONS, DIMENSIONS))
+    out[_HALF] = half
+    return out + np.triu(out, 1).T
+
+
+def _sums(vectors: DataFrame, tree: Tree | None, tries: list[dict[int, tuple[np.ndarray, np.ndarray]]], moments: bool = False, tasks: int = 0) -> dict[tuple[int, int, int], Sums]:
+    """The sums of the vectors by (try, leaf, side), of leaves that a try has centres for. Without a tree: of all raw vectors, as (0, 0, 0).
+    ``tasks``: how many partitions ``vectors`` has at most, if that is known."""
     shared = vectors.sparkSession.sparkContext.broadcast((tree, tries))
+    k, wanted = 1 + len(tree.splits) if tree else 1, sorted({leaf for centres in tries for leaf in centres})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree, tries = shared.value
-        k = 1 + len(tree.splits) if tree else 1
-        ways = np.zeros((len(tries), k, DIMENSIONS), dtype=np.float32)
-        wanted = np.zeros((len(tries), k), dtype=bool)
-        for j, centres in enumerate(tries):
-            for leaf, (a, b) in centres.items():
-                ways[j, leaf], wanted[j, leaf] = b - a, True
-        cells = 2 * k * len(tries)
-        total, n = np.zeros((cells, DIMENSIONS)), np.zeros(cells, dtype=np.int64)
+        ways = {}  # of a leaf: its cells, left ones first, and the ways from left to right of its tries
+        for leaf in wanted:
+            some = [(j, centres[leaf]) for j, centres in enumerate(tries) if leaf in centres]
+            left = [2 * (j * k + leaf) for j, _ in some]
+            ways[leaf] = left + [1 + c for c in left], np.stack([b - a for _, (a, b) in some]).astype(np.float32)
+        total, n = np.zeros((2 * k * len(tries), DIMENSIONS)), np.zeros(2 * k * len(tries), dtype=np.int64)
         outer: dict[int, np.ndarray] = {}
         for x in (part for b in batches if len(b) for whole in [_matrix(b["vec"])] for part in np.split(whole, range(SLICE, len(whole), SLICE))):
             y = tree.centred(x) if tree else x.astype(np.float32) / 127
-            leaf = tree.leaves(y) if tree else np.zeros(len(y), dtype=np.int64)
-            for j in range(len(tries)):
-                mine = wanted[j, leaf]
-                z, at = y[mine], leaf[mine]
+            leaves = tree.leaves(y).astype(np.int16) if tree else np.zeros(len(y), dtype=np.int16)
+            order = np.argsort(leaves, kind="stable")
+            edges = np.searchsorted(leaves[order], np.arange(k + 1))
+            for leaf, (cells, way) in ways.items():
+                z = y[order[edges[leaf] : edges[leaf + 1]]]
                 if not len(z):
                     continue
-                cell = 2 * (j * k + at) + (np.einsum("ij,ij->i", z, ways[j, at]) > 0)
-                order = np.argsort(cell, kind="stable")
-                z, cell = z[order], cell[order]
-                first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-                n[cell[first]] += np.diff(np.append(first, len(cell)))
-                total[cell[first]] += np.add.reduceat(z, first, axis=0)
-                for c, part in zip(cell[first].tolist(), np.split(z, first[1:]), strict=True) if moments else ():
-                    outer[c] = outer.get(c, 0) + (part.T @ part).astype(np.float64)
+                right = way @ z.T > 0
+                which = np.concatenate([~right, right])
+                n[cells] += which.sum(1)
+                total[cells] += which.astype(np.float32) @ z
+                for c, mine in zip(cells, which, strict=True) if moments else ():
+                    part = z[mine]
+                    outer[c] = outer.get(c, 0.0) + (part.T @ part).astype(np.float64)
         some = np.flatnonzero(n)
         if len(some):
-            yield pd.DataFrame({"cell": some, "n": n[some], "total": list(total[some]), "outer": [outer[c].tobytes() if moments else None for c in some.tolist()]})
+            yield pd.DataFrame({"cell": some, "n": n[some], "total": [v.tobytes() for v in total[some]], "outer": [outer[c][_HALF].tobytes() if moments else None for c in some.tolist()]})
 
     def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: dict[int, list] = {}
-        for b in batches:
-            for cell, n, total, outer in zip(b["cell"], b["n"], b["total"], b["outer"], strict=True):
-                got = out.setdefault(cell, [0, np.zeros(DIMENSIONS), np.zeros(DIMENSIONS**2) if moments else None])
-                got[0] += n
-                got[1] += np.asarray(total)
-                if moments:
-                    got[2] += np.frombuffer(outer)
-        for cell, (n, total, outer) in out.items():
-            yield pd.DataFrame({"cell": [cell], "n": [n], "total": [total], "outer": [outer.tobytes() if moments else None]})
-
-    # sums of tasks are added up on the executors: a row for each side of each leaf comes to the driver, whatever the number of tasks
-    kinds = "cell bigint, n bigint, total array<double>, outer binary"
-    rows = vectors.select("vec").mapInPandas(add, kinds).repartition("cell").mapInPandas(together, kinds).collect()
-    k = 1 + len(tree.splits) if tree else 1
-    square = lambda x: np.frombuffer(bytes(x)).reshape(DIMENSIONS, DIMENSIONS) if moments else None
-    return {(r["cell"] // (2 * k), r["cell"] // 2 % k, r["cell"] % 2): (r["n"], np.array(r["total"]), square(r["outer"])) for r in rows}
+        out = _added(row for b in batches for row in zip(b["cell"], b["n"], b["total"], b["outer"], strict=True))
+        cells = list(out)
+        for some in (cells[i : i + 64] for i in range(0, len(cells), 64)):
+            yield pd.DataFrame({"cell": some, "n": [out[c][0] for c in some], "total": [out[c][1].tobytes() for c in some], "outer": [out[c][2].tobytes() if moments else None for c in some]})
+
+    kinds = "cell bigint, n bigint, total binary, outer binary"
+    rows = vectors.select("vec").mapInPandas(add, kinds)
+    if tasks != 1 and (not tasks or tasks * 2 * len(wanted) * len(tries) * 8 * (DIMENSIONS + len(_HALF[0]) * moments) > _DIRECT):
+        # sums of tasks are added up on the executors: a row for each side of each leaf comes to the driver, whatever the number of tasks
+        rows = rows.repartition("cell").mapInPandas(together, kinds)
+    out = _added((r["cell"], r["n"], bytes(r["total"]), None if r["outer"] is None else bytes(r["outer"])) for r in rows.collect())
+    return {(c // (2 * k), c // 2 % k, c % 2): (n, total, None if outer is None else _square(outer)) for c, (n, total, outer) in out.items()}
 
 
 def bisecting_kmeans(vectors: DataFrame, leaves: int = LEAVES, least: int = LEAF_LEAST) -> Tree:
@@ -269,7 +288,9 @@ def bisecting_kmeans(vectors: DataFrame, leaves: int = LEAVES, least: int = LEAF
     tree = Tree(total / max(n, 1), [])
     if n < 2 * least:
         return tree
-    whole = {0: _sums(vectors, tree, [{0: flat}], moments=True)[0, 0, 0]}  # of new leaves
+    tasks = -(-n // TASK_VECTORS)  # a task takes as long to start as to sum some 50,000 vectors
+    vectors = vectors.coalesce(tasks)
+    whole = {0: _sums(vectors, tree, [{0: flat}], moments=True, tasks=tasks)[0, 0, 0]}  # of new leaves
     open_: dict[int, tuple[float, np.ndarray, np.ndarray, Sums, Sums]] = {}  # what a split of a leaf gains, its centres, its sides
     while len(tree.splits) + 1 < leaves:
         tries: list[dict[int, tuple[np.ndarray, np.ndarray]]] = [{} for _ in range(AXES)]
@@ -278,7 +299,7 @@ def bisecting_kmeans(vectors: DataFrame, leaves: int = LEAVES, least: int = LEAF
                 tries[j][leaf] = centres
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for move in range(MOVES if any(tries) else 0):
-            sums, gains = _sums(vectors, tree, tries), {}
+            sums, gains = _sums(vectors, tree, tries, tasks=tasks), {}
             for j, centres in enumerate(tries):
                 for leaf in list(centres):
                     (na, a, _), (nb, b, _) = sums.get((j, leaf, 0), none), sums.get((j, leaf, 1), none)
@@ -289,7 +310,7 @@ def bisecting_kmeans(vectors: DataFrame, leaves: int = LEAVES, least: int = LEAF
                     gains[leaf, j] = float(np.linalg.norm(a) + np.linalg.norm(b))
             if move == MOVES - 1:
                 best = {leaf: tries[j][leaf] for (leaf, j), _ in sorted(gains.items(), key=lambda x: (x[1], -x[0][1]))}
-        sums = _sums(vectors, tree, [best], moments=True) if best else {}
+        sums = _sums(vectors, tree, [best], moments=True, tasks=tasks) if best else {}
         for leaf in best:
             left, right = sums.get((0, leaf, 0), none), sums.get((0, leaf, 1), none)
             if min(left[0], right[0]) >= least:
@@ -305,6 +326,29 @@ def bisecting_kmeans(vectors: DataFrame, leaves: int = LEAVES, least: int = LEAF
     return tree
 
 
+def _sums_of_rows(table: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sums of the rows ``row`` of ``table`` from each of ``first`` to the next. The n-th rows of all runs are added at a time, so that
+    no row is gathered in memory before it is added; runs of more than ``_PIECE`` rows are summed in pieces of that size."""
+    length = np.diff(np.append(first, len(row)))
+    pieces = -(-length // _PIECE)
+    run = np.cumsum(pieces) - pieces  # the first piece of each run
+    within = np.arange(pieces.sum()) - np.repeat(run, pieces)
+    start = np.repeat(first, pieces) + _PIECE * within
+    size = np.minimum(np.repeat(length, pieces) - _PIECE * within, _PIECE)
+    order = np.argsort(-size, kind="stable")
+    start, sums = start[order], np.zeros((len(order), table.shape[1]), dtype=table.dtype)
+    got = np.empty_like(sums)
+    for k, many in enumerate(np.searchsorted(-size[order], -np.arange(1, size.max() + 1), "right").tolist()):
+        np.take(table, row[start[:many] + k], axis=0, out=got[:many], mode="clip")  # any other mode copies once more
+        sums[:many] += got[:many]
+    back = np.empty_like(sums)
+    back[order] = sums
+    out = back[run]
+    for k in np.flatnonzero(pieces > 1).tolist():
+        out[k] = back[run[k] : run[k] + pieces[k]].sum(0)
+    return out
+
+
 @dataclass
 class Model:
     """Terms (buckets, rising) with their log-odds in each leaf and then in each group of leaves with one label; the subject of
@@ -318,6 +362,9 @@ class Model:
     def __post_init__(self) -> None:
         self.row = np.full(BUCKETS, -1, dtype=np.int32)
         self.row[self.bucket] = np.arange(len(self.bucket), dtype=np.int32)
+        n = len(self.label)
+        both = np.concatenate([self.odds[:, :n] + self.odds[:, self.group], self.odds[:, n:]], axis=1)  # of leaf and group together, and of groups
+        self.both = np.ascontiguousarray(both)  # rows are taken from it
 
     def sentence_leaves(self, t: Terms) -> np.ndarray:
         """The leaf of each sentence: the one with the greatest odds of leaf and group together, if those of its group are high; else -1.
@@ -328,15 +375,15 @@ class Model:
         n = len(t.owner)
         if not n or not len(self.bucket):
             return np.full(n, -1)
-        sums, size = np.zeros((n, self.odds.shape[1]), dtype=np.float32), np.zeros(n)
+        sums, size = np.zeros((n, self.both.shape[1]), dtype=np.float32), np.zeros(n)
         for bucket, sentence in t.parts:
             size += np.bincount(sentence, minlength=n)
             row = self.row[bucket]
             row, sentence = row[row >= 0], sentence[row >= 0]
             if len(row):
                 first = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]]))
-                sums[sentence[first]] += np.add.reduceat(self.odds[row], first, axis=0)
-        best = (sums[:, : len(self.label)] + sums[:, self.group]).argmax(1)
+                sums[sentence[first]] += _sums_of_rows(self.both, row.astype(np.int64), first)
+        best = sums[:, : len(self.label)].argmax(1)
         top = sums[np.arange(n), self.group[best]]
         return np.where((top > SENTENCE_ODDS) & (top > TERM_ODDS * size), best, -1)
 

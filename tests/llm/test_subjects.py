@@ -2,7 +2,8 @@ import random
 
 import numpy as np
 
-from sievemark.llm.subjects import DIMENSIONS, bisecting_kmeans, leaf_mixtures, subject_shares, subjects_of, terms_of
+from sievemark.llm import subjects
+from sievemark.llm.subjects import DIMENSIONS, Model, Tree, bisecting_kmeans, leaf_mixtures, subject_shares, subjects_of, terms_of
 
 WORDS = {"chem": ["溶液", "氧化", "酸碱", "沉淀", "试管", "滴定"], "law": ["合同", "法院", "原告", "判决", "仲裁", "证据"], "sport": ["球队", "射门", "冠军", "教练", "比分", "决赛"]}
 NEUTRAL = ["请大家把这一页读两遍。", "答题时请写完整的句子。", "以上内容只要求了解。"]
@@ -77,6 +78,65 @@ def test_every_vector_moves_the_start(spark):
     assert sorted(np.bincount(leaf))[:3] == [40, 60, 90] and all(len(set(leaf[k : k + n].tolist())) == 1 for k, n in ((4_200, 40), (4_240, 60), (4_300, 90)))
 
 
+def test_passes_start_few_tasks(spark):
+    """Starting tasks costs more than summing a few vectors: few vectors are no more than a task a pass, however they are stored."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.05, (40, DIMENSIONS)) for c in 2 * np.eye(DIMENSIONS)[:3]])
+    rows = [(np.rint(127 * v / np.linalg.norm(v)).astype(np.int8).tobytes(),) for v in x]
+    vectors = subjects.durable(spark.createDataFrame(rows, "vec binary").repartition(8), "test")
+    context = spark.sparkContext
+    context.setJobGroup("passes", "")
+    try:
+        assert len(bisecting_kmeans(vectors, 3, 5).splits) == 2
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    status = context.statusTracker()
+    stages = [s for j in status.getJobIdsForGroup("passes") if (info := status.getJobInfo(j)) for s in info.stageIds]
+    tasks = [info.numCompletedTasks for s in stages if (info := status.getStageInfo(s))]
+    assert len(tasks) >= 10 and sum(t > 1 for t in tasks) <= 1  # the first pass counts the vectors
+
+
+def test_sums_of_passes(spark, monkeypatch):
+    """The same sums, whether the driver or the executors add up those of tasks."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(-40, 41, (600, DIMENSIONS)).astype(np.int8)
+    vectors = spark.createDataFrame([(v.tobytes(),) for v in x], "vec binary").repartition(3)
+    tree = Tree(rng.normal(0, 0.01, DIMENSIONS), [(0, *rng.normal(size=(2, DIMENSIONS))), (1, *rng.normal(size=(2, DIMENSIONS)))])
+    tries = [{leaf: tuple(rng.normal(size=(2, DIMENSIONS))) for leaf in some} for some in ((0, 2), (2,))]
+    y = tree.centred(x).astype(float)
+    leaf = tree.leaves(y)
+    for tasks, direct in ((0, 0), (3, 0), (3, 1 << 30)):
+        monkeypatch.setattr(subjects, "_DIRECT", direct)
+        got = subjects._sums(vectors, tree, tries, moments=True, tasks=tasks)
+        for j, centres in enumerate(tries):
+            for k, (a, b) in centres.items():
+                for side in (0, 1):
+                    z = y[(leaf == k) & ((y @ (b - a) > 0) == side)]
+                    n, total, outer = got.pop((j, k, side))
+                    assert n == len(z) > 0 and np.allclose(total, z.sum(0), atol=1e-3) and np.allclose(outer, z.T @ z, atol=1e-3)
+        assert not got
+
+
+def test_odds_of_sentences_are_summed_whole():
+    rng = np.random.default_rng(4)
+    table, length = np.asfortranarray(rng.normal(size=(50, 7)).astype(np.float32)), [1, 70, 32, 33, 1, 1500, 64, 2]
+    row, first = rng.integers(0, 50, sum(length)), np.cumsum([0, *length[:-1]])
+    got = subjects._sums_of_rows(table, row, first)
+    assert np.allclose(got, [table[row[a : a + n]].sum(0) for a, n in zip(first, length, strict=True)], atol=1e-3)
+    texts = ["甲乙丙丁。" + "甲乙" * 500 + "。丙丁甲。", "Some words. More words here! 甲乙"]
+    t = terms_of(texts)
+    bucket = np.unique(t.bucket)[::2]
+    odds = np.asfortranarray(rng.normal(1, 2, (len(bucket), 6)).astype(np.float32))
+    model = Model(bucket, odds, np.array([0, 1, 0]), np.array([3, 4, 3]))
+    assert model.both.flags.c_contiguous  # else each row would be gathered from all over the table
+    for k, leaf in enumerate(model.sentence_leaves(t)):
+        mine = t.bucket[t.sentence == k]
+        sums = odds[[i for b in mine for i in np.flatnonzero(bucket == b)]].sum(0)
+        both = sums[:3] + sums[[3, 4, 3]]
+        top = sums[[3, 4, 3][both.argmax()]]
+        assert leaf == (both.argmax() if top > max(subjects.SENTENCE_ODDS, subjects.TERM_ODDS * len(mine)) else -1)
+
+
 def test_long_labelled_documents_take_part(spark):
     """A label counts whatever the length of its document."""
     rows, truth = corpus(200)
